@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanweave.llm.packing import op6_best_fit_packing
 from spanweave.llm.quality import op1_quality_rules
+from spanweave.llm.winnow import op8_benchmark_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
