@@ -32,7 +32,7 @@ from spanweave.llm.common import Scratch, lookup, table
 SEQUENCE = 2048
 OPEN_BINS = 512
 MERGED_TASKS = 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 #: Longer words are encoded without being kept.
 CACHED_LENGTH = 64
 
@@ -43,8 +43,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Signs after which nothing of a word's other tokens depends on them, nor they on it.
+_TAIL = b".,;:!?#%&*$"
+
+
+#: Two-byte signs of U+00C0 to U+024F that are no letters, or end with a mark in lower case.
+_UNLIKE = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+
+
+def _splits(core: bytes) -> bool:
+    """Whether a word's core ends with a letter, so that the vocabulary's pattern cuts between it and _TAIL."""
+    return bool(core) and (0x61 <= core[-1] <= 0x7A or len(core) > 1 and 0xC3 <= core[-2] <= 0xC9 and core[-2:] not in _UNLIKE)
+
+
 class Encoder(dict):
-    """Little-endian 32-bit ids of words, kept by word."""
+    """Little-endian 32-bit ids of words, kept by word in lower case (which the vocabulary is in)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +67,11 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(_TAIL)
+        if len(core) < len(word) and _splits(core):
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -62,7 +79,21 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode().split())) + b"\0\0\0\0"
+        raw = (text or "").encode()
+        if b"<|" in raw:  # special tokens are told from ordinary text before it is put in lower case
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + _END
+        return b"".join(map(self.__getitem__, raw.lower().split())) + _END
+
+
+_END = bytes(4)
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class BestFit:
@@ -117,7 +148,7 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, size: int = SEQUENCE, ope
     offset."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = Encoder(path), BestFit(size, open_bins)
+        encoder, bins = encoder_of(path), BestFit(size, open_bins)
         task = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         for batch in batches:
