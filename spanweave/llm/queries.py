@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanweave.llm.jaccard import op7_ngram_jaccard_join
 from spanweave.llm.packing import op6_best_fit_packing
 from spanweave.llm.quality import op1_quality_rules
+from spanweave.llm.urls import op10_url_filter
+from spanweave.llm.warc import op9_warc_segments
 from spanweave.llm.winnow import op8_benchmark_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc_segments": op9_warc_segments,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {}
