@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanweave.llm.jaccard import op7_ngram_jaccard_join
 from spanweave.llm.packing import op6_best_fit_packing
+from spanweave.llm.pii import op2_pii_spans
 from spanweave.llm.quality import op1_quality_rules
 from spanweave.llm.urls import op10_url_filter
 from spanweave.llm.warc import op9_warc_segments
@@ -15,6 +16,7 @@ from spanweave.llm.winnow import op8_benchmark_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii_spans": op2_pii_spans,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
