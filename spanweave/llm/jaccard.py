@@ -6,20 +6,22 @@ shingles, or its whole sequence if it has fewer words. Two texts link at a Jacca
 1. Texts with equal sets become one class, named by a digest of the set.
 2. Signatures. A pair with index 3/4 and a larger set of b shingles shares ceil(3b/4) of them. Light sets give
    all their subsets of these fixed sizes, for every b that they can link with. Heavy sets, and light ones that
-   can link with a heavy one, give inverted lists instead: the first n - ceil(3n/4) + 1 shingles in an order
-   that puts frequent shingles last (any common order is exact). Sizes are light up to where enumerating
-   subsets costs more than scanning lists, from the mean list length that the corpus has.
-3. Classes that share a signature, sorted by size, are chained where sizes allow a link; the components of these
-   chains hold every link.
+   can link with a heavy one, give inverted lists instead: n - ceil(3n/4) + 1 of their shingles, the rarest
+   first. Shingles that one class alone has fill these places without being listed, so that texts which share
+   but some passages have no list at all. Sizes are light up to where enumerating subsets costs more than
+   scanning lists, from the mean list length that the corpus has.
+3. Classes that share a signature and whose sizes allow a link are joined in runs, in each task before they are
+   dealt, so that a list of any length is a few runs from each task; components of the joined pairs hold every link.
 4. Each such component is verified in one task: sets in order of size look through the lists of their rarest
    shingles for partners that aren't yet in their component. A link found spares the rest of that component, so
    dense groups cost about one comparison for each set. Large components are cut into blocks and each pair of
    blocks is a task, which bounds memory with nothing dropped.
 5. Components of the links give each document the least id that it reaches.
 
-Scale: texts are scanned three times and never shuffled. Shuffled are signatures (packed arrays, about a quarter
-of all shingles), the sets of candidate classes (others are held back by a Bloom filter of fixed size), and rows
-of a few numbers for each document. The frequent shingles that are broadcast are FREQUENT at most.
+Scale: texts are scanned three times and never shuffled. Shuffled are about half of all shingles (in packed
+arrays) to count the classes that have them, then shared ones only, the sets of candidate classes (others are
+held back by a Bloom filter of fixed size), and rows of a few numbers for each document. Frequent shingles are
+known to all tasks (FREQUENT at most), are never counted again, and come last in every order.
 
 Edge cases: a null or empty text has an empty set, links with nothing and is its own component; repeated rows
 are copies; null ids are ignored when the least id is taken; an empty table gives an empty result; only doc_id
@@ -50,6 +52,9 @@ GATHER = 1 << 20
 #: Shingles of a block of a component.
 BLOCK_SHINGLES = 2 << 20
 BLOOM_BITS = 1 << 26
+#: Sets of this size and more are compared by the half of their shingles with the lower hashes. That finds all that
+#: may link unless fewer than a quarter of a set's shingles lie in that half, for which the odds are under 1e-12.
+HALVED_FROM = 256
 
 _U = np.uint64
 _NOT_SPACE = ~SPACE
@@ -147,22 +152,88 @@ def light_limit(mean_list: float) -> int:
     return n
 
 
-def signatures(x: np.ndarray, rank: np.ndarray, light: int) -> np.ndarray:
-    """Signatures of one set of sorted shingles; rank: above 0 for frequent shingles, the more frequent the higher."""
-    n, out = len(x), []
-    if n <= light:
-        for c in subset_sizes(n):
-            rows = np.array(list(combinations(x.tolist(), c)), _U)
-            out.append(mix(mix(rows).sum(axis=1, dtype=_U) + _U(c)))
-    if 4 * n // 3 > light:
-        m = n - needed(n) + 1
-        out.append(x[np.lexsort((x, rank))[:m]] if rank.any() else x[:m])
-    return np.concatenate(out)
+def subsets(x: np.ndarray) -> np.ndarray:
+    """Signatures of a light set: its subsets of all sizes that count for it."""
+    rows = [np.array(list(combinations(x.tolist(), c)), _U) for c in subset_sizes(len(x))]
+    return np.concatenate([mix(mix(r).sum(axis=1, dtype=_U) + _U(r.shape[1])) for r in rows])
+
+
+def regime(n: np.ndarray, which: int) -> np.ndarray:
+    """Sets that take part in a regime; each pair that may link has both sets in one of them."""
+    return n <= 4 * HALVED_FROM // 3 if which == 0 else n >= 3 * HALVED_FROM // 4
+
+
+def seen_in(sets: np.ndarray, which: int) -> np.ndarray:
+    return np.ones(len(sets), bool) if which == 0 else sets < _U(1 << 63)
+
+
+def named_in(sets: np.ndarray, which: int) -> np.ndarray:
+    """The shingles' names in a regime, so that regimes don't meet."""
+    return sets if which == 0 else mix(sets ^ _U(0x8CB92BA72F3D8DD7))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(np.frombuffer(blob, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _deal(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each of ``parts`` shares that isn't empty, in order."""
+    share = (key % _U(parts)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    edges = np.searchsorted(share[order], np.arange(parts + 1))
+    yield from ((b, order[edges[b] : edges[b + 1]]) for b in range(parts) if edges[b + 1] > edges[b])
+
+
+def _dealt_rows(kind: int, dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in dealt], pa.int32()), "kind": pa.array([kind] * len(dealt), pa.int32()), "packed": pa.array([x for _, x in dealt], pa.binary())})
+
+
+#: Rows between stages: (bucket, kind, packed). SHINGLES: of classes, dealt by shingle, then by class with the
+#: number of classes that have each. LISTS: signatures with runs of classes, dealt by signature. PAIRS: of classes.
+SHINGLES, LISTS, PAIRS = 0, 1, 2
+_STAGE = "bucket int, kind int, packed binary"
+_SHINGLES = ("<i8", "<i4", "<i4", "<i4", "<i4", "<u8")  # name, size, regime, non-frequent in regime, how many here; shingles
+_LISTS = ("<u8", "<i8", "<i4", "<i4")  # signature, name, least and greatest size
+
+
+def runs(sig: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Join the runs of a signature whose sizes allow a link: runs left (a class of each, and its sizes), and pairs
+    of classes that were joined. Only a few runs of a signature can remain, however many classes share it."""
+    order = np.lexsort((name, lo, sig))
+    sig, name, lo, hi = sig[order], name[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    if not len(sig):
+        return (sig, name, lo, hi), name, name
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    group = np.cumsum(new) << 40
+    reach = np.maximum.accumulate(hi + group) - group  # greatest size so far of the same signature
+    start = new | np.concatenate([[True], 3 * lo[1:] > 4 * reach[:-1]])
+    run = np.cumsum(start) - 1
+    heads = np.flatnonzero(start)
+    ends = np.append(heads[1:], len(sig)) - 1
+    u, v = name, name[heads][run]
+    other = u != v
+    return (sig[heads], name[heads], lo[heads], reach[ends]), u[other], v[other]
+
+
+def _lists(sig: np.ndarray, name: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    (sig, name, lo, hi), u, v = runs(sig, name, n, n)
+    yield _dealt_rows(LISTS, [(b, _pack(sig[p], name[p], lo[p].astype("<i4"), hi[p].astype("<i4"))) for b, p in _deal(sig, parts)])
+    pairs = np.unique(np.rec.fromarrays([u, v], names="u,v"))
+    yield _dealt_rows(PAIRS, [(b, _pack(pairs.u[p], pairs.v[p])) for b, p in _deal(mix(pairs.v.astype(_U)), parts)])
 
 
 def _second_scan(frequent: np.ndarray, light: int, parts: int):
-    """(bucket, packed): signatures with the names and sizes of their classes, dealt by signature."""
-    order = np.argsort(frequent)  # from the least frequent, as given
+    """Shingles of heavy sets that aren't frequent, dealt by shingle; signatures that need no count: subsets of light
+    sets, and frequent shingles of sets that have too few others."""
+    order = np.argsort(frequent)  # given from the least frequent
     known, ranks = frequent[order], order + 1
 
     def ranked(sets: np.ndarray) -> np.ndarray:
@@ -172,68 +243,132 @@ def _second_scan(frequent: np.ndarray, light: int, parts: int):
         return np.where(known[i] == sets, ranks[i], 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed() -> Iterator[pa.RecordBatch]:
-            sig = np.concatenate(sigs)
-            n = np.repeat(np.array(sizes, np.int32), [len(s) for s in sigs])
-            name = np.repeat(np.array(names, np.int64), [len(s) for s in sigs])
-            bucket = (sig % _U(parts)).astype(np.int32)
-            deal = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[deal], np.arange(parts + 1))
-            some = [b for b in range(parts) if edges[b + 1] > edges[b]]
-            blobs = [pack_signatures(sig[p], name[p], n[p]) for b in some for p in [deal[edges[b] : edges[b + 1]]]]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "packed": pa.array(blobs, pa.binary())})
-
-        sigs, sizes, names, total, seen = [], [], [], 0, set()
+        heavy: list[tuple] = []  # name, size, regime, non-frequent, shingles: of all of a chunk
+        direct: list[tuple[np.ndarray, int, int]] = []  # signatures, name, size
+        total, seen = 0, set()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if heavy:
+                name, n, which, m, x = (np.concatenate(c) for c in zip(*heavy, strict=True))
+                owner = np.repeat(np.arange(len(name)), m)
+                dealt = []
+                for b, rows in _deal(x, parts):
+                    who, count = np.unique(owner[rows], return_counts=True)  # rows are in the order of owners
+                    dealt.append((b, _pack(name[who], n[who], which[who], m[who], count.astype("<i4"), x[rows])))
+                yield _dealt_rows(SHINGLES, dealt)
+            if direct:
+                k = [len(s) for s, _, _ in direct]
+                yield from _lists(np.concatenate([s for s, _, _ in direct]), np.repeat([c for _, c, _ in direct], k), np.repeat([n for _, _, n in direct], k), parts)
+            heavy.clear(), direct.clear(), seen.clear()
+
         for _, sets, first, name in _sets(batches):
-            rank = ranked(sets)
-            for i in np.unique(name, return_index=True)[1].tolist():
-                b, e = first[i], first[i + 1]
-                if e > b and (c := int(name[i])) not in seen:
-                    seen.add(c)
-                    sigs.append(signatures(sets[b:e], rank[b:e], light))
-                    sizes.append(e - b), names.append(c)
-                    total += len(sigs[-1])
-            if total >= GATHER:
-                yield from packed()
-                sigs, sizes, names, total, seen = [], [], [], 0, set()
-        if sigs:
-            yield from packed()
+            n = np.diff(first)
+            fresh = np.zeros(len(n), bool)
+            fresh[[i for i in np.unique(name, return_index=True)[1].tolist() if n[i] and int(name[i]) not in seen]] = True
+            seen.update(name[fresh].tolist())
+            for i in np.flatnonzero(fresh & (n <= light)).tolist():
+                direct.append((subsets(sets[first[i] : first[i + 1]]), int(name[i]), int(n[i])))
+            owner, rank = np.repeat(np.arange(len(n)), n), ranked(sets)
+            for which in (0, 1):
+                own = fresh & (4 * n // 3 > light) & regime(n, which)
+                mine = own[owner] & seen_in(sets, which)
+                rare = mine & (rank == 0)
+                m = np.bincount(owner[rare], minlength=len(n))
+                missing = n - -(-3 * n // 4) + 1 - m
+                for i in np.flatnonzero(own & (missing > 0)).tolist():
+                    often = np.flatnonzero(mine[first[i] : first[i + 1]] & (rank[first[i] : first[i + 1]] > 0)) + first[i]
+                    often = often[np.argsort(rank[often])[: missing[i]]]
+                    direct.append((named_in(sets[often], which), int(name[i]), int(n[i])))
+                who = np.flatnonzero(own & (m > 0))
+                heavy.append((name[who], n[who].astype("<i4"), np.full(len(who), which, "<i4"), m[who].astype("<i4"), named_in(sets[rare], which)))
+                total += int(rare.sum())
+            if total >= GATHER or len(direct) > GATHER // 64:
+                yield from done()
+                total = 0
+        yield from done()
 
     return scan
 
 
-def pack_signatures(sig: np.ndarray, name: np.ndarray, n: np.ndarray) -> bytes:
-    """Classes once each, signatures with an index into them."""
-    classes, at, index = np.unique(name, return_index=True, return_inverse=True)
-    return b"".join([np.array([len(classes), len(sig)], "<i8").tobytes(), classes.tobytes(), n[at].tobytes(), sig.tobytes(), index.astype("<i4").tobytes()])
-
+def _shared(parts: int):
+    """Of the shingles in a bucket, those that two classes or more have, with their number, dealt by class."""
 
-def unpack_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, m = np.frombuffer(blob, "<i8", 2)
-    classes, sizes = np.frombuffer(blob, "<i8", k, 16), np.frombuffer(blob, "<i4", k, 16 + 8 * k)
-    sig, index = np.frombuffer(blob, "<u8", m, 16 + 12 * k), np.frombuffer(blob, "<i4", m, 16 + 12 * k + 8 * m)
-    return sig, classes[index], sizes[index]
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = []
+        for batch in batches:
+            own = [k == SHINGLES for k in batch.column(1).to_pylist()]
+            blobs += [_unpack(x.as_py(), *_SHINGLES) for x, o in zip(batch.column(2), own, strict=True) if o]
+            yield batch.filter(pa.array([not o for o in own]))
+        if not blobs:
+            return
+        name, n, which, m, count, x = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        blobs.clear()
+        owner = np.repeat(np.arange(len(name)), count)
+        order = np.argsort(x, kind="stable")
+        x, owner = x[order], owner[order]
+        same = x[1:] == x[:-1]
+        some = np.zeros(len(x), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        x, owner = x[some], owner[some]
+        order = np.lexsort((name[owner], x))
+        x, owner = x[order], owner[order]
+        fresh = np.ones(len(x), bool)  # a class that several tasks have found
+        fresh[1:] = (x[1:] != x[:-1]) | (name[owner][1:] != name[owner][:-1])
+        x, owner = x[fresh], owner[fresh]
+        _, at, often = np.unique(x, return_inverse=True, return_counts=True)
+        x, owner, often = x[often[at] > 1], owner[often[at] > 1], often[at][often[at] > 1]
+        yield _dealt_rows(SHINGLES, [(b, _pack(name[owner[p]], n[owner[p]], which[owner[p]], m[owner[p]], often[p].astype("<i4"), x[p])) for b, p in _deal(mix(name[owner].astype(_U)), parts)])
+
+    return stage
+
+
+def _prefixes(parts: int):
+    """The inverted-list signatures of each class: what no other class has comes first and can't be met, so that the
+    rest of the first n - ceil(3n/4) + 1 are the rarest of its shared shingles."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = []
+        for batch in batches:
+            own = [k == SHINGLES for k in batch.column(1).to_pylist()]
+            blobs += [_unpack(x.as_py(), *_SHINGLES) for x, o in zip(batch.column(2), own, strict=True) if o]
+            yield batch.filter(pa.array([not o for o in own]))
+        if not blobs:
+            return
+        name, n, which, m, often, x = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        blobs.clear()
+        order = np.lexsort((x, often, which, name))
+        name, n, which, m, x = name[order], n[order].astype(np.int64), which[order], m[order], x[order]
+        if not len(x):
+            return
+        start = np.concatenate([[True], (name[1:] != name[:-1]) | (which[1:] != which[:-1])])
+        heads = np.flatnonzero(start)
+        group = np.cumsum(start) - 1
+        shared = np.diff(np.append(heads, len(x)))
+        left = n[heads] - -(-3 * n[heads] // 4) + 1 - (m[heads] - shared)
+        take = np.arange(len(x)) - heads[group] < left[group]
+        yield from _lists(x[take], name[take], n[take], parts)
+
+    return stage
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in size among the classes that share a signature."""
-    blobs = [b.as_py() for batch in batches for b in batch.column(1)]
-    if not blobs:
-        return
-    parts = [unpack_signatures(b) for b in blobs]
-    sig, name, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts, blobs
-    order = np.argsort(sig, kind="stable")
-    shared = np.zeros(len(sig), bool)
-    same = sig[order][1:] == sig[order][:-1]
-    shared[order[1:]] |= same
-    shared[order[:-1]] |= same
-    sig, name, n = sig[shared], name[shared], n[shared]
-    order = np.lexsort((name, n, sig))
-    sig, name, n = sig[order], name[order], n[order].astype(np.int64)
-    pair = (sig[1:] == sig[:-1]) & (name[1:] != name[:-1]) & (4 * n[:-1] >= 3 * n[1:])
-    pairs = np.unique(np.rec.fromarrays([name[:-1][pair], name[1:][pair]], names="u,v"))
-    yield pa.RecordBatch.from_pydict({"u": pa.array(pairs.u.astype(np.int64)), "v": pa.array(pairs.v.astype(np.int64))})
+    """Pairs of classes whose components hold all links: classes that share a signature and may link by size."""
+    lists, pairs = [], []
+    for batch in batches:
+        for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if kind == LISTS:
+                lists.append(_unpack(packed.as_py(), *_LISTS))
+            else:
+                pairs.append(_unpack(packed.as_py(), "<i8", "<i8"))
+    if lists:
+        _, u, v = runs(*(np.concatenate(c) for c in zip(*lists, strict=True)))
+        pairs.append([u, v])
+    if pairs:
+        u, v = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        found = np.unique(np.rec.fromarrays([np.maximum(u, v), np.minimum(u, v)], names="u,v"))
+        found = found[found.u != found.v]
+        yield pa.RecordBatch.from_pydict({"u": pa.array(found.u.astype(np.int64)), "v": pa.array(found.v.astype(np.int64))})
 
 
 # --- verification -------------------------------------------------------------------------------------------
@@ -366,7 +501,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     light = light_limit((totals.n or 1) / (totals.distinct or 1))
 
     parts = shuffle_parts(spark)
-    dealt = texts.mapInArrow(_second_scan(frequent, light, parts), "bucket int, packed binary")
+    dealt = texts.mapInArrow(_second_scan(frequent, light, parts), _STAGE)
+    for stage in (_shared(parts), _prefixes(parts)):
+        dealt = dealt.repartition(parts, "bucket").mapInArrow(stage, _STAGE)
     chains = dealt.repartition(parts, "bucket").mapInArrow(_chains, "u bigint, v bigint")
     edges = scratch.keep(chains, "chains")
     roots = scratch.keep(components(edges, scratch, "candidates"), "roots")
