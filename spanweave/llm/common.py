@@ -192,3 +192,76 @@ def distinct_per_text(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     new = np.ones(len(o), bool)
     new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
     return np.bincount(o[new], minlength=n)
+
+
+# --- packed arrays ------------------------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Several arrays as one value, for ``unpack`` with their kinds."""
+    return b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(np.frombuffer(blob, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def deal(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each of ``parts`` shares of hashes that isn't empty, in order."""
+    share = (key % _U(parts)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    edges = np.searchsorted(share[order], np.arange(parts + 1))
+    yield from ((b, order[edges[b] : edges[b + 1]]) for b in range(parts) if edges[b + 1] > edges[b])
+
+
+# --- Bloom filter -------------------------------------------------------------------------------------------
+
+#: Bits, whatever the input: 8 MB in each task. Keys beyond an eighth of them make it let all rows pass.
+BLOOM_BITS = 1 << 26
+
+
+def _bloom_places(keys: np.ndarray) -> np.ndarray:
+    h = keys.view(_U)
+    return np.stack([mix(h + _U(k)) % _U(BLOOM_BITS) for k in (1, 2)]).astype(np.int64)
+
+
+def bloom_of(df: DataFrame, key: str) -> np.ndarray | None:
+    """Bits of a column of longs, two for each value; None if there are too many for it to hold back much."""
+    if df.count() > BLOOM_BITS // 8:
+        return None
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "bit": pa.array((_U(1) << (at & 63).astype(_U)).view(np.int64))})
+
+    rows = df.select(key).mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BLOOM_BITS >> 6, _U)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(_U)
+    return out
+
+
+def bloom_has(bloom: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the filter."""
+    may = np.ones(len(keys), bool)
+    if bloom is not None:
+        for at in _bloom_places(keys):
+            may &= (bloom[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
+    return may
+
+
+def bloom_test(df: DataFrame, key: str, bloom: np.ndarray | None) -> DataFrame:
+    """Rows whose key may be in the filter."""
+    if bloom is None:
+        return df
+    bits = df.sparkSession.sparkContext.broadcast(bloom)
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(bloom_has(bits.value, keys.to_numpy(zero_copy_only=False)))
+
+    return df.filter(may(F.col(key)))

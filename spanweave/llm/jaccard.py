@@ -36,10 +36,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import LOWER, SPACE, Prefix, Scratch, chunks, gram_owner, grams, mix, shuffle_parts, table, utf8, words
+from spanweave.llm.common import LOWER, SPACE, Prefix, Scratch, bloom_has, bloom_of, chunks, deal, gram_owner, grams, mix, pack, shuffle_parts, table, unpack, utf8, words
 from spanweave.llm.components import components
 
 K = 5
@@ -50,8 +51,7 @@ LIGHT_MOST = 16
 #: Rows of signatures, or shingles, that a task gathers before it passes them on.
 GATHER = 1 << 20
 #: Shingles of a block of a component.
-BLOCK_SHINGLES = 2 << 20
-BLOOM_BITS = 1 << 26
+BLOCK_SHINGLES = 1 << 18
 #: Sets of this size and more are compared by the half of their shingles with the lower hashes. That finds all that
 #: may link unless fewer than a quarter of a set's shingles lie in that half, for which the odds are under 1e-12.
 HALVED_FROM = 256
@@ -172,26 +172,6 @@ def named_in(sets: np.ndarray, which: int) -> np.ndarray:
     return sets if which == 0 else mix(sets ^ _U(0x8CB92BA72F3D8DD7))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *(a.tobytes() for a in arrays)])
-
-
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(np.frombuffer(blob, "<i8", len(kinds)).tolist(), kinds, strict=True):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += out[-1].nbytes
-    return out
-
-
-def _deal(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each of ``parts`` shares that isn't empty, in order."""
-    share = (key % _U(parts)).astype(np.int64)
-    order = np.argsort(share, kind="stable")
-    edges = np.searchsorted(share[order], np.arange(parts + 1))
-    yield from ((b, order[edges[b] : edges[b + 1]]) for b in range(parts) if edges[b + 1] > edges[b])
-
-
 def _dealt_rows(kind: int, dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in dealt], pa.int32()), "kind": pa.array([kind] * len(dealt), pa.int32()), "packed": pa.array([x for _, x in dealt], pa.binary())})
 
@@ -225,9 +205,9 @@ def runs(sig: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> t
 
 def _lists(sig: np.ndarray, name: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     (sig, name, lo, hi), u, v = runs(sig, name, n, n)
-    yield _dealt_rows(LISTS, [(b, _pack(sig[p], name[p], lo[p].astype("<i4"), hi[p].astype("<i4"))) for b, p in _deal(sig, parts)])
+    yield _dealt_rows(LISTS, [(b, pack(sig[p], name[p], lo[p].astype("<i4"), hi[p].astype("<i4"))) for b, p in deal(sig, parts)])
     pairs = np.unique(np.rec.fromarrays([u, v], names="u,v"))
-    yield _dealt_rows(PAIRS, [(b, _pack(pairs.u[p], pairs.v[p])) for b, p in _deal(mix(pairs.v.astype(_U)), parts)])
+    yield _dealt_rows(PAIRS, [(b, pack(pairs.u[p], pairs.v[p])) for b, p in deal(mix(pairs.v.astype(_U)), parts)])
 
 
 def _second_scan(frequent: np.ndarray, light: int, parts: int):
@@ -252,9 +232,9 @@ def _second_scan(frequent: np.ndarray, light: int, parts: int):
                 name, n, which, m, x = (np.concatenate(c) for c in zip(*heavy, strict=True))
                 owner = np.repeat(np.arange(len(name)), m)
                 dealt = []
-                for b, rows in _deal(x, parts):
+                for b, rows in deal(x, parts):
                     who, count = np.unique(owner[rows], return_counts=True)  # rows are in the order of owners
-                    dealt.append((b, _pack(name[who], n[who], which[who], m[who], count.astype("<i4"), x[rows])))
+                    dealt.append((b, pack(name[who], n[who], which[who], m[who], count.astype("<i4"), x[rows])))
                 yield _dealt_rows(SHINGLES, dealt)
             if direct:
                 k = [len(s) for s, _, _ in direct]
@@ -297,7 +277,7 @@ def _shared(parts: int):
         blobs = []
         for batch in batches:
             own = [k == SHINGLES for k in batch.column(1).to_pylist()]
-            blobs += [_unpack(x.as_py(), *_SHINGLES) for x, o in zip(batch.column(2), own, strict=True) if o]
+            blobs += [unpack(x.as_py(), *_SHINGLES) for x, o in zip(batch.column(2), own, strict=True) if o]
             yield batch.filter(pa.array([not o for o in own]))
         if not blobs:
             return
@@ -318,7 +298,7 @@ def _shared(parts: int):
         x, owner = x[fresh], owner[fresh]
         _, at, often = np.unique(x, return_inverse=True, return_counts=True)
         x, owner, often = x[often[at] > 1], owner[often[at] > 1], often[at][often[at] > 1]
-        yield _dealt_rows(SHINGLES, [(b, _pack(name[owner[p]], n[owner[p]], which[owner[p]], m[owner[p]], often[p].astype("<i4"), x[p])) for b, p in _deal(mix(name[owner].astype(_U)), parts)])
+        yield _dealt_rows(SHINGLES, [(b, pack(name[owner[p]], n[owner[p]], which[owner[p]], m[owner[p]], often[p].astype("<i4"), x[p])) for b, p in deal(mix(name[owner].astype(_U)), parts)])
 
     return stage
 
@@ -331,7 +311,7 @@ def _prefixes(parts: int):
         blobs = []
         for batch in batches:
             own = [k == SHINGLES for k in batch.column(1).to_pylist()]
-            blobs += [_unpack(x.as_py(), *_SHINGLES) for x, o in zip(batch.column(2), own, strict=True) if o]
+            blobs += [unpack(x.as_py(), *_SHINGLES) for x, o in zip(batch.column(2), own, strict=True) if o]
             yield batch.filter(pa.array([not o for o in own]))
         if not blobs:
             return
@@ -358,9 +338,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             if kind == LISTS:
-                lists.append(_unpack(packed.as_py(), *_LISTS))
+                lists.append(unpack(packed.as_py(), *_LISTS))
             else:
-                pairs.append(_unpack(packed.as_py(), "<i8", "<i8"))
+                pairs.append(unpack(packed.as_py(), "<i8", "<i8"))
     if lists:
         _, u, v = runs(*(np.concatenate(c) for c in zip(*lists, strict=True)))
         pairs.append([u, v])
@@ -450,37 +430,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-def _bloom_places(names: np.ndarray) -> np.ndarray:
-    h = names.view(_U)
-    return np.stack([mix(h + _U(k)) % _U(BLOOM_BITS) for k in (1, 2)]).astype(np.int64)
-
-
-def _bloom(candidates: DataFrame) -> np.ndarray | None:
-    """Bits of the candidates' names, two for each; None if there are too many for the filter to hold back much."""
-    if candidates.count() > BLOOM_BITS // 8:
-        return None
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "bit": pa.array((_U(1) << (at & 63).astype(_U)).view(np.int64))})
-
-    words_ = candidates.select("name").mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, _U)
-    out[words_.column("word").to_numpy()] = words_.column("bits").to_numpy().view(_U)
-    return out
-
-
-def _third_scan(bloom: np.ndarray | None):
+def _third_scan(bits: Broadcast):
     """(name, size, packed): the sets of classes that may be candidates, once for a task's documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets, first, name in _sets(batches):
-            may = np.diff(first) > 0
-            if bloom is not None:
-                for at in _bloom_places(name):
-                    may &= (bloom[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1
+            may = (np.diff(first) > 0) & bloom_has(bits.value, name)
             rows = [i for i in np.unique(name, return_index=True)[1].tolist() if may[i] and int(name[i]) not in seen]
             seen.update(name[rows].tolist())
             if rows:
@@ -513,7 +469,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = rows.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
     weights = candidates.join(sizes, "name").groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     groups = candidates.join(weights, "root")
-    sets = texts.mapInArrow(_third_scan(_bloom(candidates)), "name bigint, packed binary")
+    sets = texts.mapInArrow(_third_scan(spark.sparkContext.broadcast(bloom_of(candidates, "name"))), "name bigint, packed binary")
     block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))")
     placed = sets.join(groups, "name").withColumn("block", block).withColumn("pair", F.explode(pairs))
