@@ -108,15 +108,23 @@ def host_rates(failures: DataFrame) -> DataFrame:
     return failures.withColumn("rate", (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
 
 
-def judge(docs: DataFrame, q: str, scratch: Scratch, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def rejected_hosts(docs: DataFrame, q: str, scratch: Scratch, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """(__host, __bad) of rejected hosts, from documents with the struct ``q`` of ``measured``."""
+    counted = docs.groupBy("source").agg(F.count("*").alias("n"), F.sum(rule_failed(q).cast("long")).alias("failed"))
+    bad = host_rates(scratch.keep(counted, "hosts")).filter(F.col("rate") > max_rate)
+    return bad.select(_host().alias("__host"), F.lit(True).alias("__bad"))
+
+
+def _host():
+    """A host as a key that is equal for nulls too."""
+    return F.to_json(F.struct("source"), {"ignoreNullFields": "false"})
+
+
+def judge(docs: DataFrame, q: str, scratch: Scratch, rejected: DataFrame) -> DataFrame:
     """``docs``, which must have the struct ``q`` of ``measured``, with that struct widened by base_failed,
     rule_failed, host_rejected and kept."""
-    host = F.struct(F.col("source").alias("source"))  # equal even where null
-    counted = docs.groupBy(host.alias("__host")).agg(F.count("*").alias("n"), F.sum(rule_failed(q).cast("long")).alias("failed"))
-    rejected = host_rates(scratch.keep(counted, "hosts")).filter(F.col("rate") > max_rate)
-    rejected = rejected.select(F.to_json("__host", {"ignoreNullFields": "false"}).alias("__host"), F.lit(True).alias("__bad"))
-    keyed = docs.withColumn("__host", F.to_json(host, {"ignoreNullFields": "false"}))
-    joined = lookup(keyed, rejected, "__host", rejected.count())
+    rejected = scratch.keep(rejected, "rejected")
+    joined = lookup(docs.withColumn("__host", _host()), rejected, "__host", rejected.count())
     bad = F.coalesce("__bad", F.lit(False))
     wide = F.struct(f"{q}.*", base_failed(q).alias("base_failed"), rule_failed(q).alias("rule_failed"), bad.alias("host_rejected"), (~base_failed(q) & ~bad).alias("kept"))
     return joined.withColumn(q, wide).drop("__host", "__bad")
@@ -126,4 +134,5 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     numbers = scratch.keep(measured(docs, "__q").drop("text"), "measures")
-    return judge(numbers, "__q", scratch).select("doc_id", *(f"__q.{m}" for m in MEASURES[:5]), "__q.base_failed", "__q.kept", "__q.rule_failed", "__q.host_rejected")
+    judged = judge(numbers, "__q", scratch, rejected_hosts(numbers, "__q", scratch))
+    return judged.select("doc_id", *(f"__q.{m}" for m in MEASURES[:5]), "__q.base_failed", "__q.kept", "__q.rule_failed", "__q.host_rejected")
