@@ -8,16 +8,17 @@ in the same one). Matches never cross documents.
    that occur twice (a fragment: all strings of SPAN bytes that hold the anchor) need to be looked at.
 2. Equal fragments. Of occurrences with an equal anchor and an equal fragment, all but the first are covered as a
    whole. That is settled within each task before anything is dealt, and then once more for each anchor.
-3. Different fragments of one anchor. Only one of each kind is left. Blocks of them are cut into shards; each
+3. Different fragments of one anchor. Only one of each kind is left. Blocks of them are cut into two shards; each
    shard's suffixes are sorted once, which gives its transform. Two transforms are merged by refining how their
-   rows interleave: each round sorts the rows, stably, by the byte before the suffix, which orders them by one byte
-   more. Rows that a round first tells apart have a common prefix of as many bytes as rounds before, so after SPAN
-   rounds the rows still together are the repeated strings. The first place of each such interval stays.
+   rows interleave: each round sorts the rows, stably, by the STRIDE bytes before the suffix, which orders them by
+   so many bytes more. Rows that a round first tells apart have a common prefix of what the rounds before it
+   compared, so once SPAN bytes are compared the rows still together are the repeated strings. The first place of
+   each such interval stays.
 4. Covered ranges of each document are merged and taken out.
 
 Scale: anchors (one for about 35 bytes) are dealt by hash in packed arrays; texts are shuffled once to give
 fragments (only those that have any to give; a Bloom filter of fixed size holds back others) and once to be cut.
-A block has at most BLOCK_BYTES; anchors with more fragments than a block are split by the string beside them.
+Blocks hold whole groups of fragments, of about BLOCK_BYTES.
 
 Edge cases: a null or empty text has no bytes, and the hash of nothing; documents of less than SPAN bytes stay
 whole; rows that repeat an id, or have none, are told apart by id, then text, null last (equal rows: the later are
@@ -42,6 +43,8 @@ GRAM = 32
 REACH = SPAN - GRAM
 #: Bytes of fragments that are merged at once, as two shards.
 BLOCK_BYTES = 1 << 20
+#: Bytes by which a round orders further; a divisor of SPAN.
+STRIDE = 4
 #: Anchors that a task gathers before it deals them.
 GATHER = 1 << 20
 
@@ -49,7 +52,7 @@ _U = np.uint64
 #: Rows between stages: (bucket, kind, packed).
 ANCHORS, RANGES, WANTED, FRAGMENTS = 0, 1, 2, 3
 _STAGE = "bucket int, kind int, packed binary"
-_ANCHORS = ("<u8", "<u8", "<i8", "<i4", "|u1")  # gram, fragment, document, place, bytes of the fragment after it
+_ANCHORS = ("<u8", "<u8", "<i8", "<i4", "|u1")  # gram, fragment, document, begin and length of the fragment
 _RANGES = ("<i8", "<i4", "<i4")
 _WANTED = ("<i8", "<u8", "<i4", "|u1")
 _FRAGMENTS = ("<u8", "<i8", "<i4", "<i4", "|u1")  # gram, document, begin, length; bytes
@@ -91,24 +94,44 @@ def _slide(x: np.ndarray, n: int, f) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """gram, fragment, text number, place within the text and bytes after it, of all anchors."""
-    prefix = Prefix(data)
+    """gram, fragment, text number, begin of the fragment within the text and its length, of all anchors. An anchor's
+    fragment are the strings of SPAN bytes of which it is the least gram (the leftmost, if equal): each string is in
+    one fragment, wherever it occurs it is with an equal anchor at the same place."""
     n = len(data)
     if n < SPAN:
         return np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(3))
+    prefix = Prefix(data)
     begin = np.arange(n - GRAM + 1)
     h = prefix.ranges(begin, begin + GRAM)
-    least = _slide(h, REACH + 1, np.minimum)  # of each window of SPAN bytes
+    least = _slide(h, REACH + 1, np.minimum)  # of each string of SPAN bytes
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    inside = at[1:][owner[: len(least)]] >= np.arange(len(least)) + SPAN
-    least = np.where(inside, least, _U(0))  # windows across texts have no anchor
+    inside = at[1:][owner[: len(least)]] >= begin[: len(least)] + SPAN
+    least = np.where(inside, least, _U(0))  # strings across texts have no anchor
     greatest = _slide(np.concatenate([np.zeros(REACH, _U), least, np.zeros(REACH, _U)]), REACH + 1, np.maximum)
     where = np.flatnonzero((greatest[: len(h)] == h) & (h > 0))
-    text = owner[where]
-    lo = np.maximum(where - REACH, at[:-1][text])
-    hi = np.minimum(where + SPAN, at[1:][text])
-    fragment = mix(prefix.ranges(lo, hi) ^ mix((where - lo).astype(_U) + _U(977)))
-    return h[where], fragment, text, where - at[:-1][text], hi - where
+    # runs of strings with one least gram, and the places of that gram in each
+    heads = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(heads[1:], len(least)) - 1
+    heads, ends = heads[least[heads] > 0], ends[least[heads] > 0]
+    if not len(heads):
+        return np.empty(0, _U), np.empty(0, _U), *(np.empty(0, np.int64) for _ in range(3))
+    values, rank = np.unique(h[where], return_inverse=True)
+    order = np.lexsort((where, rank))
+    key = rank[order] * (n + 1) + where[order]
+    mine = np.searchsorted(values, least[heads]) * (n + 1)
+    lo, hi = np.searchsorted(key, mine + heads), np.searchsorted(key, mine + ends + REACH, side="right")
+    count = hi - lo
+    run = np.repeat(np.arange(len(heads)), count)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    place = where[order][lo[run] + nth]
+    first = heads[run]
+    first[1:] = np.where(nth[1:] > 0, np.maximum(first[1:], place[:-1] + 1), first[1:])
+    last = np.minimum(ends[run], place)
+    some = first <= last
+    place, first, last = place[some], first[some], last[some]
+    text = owner[first]
+    fragment = mix(prefix.ranges(first, last + SPAN) ^ mix((place - first).astype(_U) + _U(977)))
+    return h[place], fragment, text, first - at[:-1][text], last - first + SPAN
 
 
 def _firsts(gram: np.ndarray, fragment: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +143,8 @@ def _firsts(gram: np.ndarray, fragment: np.ndarray, doc: np.ndarray, place: np.n
     return order, first
 
 
-def _ranges(doc: np.ndarray, place: np.ndarray, after: np.ndarray, parts: int) -> pa.RecordBatch:
-    begin = np.maximum(place.astype(np.int64) - REACH, 0).astype("<i4")
-    return _dealt(RANGES, _by_doc(doc), parts, doc.astype("<i8"), begin, (place + after).astype("<i4"))
+def _ranges(doc: np.ndarray, place: np.ndarray, length: np.ndarray, parts: int) -> pa.RecordBatch:
+    return _dealt(RANGES, _by_doc(doc), parts, doc.astype("<i8"), place.astype("<i4"), (place + length).astype("<i4"))
 
 
 def _scan(parts: int):
@@ -131,18 +153,18 @@ def _scan(parts: int):
         total = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            gram, fragment, doc, place, after = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, fragment, doc, place, length = (np.concatenate(c) for c in zip(*held, strict=True))
             order, first = _firsts(gram, fragment, doc, place)
             again, keep = order[~first], order[first]
-            yield _ranges(doc[again], place[again], after[again], parts)
-            yield _dealt(ANCHORS, gram[keep], parts, gram[keep], fragment[keep], doc[keep].astype("<i8"), place[keep].astype("<i4"), after[keep].astype("|u1"))
+            yield _ranges(doc[again], place[again], length[again], parts)
+            yield _dealt(ANCHORS, gram[keep], parts, gram[keep], fragment[keep], doc[keep].astype("<i8"), place[keep].astype("<i4"), length[keep].astype("|u1"))
 
         for batch in batches:
             data, at = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in chunks(at):
-                gram, fragment, text, place, after = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                held.append((gram, fragment, ids[i:j][text], place, after))
+                gram, fragment, text, place, length = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                held.append((gram, fragment, ids[i:j][text], place, length))
                 total += len(gram)
                 if total >= GATHER:
                     yield from done()
@@ -162,24 +184,24 @@ def _resolve(parts: int):
         yield from passed
         if found is None:
             return
-        gram, fragment, doc, place, after = found
+        gram, fragment, doc, place, length = found
         same = np.zeros(len(gram), bool)  # most grams occur once
         by = np.argsort(gram, kind="stable")
         twice = gram[by][1:] == gram[by][:-1]
         same[by[1:]] |= twice
         same[by[:-1]] |= twice
-        gram, fragment, doc, place, after = (x[same] for x in found)
+        gram, fragment, doc, place, length = (x[same] for x in found)
         order, first = _firsts(gram, fragment, doc, place)
         again, keep = order[~first], order[first]
         if len(again):
-            yield _ranges(doc[again], place[again], after[again].astype(np.int64), parts)
+            yield _ranges(doc[again], place[again], length[again].astype(np.int64), parts)
         g = gram[keep]
         more = np.zeros(len(g), bool)
         more[1:] |= g[1:] == g[:-1]
         more[:-1] |= g[1:] == g[:-1]
         keep = keep[more]
         if len(keep):
-            yield _dealt(WANTED, _by_doc(doc[keep]), parts, doc[keep], gram[keep], place[keep], after[keep])
+            yield _dealt(WANTED, _by_doc(doc[keep]), parts, doc[keep], gram[keep], place[keep], length[keep])
 
     return stage
 
@@ -188,69 +210,83 @@ def _resolve(parts: int):
 
 
 class Transform:
-    """The rows of the sorted suffixes of a shard: the byte before each (+1; 0 for the begin of a string), the
-    string and the place where it starts. Strings end with signs that sort before all bytes, by their number."""
-
-    def __init__(self, strings: list[np.ndarray], numbers: list[int]):
-        n = sum(len(s) + 1 for s in strings)
-        text, owner, place = np.zeros(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
-        at = 0
-        for s, k in zip(strings, numbers, strict=True):
-            text[at : at + len(s)] = s.astype(np.int64) + 1
-            owner[at : at + len(s) + 1] = k
-            place[at : at + len(s) + 1] = np.arange(len(s) + 1)
-            at += len(s) + 1
-        self.strings = len(strings)
-        order = _sorted_suffixes(text)
-        before = np.zeros(n, np.int16)
-        before[1:] = text[:-1]
-        self.before, self.owner, self.place = before[order], owner[order], place[order]
-
-
-def _sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """Order of suffixes up to the sign (0) that ends their string; ties by place. Ranks are doubled in length."""
+    """The rows of the sorted suffixes of a shard: the ``stride`` bytes before each (as a number, 0 where the string
+    begins before), the string and the place where it starts. Strings end with signs that sort before all bytes, by
+    their number. ``short``: what suffixes of less than ``stride`` bytes start with, by string and place."""
+
+    def __init__(self, strings: list[np.ndarray], numbers: range, stride: int):
+        length = np.array([len(x) for x in strings], np.int64)
+        ends = np.cumsum(length + 1) - 1
+        n = int(ends[-1]) + 1 if len(ends) else 0
+        text = np.zeros(n, np.int64)
+        text[np.delete(np.arange(n), ends)] = np.concatenate(strings).astype(np.int64) + 1 if strings else 0
+        string = np.repeat(np.arange(len(strings)), length + 1)
+        place = np.arange(n) - np.repeat(ends - length, length + 1)
+        left = np.repeat(ends, length + 1) - np.arange(n)
+        order = _sorted_suffixes(text, left)
+        head = _heads(text, left, stride)
+        before = np.zeros(n, np.int64)
+        before[stride:] = head[: max(0, n - stride)]
+        before[place < stride] = 0
+        self.short = head[left < stride]
+        self.before, self.string, self.place = before[order], numbers.start + string[order], place[order]
+
+
+def _heads(text: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+    """The first k bytes of every suffix as a number above 0; 0 from its sign on."""
+    out = np.zeros(len(text), np.int64)
+    for j in range(k):
+        ahead = np.zeros(len(text), np.int64)
+        ahead[: max(0, len(text) - j)] = text[j:]
+        out = out * 257 + np.where(left > j, ahead, 0)
+    return out + 1
+
+
+def _sorted_suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of suffixes up to the sign (0) that ends their string; ties by place. Ranks double in length."""
     n = len(text)
-    ends = np.flatnonzero(text == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # bytes up to the sign
-    key = np.zeros(n, np.int64)
-    for j in range(6):  # six bytes of nine bits
-        key = key * 512 + np.where(left > j, text[np.minimum(np.arange(n) + j, n - 1)], 0)
-    length = 6
+    key, length = _heads(text, left, 7), 7
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], key[order][1:] != key[order][:-1]])
+        order = np.argsort(key)
+        new = np.ones(n, np.int64)
+        new[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if length >= left.max() or new.sum() == n - 1:
-            return order
-        ahead = np.where(left > length, rank[np.minimum(np.arange(n) + length, n - 1)] + 1, 0)
-        key = rank * (n + 2) + ahead
+        if not n or length >= left.max() or rank[order[-1]] == n:
+            return np.argsort(rank * (n + 1) + np.arange(n))
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - length] = rank[length:]
+        key = rank * (n + 2) + np.where(left > length, ahead, 0)
         length *= 2
 
 
-def merge(a: Transform, b: Transform, rounds: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """How the rows of two transforms interleave when ordered by the first ``rounds`` bytes (0 and 1: of which a row
-    is), and which rows begin an interval, that is, differ from the row before them within these bytes."""
-    signs = a.strings + b.strings
+def merge(a: Transform, b: Transform, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """How the rows of two transforms interleave when ordered by the first ``rounds`` strides (0 and 1: of which a
+    row is), and which rows begin an interval, that is, differ from the row before them within these bytes."""
     n = len(a.before) + len(b.before)
-    which = np.concatenate([np.zeros(len(a.before), np.int8), np.ones(len(b.before), np.int8)])
-    head = np.concatenate([np.zeros(a.strings, np.int8), np.ones(b.strings, np.int8)])
+    short = np.concatenate([a.short, b.short])
+    codes, coded = np.unique(np.concatenate([[0], a.before, b.before, short]), return_inverse=True)
+    coded = coded[1:].astype(np.uint16 if len(codes) <= 1 << 16 else np.int32)
+    of_a, of_b, of_short = coded[: len(a.before)], coded[len(a.before) : n], coded[n:]
+    which_short = np.concatenate([np.zeros(len(a.short), bool), np.ones(len(b.short), bool)])
+    alone = -1 - np.arange(len(short), dtype=np.int32)  # short suffixes differ from all others
+    which = np.concatenate([np.zeros(len(a.before), bool), np.ones(len(b.before), bool)])
     begins = np.zeros(n, bool)
-    begins[0] = True
-    byte = np.empty(n, np.int16)
+    begins[:1] = True
+    code = np.empty(n, coded.dtype)
     for _ in range(rounds):
-        ones = which.astype(bool)
-        byte[~ones], byte[ones] = a.before, b.before
-        interval = np.cumsum(begins, dtype=np.int32)
-        rows = np.flatnonzero(byte)
-        order = rows[np.argsort(byte[rows], kind="stable")]
-        new = np.ones(n, bool)  # signs differ from each other
-        c, i = byte[order], interval[order]
-        new[signs + 1 :] = (c[1:] != c[:-1]) | (i[1:] != i[:-1])
-        after = np.concatenate([head, which[order]])
-        if np.array_equal(new, begins) and np.array_equal(after, which):
+        code[~which], code[which] = of_a, of_b
+        rows = np.flatnonzero(code)
+        every = np.concatenate([of_short, code[rows]])
+        order = np.argsort(every, kind="stable")
+        c = every[order]
+        i = np.concatenate([alone, np.cumsum(begins, dtype=np.int32)[rows]])[order]
+        new = np.ones(n, bool)
+        new[1:] = (c[1:] != c[:-1]) | (i[1:] != i[:-1])
+        which = np.concatenate([which_short, which[rows]])[order]
+        if np.array_equal(new, begins):
             break
-        begins, which = new, after
+        begins = new
     return which, begins
 
 
@@ -260,12 +296,11 @@ def repeated(strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray) -> t
     while half < len(strings) - 1 and size < total // 2:
         size += len(strings[half])
         half += 1
-    a, b = Transform(strings[:half], list(range(half))), Transform(strings[half:], list(range(half, len(strings))))
-    which, begins = merge(a, b)
-    ones = which.astype(bool)
+    a, b = Transform(strings[:half], range(half), STRIDE), Transform(strings[half:], range(half, len(strings)), STRIDE)
+    which, begins = merge(a, b, SPAN // STRIDE)
     owner, place = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
-    owner[~ones], owner[ones] = a.owner, b.owner
-    place[~ones], place[ones] = a.place, b.place
+    owner[~which], owner[which] = a.string, b.string
+    place[~which], place[which] = a.place, b.place
     interval = np.cumsum(begins)
     many = np.bincount(interval)[interval] > 1
     interval, d, p = interval[many], doc[owner[many]], begin[owner[many]] + place[many]
@@ -326,9 +361,9 @@ def _fragments(parts: int):
         for batch in batches:
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                gram, place, after = unpack(wanted.as_py(), "<u8", "<i4", "|u1")
-                lo, hi = np.maximum(place - REACH, 0), place + after
-                held.append((gram, np.full(len(gram), doc, "<i8"), lo.astype("<i4"), (hi - lo).astype("<i4"), [raw[b:e] for b, e in zip(lo.tolist(), hi.tolist(), strict=True)]))
+                gram, place, length = unpack(wanted.as_py(), "<u8", "<i4", "|u1")
+                lo, hi = place, place + length.astype(np.int64)
+                held.append((gram, np.full(len(gram), doc, "<i8"), lo, length.astype("<i4"), [raw[b:e] for b, e in zip(lo.tolist(), hi.tolist(), strict=True)]))
                 total += len(gram)
             if total >= GATHER // 16:
                 yield done()
