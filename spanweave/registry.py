@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.suite import SUITE, searching
+from spanweave.suite import SUITE, linking, searching  # noqa: F401
 
 QUERIES = SUITE.queries
 ORACLE_SQL = SUITE.sql
