@@ -49,7 +49,7 @@ FREQUENT, NAMED, NAMED_FROM = 65_536, 4_096, 8
 #: No set larger than this is light, whatever the costs.
 LIGHT_MOST = 16
 #: Rows of signatures, or shingles, that a task gathers before it passes them on.
-GATHER = 1 << 20
+GATHER = 1 << 19
 #: Shingles of a block of a component.
 BLOCK_SHINGLES = 1 << 18
 #: Sets of this size and more are compared by the half of their shingles with the lower hashes. That finds all that

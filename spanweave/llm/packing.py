@@ -32,7 +32,7 @@ from spanweave.llm.common import Scratch, lookup, table
 SEQUENCE = 2048
 OPEN_BINS = 512
 MERGED_TASKS = 16
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 #: Longer words are encoded without being kept.
 CACHED_LENGTH = 64
 
@@ -90,7 +90,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    """One for all tasks of a worker process."""
+    """One for all tasks of a worker process, which each begin with no words kept."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -165,6 +165,7 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, size: int = SEQUENCE, ope
         rows += [(None, None, None, None, None, task | b, None, used) for b, used in bins.unfinished()]
         if rows:
             yield _batch(rows)
+        encoder.clear()  # the worker process lives on
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Unfinished bins of a group of tasks, the fullest first, into bins that the first of each gives its id."""

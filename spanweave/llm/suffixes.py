@@ -18,7 +18,8 @@ in the same one). Matches never cross documents.
 
 Scale: anchors (one for about 35 bytes) are dealt by hash in packed arrays; texts are shuffled once to give
 fragments (only those that have any to give; a Bloom filter of fixed size holds back others) and once to be cut.
-Blocks hold whole groups of fragments, of about BLOCK_BYTES.
+Blocks have about BLOCK_BYTES. An anchor with more fragments than that is dealt in shares, each a block of its own;
+the first places of their strings are then held against each other by a 64-bit hash, dealt by that hash.
 
 Edge cases: a null or empty text has no bytes, and the hash of nothing; documents of less than SPAN bytes stay
 whole; rows that repeat an id, or have none, are told apart by id, then text, null last (equal rows: the later are
@@ -42,20 +43,21 @@ GRAM = 32
 #: Bytes before an anchor that a string of SPAN bytes with it can have.
 REACH = SPAN - GRAM
 #: Bytes of fragments that are merged at once, as two shards.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes by which a round orders further; a divisor of SPAN.
 STRIDE = 4
 #: Anchors that a task gathers before it deals them.
-GATHER = 1 << 20
+GATHER = 1 << 19
 
 _U = np.uint64
 #: Rows between stages: (bucket, kind, packed).
-ANCHORS, RANGES, WANTED, FRAGMENTS = 0, 1, 2, 3
+ANCHORS, RANGES, WANTED, FRAGMENTS, STRINGS = 0, 1, 2, 3, 4
 _STAGE = "bucket int, kind int, packed binary"
 _ANCHORS = ("<u8", "<u8", "<i8", "<i4", "|u1")  # gram, fragment, document, begin and length of the fragment
 _RANGES = ("<i8", "<i4", "<i4")
-_WANTED = ("<i8", "<u8", "<i4", "|u1")
-_FRAGMENTS = ("<u8", "<i8", "<i4", "<i4", "|u1")  # gram, document, begin, length; bytes
+_WANTED = ("<i8", "<u8", "<i4", "|u1", "<i4")  # document, gram, begin and length, shares of the gram
+_FRAGMENTS = ("<u8", "<i8", "<i4", "<i4", "<i4", "|u1")  # gram and share, document, begin, length, shares; bytes
+_STRINGS = ("<u8", "<i8", "<i4")  # hash of SPAN bytes, document, place
 
 
 def _rows(kind: int, dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -201,7 +203,9 @@ def _resolve(parts: int):
         more[:-1] |= g[1:] == g[:-1]
         keep = keep[more]
         if len(keep):
-            yield _dealt(WANTED, _by_doc(doc[keep]), parts, doc[keep], gram[keep], place[keep], length[keep])
+            _, which, n = np.unique(gram[keep], return_inverse=True, return_counts=True)
+            shares = (n * 2 * SPAN // BLOCK_BYTES + 1)[which].astype("<i4")
+            yield _dealt(WANTED, _by_doc(doc[keep]), parts, doc[keep], gram[keep], place[keep], length[keep], shares)
 
     return stage
 
@@ -290,8 +294,9 @@ def merge(a: Transform, b: Transform, rounds: int) -> tuple[np.ndarray, np.ndarr
     return which, begins
 
 
-def repeated(strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (document, offset) at which a string of SPAN bytes starts that also starts earlier."""
+def repeated(strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places (document, offset) at which a string of SPAN bytes starts that also starts earlier among these; and the
+    first place of each string of SPAN bytes, with the number of the fragment that it is in."""
     half, size, total = 0, 0, sum(len(s) for s in strings)
     while half < len(strings) - 1 and size < total // 2:
         size += len(strings[half])
@@ -301,20 +306,29 @@ def repeated(strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray) -> t
     owner, place = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
     owner[~which], owner[which] = a.string, b.string
     place[~which], place[which] = a.place, b.place
-    interval = np.cumsum(begins)
-    many = np.bincount(interval)[interval] > 1
-    interval, d, p = interval[many], doc[owner[many]], begin[owner[many]] + place[many]
+    whole = place + SPAN <= np.array([len(s) for s in strings])[owner]
+    interval, owner, place = np.cumsum(begins)[whole], owner[whole], place[whole]
+    d, p = doc[owner], begin[owner] + place
     order = np.lexsort((p, d, interval))
-    interval, d, p = interval[order], d[order], p[order]
+    interval, d, p, owner = interval[order], d[order], p[order], owner[order]
     first = np.ones(len(order), bool)
     first[1:] = interval[1:] != interval[:-1]
-    least = np.flatnonzero(first)[np.cumsum(first) - 1]
+    least = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.empty(0, np.int64)
     later = (d != d[least]) | (p != p[least])
-    return d[later], p[later]
+    return d[later], p[later], d[first], p[first], owner[first]
+
+
+def _strings(parts: int, d: np.ndarray, p: np.ndarray, parent: np.ndarray, strings: list[np.ndarray], begin: np.ndarray) -> pa.RecordBatch:
+    """First places of strings, dealt by the strings' hash, to be held against those of the gram's other shares."""
+    at = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    where = at[parent] + p - begin[parent]
+    h = Prefix(np.concatenate(strings)).ranges(where, where + SPAN)
+    return _dealt(STRINGS, h, parts, h, d.astype("<i8"), p.astype("<i4"))
 
 
 def _compare(parts: int):
-    """Blocks of whole groups of fragments, merged; a group larger than a block is split by strings."""
+    """Blocks of fragments, merged. The fragments of a gram are in one block, or in as many shares as they need; then
+    strings that are first in their share are dealt on."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -322,26 +336,53 @@ def _compare(parts: int):
             found += [unpack(x.as_py(), *_FRAGMENTS) for x in batch.column(2)]
         if not found:
             return
-        gram, doc, begin, length, data = (np.concatenate(c) for c in zip(*found, strict=True))
+        gram, doc, begin, length, shares, data = (np.concatenate(c) for c in zip(*found, strict=True))
         found.clear()
         at = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
         order = np.argsort(gram, kind="stable")
-        sizes = np.cumsum(length[order] + 1, dtype=np.int64)
         heads = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+        edges = np.append(heads, len(order))
+        size = np.add.reduceat(length[order].astype(np.int64) + 1, heads)
         i = 0
         while i < len(heads):
-            base = sizes[heads[i]] - length[order[heads[i]]] - 1
-            j = max(i + 1, int(np.searchsorted(np.append(sizes[heads[1:] - 1], sizes[-1]), base + BLOCK_BYTES, side="right")))
-            rows = order[heads[i] : heads[j] if j < len(heads) else len(order)]
+            j, total = i + 1, int(size[i])
+            alone = shares[order[heads[i]]] > 1
+            while not alone and j < len(heads) and total + size[j] <= BLOCK_BYTES and shares[order[heads[j]]] == 1:
+                total += int(size[j])
+                j += 1
+            rows = order[edges[i] : edges[j]]
             strings = [data[at[r] : at[r + 1]] for r in rows]
-            d, p = repeated(strings, doc[rows], begin[rows].astype(np.int64))
+            d, p, first_d, first_p, parent = repeated(strings, doc[rows], begin[rows].astype(np.int64))
             if len(d):
                 yield _dealt(RANGES, _by_doc(d), parts, d.astype("<i8"), p.astype("<i4"), (p + SPAN).astype("<i4"))
+            if alone:
+                yield _strings(parts, first_d, first_p, parent, strings, begin[rows].astype(np.int64))
             i = j
 
     return stage
 
 
+def _across(parts: int):
+    """Strings that are first in their share but not among all shares."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[pa.RecordBatch] = []
+        found = _take(batches, STRINGS, _STRINGS, passed)
+        yield from passed
+        if found is None:
+            return
+        h, d, p = found
+        order = np.lexsort((p, d, h))
+        h, d, p = h[order], d[order], p[order].astype(np.int64)
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        least = np.flatnonzero(first)[np.cumsum(first) - 1]
+        later = (d != d[least]) | (p != p[least])
+        d, p = d[later], p[later]
+        yield _dealt(RANGES, _by_doc(d), parts, d.astype("<i8"), p.astype("<i4"), (p + SPAN).astype("<i4"))
+
+    return stage
+
+
 # --- documents ----------------------------------------------------------------------------------------------
 
 
@@ -351,19 +392,21 @@ def _fragments(parts: int):
         total = 0
 
         def done() -> pa.RecordBatch:
-            gram, doc, begin, length = (np.concatenate([h[i] for h in held]) for i in range(4))
-            data = [x for h in held for x in h[4]]
+            gram, doc, begin, length, shares = (np.concatenate([h[i] for h in held]) for i in range(5))
+            data = [x for h in held for x in h[5]]
+            share = mix(doc.view(_U) * _U(31) + begin.astype(_U)) % shares.astype(_U)
+            gram = np.where(shares > 1, mix(gram + share), gram)
             dealt = []
             for b, p in deal(gram, parts):
-                dealt.append((b, pack(gram[p], doc[p], begin[p], length[p], np.concatenate([data[k] for k in p]))))
+                dealt.append((b, pack(gram[p], doc[p], begin[p], length[p], shares[p], np.concatenate([data[k] for k in p]))))
             return _rows(FRAGMENTS, dealt)
 
         for batch in batches:
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                gram, place, length = unpack(wanted.as_py(), "<u8", "<i4", "|u1")
-                lo, hi = place, place + length.astype(np.int64)
-                held.append((gram, np.full(len(gram), doc, "<i8"), lo, length.astype("<i4"), [raw[b:e] for b, e in zip(lo.tolist(), hi.tolist(), strict=True)]))
+                gram, lo, length, shares = unpack(wanted.as_py(), *_WANTED[1:])
+                hi = lo + length.astype(np.int64)
+                held.append((gram, np.full(len(gram), doc, "<i8"), lo, length.astype("<i4"), shares, [raw[b:e] for b, e in zip(lo.tolist(), hi.tolist(), strict=True)]))
                 total += len(gram)
             if total >= GATHER // 16:
                 yield done()
@@ -441,7 +484,8 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     some = bloom_test(texts, "rid", bloom_of(wanted, "rid"))
     asked = some.join(wanted, "rid").select("rid", "text", "got")
     fragments = asked.mapInArrow(_fragments(parts), _STAGE).repartition(parts, "bucket")
-    second = scratch.keep(fragments.mapInArrow(_compare(parts), _STAGE), "compared")
+    compared = fragments.mapInArrow(_compare(parts), _STAGE).repartition(parts, "bucket")
+    second = scratch.keep(compared.mapInArrow(_across(parts), _STAGE), "compared")
     return texts, scratch.keep(per(first.union(second), RANGES, _RANGES), "ranges")
 
 
