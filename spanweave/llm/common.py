@@ -7,9 +7,10 @@ unless said otherwise; two different n-grams of one corpus share one with neglig
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,11 @@ SALTS = 16
 #: Bytes of text handled at once; only a longer single text makes a larger batch.
 CHUNK_BYTES = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -70,6 +76,23 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: worker processes live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def freeing(stage: Callable, schema: str) -> tuple[Callable, str]:
+    """Arguments for ``mapInArrow``: the stage, trimming when its input ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from stage(batches)
+        trim()
+
+    return run, schema
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -239,7 +262,7 @@ def bloom_of(df: DataFrame, key: str) -> np.ndarray | None:
             at = np.unique(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "bit": pa.array((_U(1) << (at & 63).astype(_U)).view(np.int64))})
 
-    rows = df.select(key).mapInArrow(places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    rows = df.select(key).mapInArrow(*freeing(places, "word bigint, bit bigint")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BLOOM_BITS >> 6, _U)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(_U)
     return out

@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import LOWER, SPACE, Prefix, Scratch, bloom_has, bloom_of, chunks, deal, gram_owner, grams, mix, pack, shuffle_parts, table, unpack, utf8, words
+from spanweave.llm.common import LOWER, SPACE, Prefix, Scratch, bloom_has, bloom_of, chunks, deal, freeing, gram_owner, grams, mix, pack, shuffle_parts, table, unpack, utf8, words
 from spanweave.llm.components import components
 
 K = 5
@@ -449,7 +449,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scanned = scratch.keep(texts.mapInArrow(_first_scan, "kind int, doc_id bigint, n bigint, name bigint"), "scanned")
+    scanned = scratch.keep(texts.mapInArrow(*freeing(_first_scan, "kind int, doc_id bigint, n bigint, name bigint")), "scanned")
     rows = scanned.filter("kind = 0").select("doc_id", "n", "name")
     often = scanned.filter("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(FREQUENT)
     frequent = np.array([r.name for r in often.collect()][::-1], np.int64).view(_U)
@@ -457,10 +457,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     light = light_limit((totals.n or 1) / (totals.distinct or 1))
 
     parts = shuffle_parts(spark)
-    dealt = texts.mapInArrow(_second_scan(frequent, light, parts), _STAGE)
+    dealt = texts.mapInArrow(*freeing(_second_scan(frequent, light, parts), _STAGE))
     for stage in (_shared(parts), _prefixes(parts)):
-        dealt = dealt.repartition(parts, "bucket").mapInArrow(stage, _STAGE)
-    chains = dealt.repartition(parts, "bucket").mapInArrow(_chains, "u bigint, v bigint")
+        dealt = dealt.repartition(parts, "bucket").mapInArrow(*freeing(stage, _STAGE))
+    chains = dealt.repartition(parts, "bucket").mapInArrow(*freeing(_chains, "u bigint, v bigint"))
     edges = scratch.keep(chains, "chains")
     roots = scratch.keep(components(edges, scratch, "candidates"), "roots")
     least = roots.select(F.col("root").alias("u")).distinct()
@@ -469,12 +469,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = rows.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
     weights = candidates.join(sizes, "name").groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     groups = candidates.join(weights, "root")
-    sets = texts.mapInArrow(_third_scan(spark.sparkContext.broadcast(bloom_of(candidates, "name"))), "name bigint, packed binary")
+    sets = texts.mapInArrow(*freeing(_third_scan(spark.sparkContext.broadcast(bloom_of(candidates, "name"))), "name bigint, packed binary"))
     block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))")
     placed = sets.join(groups, "name").withColumn("block", block).withColumn("pair", F.explode(pairs))
     placed = placed.select("root", "pair.i", "pair.j", "block", "name", "packed").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = scratch.keep(placed.mapInArrow(_verify, "u bigint, v bigint"), "links")
+    found = scratch.keep(placed.mapInArrow(*freeing(_verify, "u bigint, v bigint")), "links")
 
     linked_ = scratch.keep(components(found, scratch, "components"), "linked").withColumnRenamed("u", "name")
     named = sizes.join(linked_, "name", "left").withColumn("root", F.coalesce("root", "name")).select("name", "root", "least")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import Scratch, lookup, table
+from spanweave.llm.common import Scratch, freeing, lookup, table
 
 SEQUENCE = 2048
 OPEN_BINS = 512
@@ -181,10 +181,10 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, size: int = SEQUENCE, ope
             yield pa.RecordBatch.from_pydict({"bin": [b for b, _, _ in placed], "into": [name[i] for _, i, _ in placed], "shift": [s for _, _, s in placed]})
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = scratch.keep(read.mapInArrow(first, _DDL), "pieces")
+    rows = scratch.keep(read.mapInArrow(*freeing(first, _DDL)), "pieces")
     group = F.shiftright("bin", 36 + MERGED_TASKS.bit_length() - 1)
     bins = rows.filter("used is not null").select("bin", "used").repartition(group)
-    moved = scratch.keep(bins.mapInArrow(second, "bin bigint, into bigint, shift bigint"), "moved")
+    moved = scratch.keep(bins.mapInArrow(*freeing(second, "bin bigint, into bigint, shift bigint")), "moved")
     pieces = lookup(rows.filter("used is null").drop("used"), moved, "bin", moved.count())
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 

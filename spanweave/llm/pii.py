@@ -71,7 +71,7 @@ SHAPE = {
     "card": r"^(?:[0-9]{15,16}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$",
     "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-]?[0-9]{2,4})?$",
 }
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _CAND = "kind:string,b:int,e:int,strict:boolean,votes:string,feats:string"
 
 

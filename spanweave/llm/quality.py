@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import SPACE, Prefix, Scratch, chunks, distinct_per_text, gram_owner, grams, lookup, mix, per_text, table, utf8, words
+from spanweave.llm.common import SPACE, Prefix, Scratch, chunks, distinct_per_text, gram_owner, grams, lookup, mix, per_text, table, trim, utf8, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -81,7 +81,9 @@ def measured(docs: DataFrame, into: str) -> DataFrame:
 
     @F.arrow_udf(f"struct<{', '.join(f'{m}:bigint' for m in MEASURES)}>")
     def of(texts: pa.Array) -> pa.Array:
-        return measure(texts)
+        found = measure(texts)
+        trim()
+        return found
 
     return docs.withColumn(into, of(F.col("text").cast("string")))
 

@@ -348,24 +348,25 @@ def judged(docs: DataFrame, into: str, model: Model | None = None) -> DataFrame:
     return docs.withColumn(into, judge(F.col("text").cast("string")))
 
 
-def redacted(docs: DataFrame, into: str, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` of ``judged`` with each stretch of secrets in the text replaced by a mark; null stays null."""
+def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
+    """The text with each stretch of spans (in order) replaced by a mark."""
+    parts, at = [], 0
+    for b, e, _ in spans:
+        if b >= at:
+            parts += [text[at:b], mark]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
+
+
+def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``docs`` with marks in place of secrets; null stays null."""
+    model = model or fit(docs)
 
     @F.arrow_udf("string")
-    def redact(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, written in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if text and written:
-                parts, at = [], 0
-                for b, e in ((int(b), int(e)) for _, b, e in (s.split(":") for s in written.split(","))):
-                    if b >= at:
-                        parts += [text[at:b], mark]
-                    at = max(at, e)
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return pa.array(out, pa.string())
-
-    return docs.withColumn("text", redact(F.col("text").cast("string"), F.col(f"{into}.spans")))
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([t.as_py() and redact(t.as_py(), all_spans(t.as_py(), model)[1]) for t in texts], pa.string())
+
+    return docs.withColumn("text", clean(F.col("text").cast("string")))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

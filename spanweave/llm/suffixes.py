@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import Prefix, Scratch, bloom_of, bloom_test, chunks, deal, mix, pack, shuffle_parts, table, unpack, utf8
+from spanweave.llm.common import Prefix, Scratch, bloom_of, bloom_test, chunks, deal, freeing, mix, pack, shuffle_parts, table, unpack, utf8
 
 SPAN = 100
 GRAM = 32
@@ -477,15 +477,15 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """Documents (rid, doc_id, text), and covered ranges (rid, got: packed begins and ends) of those that have any."""
     parts = shuffle_parts(docs.sparkSession)
     texts = _numbered(docs, scratch)
-    dealt = texts.select("rid", "text").mapInArrow(_scan(parts), _STAGE)
-    first = scratch.keep(dealt.repartition(parts, "bucket").mapInArrow(_resolve(parts), _STAGE), "resolved")
-    per = lambda rows, kind, columns: rows.filter(F.col("kind") == kind).repartition(parts, "bucket").mapInArrow(_per_document(kind, columns), "rid bigint, got binary")
+    dealt = texts.select("rid", "text").mapInArrow(*freeing(_scan(parts), _STAGE))
+    first = scratch.keep(dealt.repartition(parts, "bucket").mapInArrow(*freeing(_resolve(parts), _STAGE)), "resolved")
+    per = lambda rows, kind, columns: rows.filter(F.col("kind") == kind).repartition(parts, "bucket").mapInArrow(*freeing(_per_document(kind, columns), "rid bigint, got binary"))
     wanted = scratch.keep(per(first, WANTED, _WANTED), "wanted")
     some = bloom_test(texts, "rid", bloom_of(wanted, "rid"))
     asked = some.join(wanted, "rid").select("rid", "text", "got")
-    fragments = asked.mapInArrow(_fragments(parts), _STAGE).repartition(parts, "bucket")
-    compared = fragments.mapInArrow(_compare(parts), _STAGE).repartition(parts, "bucket")
-    second = scratch.keep(compared.mapInArrow(_across(parts), _STAGE), "compared")
+    fragments = asked.mapInArrow(*freeing(_fragments(parts), _STAGE)).repartition(parts, "bucket")
+    compared = fragments.mapInArrow(*freeing(_compare(parts), _STAGE)).repartition(parts, "bucket")
+    second = scratch.keep(compared.mapInArrow(*freeing(_across(parts), _STAGE)), "compared")
     return texts, scratch.keep(per(first.union(second), RANGES, _RANGES), "ranges")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import table
+from spanweave.llm.common import freeing, table
 
 ORDER = 5
 MODEL_GRAMS = 150_000
@@ -123,7 +123,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> Model | None:
     """Model of (url, blocked) rows; None if one kind is missing."""
-    counted = labelled.select("url", "blocked").mapInArrow(_count, "gram string, a bigint, r bigint").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    counted = labelled.select("url", "blocked").mapInArrow(*freeing(_count, "gram string, a bigint, r bigint")).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     rows = counted.orderBy(F.desc(F.col("a") + F.col("r")), "gram").limit(MODEL_GRAMS).toArrow()
     grams = dict(zip(rows.column("gram").to_pylist(), zip(rows.column("a").to_pylist(), rows.column("r").to_pylist(), strict=True), strict=True))
     return Model(grams) if any(a for a, _ in grams.values()) and any(r for _, r in grams.values()) else None

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import Scratch, shuffle_parts, table
+from spanweave.llm.common import Scratch, freeing, shuffle_parts, table
 
 MIN_PAYLOAD = 100
 SEGMENT = 32 << 10
@@ -136,7 +136,9 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     told = own.select("page_id", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("n")).filter(F.col("n") >= MIN_PAYLOAD)
     groups = told.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 AND refers_to IS NOT NULL")
     revisits = told.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
-    joined = own.withColumn("digest", F.sha2("body", 256)).join(revisits, ["page_id", "digest"], "left")
+    again = revisits.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
+    told = own.withColumn("digest", F.sha2("body", 256))
+    joined = told.join(again, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part, rows = TaskContext.get().partitionId(), 0, 0
@@ -160,7 +162,7 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
         if held:
             yield done()
 
-    return joined.select("page_id", "url", "body", "digest", "refers_to").mapInArrow(write, "archive int, part int, data binary")
+    return joined.select("page_id", "url", "body", "digest", "refers_to").mapInArrow(*freeing(write, "archive int, part int, data binary"))
 
 
 # --- reading ------------------------------------------------------------------------------------------------
@@ -232,11 +234,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
         if parts:
             yield done(name, parts)
 
-    parsed = Scratch(archives.sparkSession, "warc").keep(archives.select("data").mapInArrow(parse, _PARSED), "parsed")
+    parsed = Scratch(archives.sparkSession, "warc").keep(archives.select("data").mapInArrow(*freeing(parse, _PARSED)), "parsed")
     segments = parsed.filter("number IS NOT NULL").select("name", "url", "digest", "number", "total", "block")
     sorted_ = segments.repartition(shuffle_parts(archives.sparkSession), "name").sortWithinPartitions("name", "number")
     whole = parsed.filter("number IS NULL").select(*(c.split()[0] for c in _DECODED.split(", ")))
-    return whole.unionByName(sorted_.mapInArrow(join, _DECODED))
+    return whole.unionByName(sorted_.mapInArrow(*freeing(join, _DECODED)))
 
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import ALNUM, LOWER, Prefix, Scratch, chunks, gram_owner, grams, table, utf8, words
+from spanweave.llm.common import ALNUM, LOWER, Prefix, Scratch, chunks, gram_owner, grams, table, trim, utf8, words
 
 SPAN = 10
 K = 5
@@ -148,6 +148,7 @@ def _adder(index: Index):
             if old:
                 hits[i] += [(r["b"], r["e"]) for r in old["hits"]]
                 items[i] |= set(old["items"])
+        trim()
         count = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
         return pa.StructArray.from_arrays([pa.array(count), _lists([merged(r) for r in hits], _RANGE), _lists([sorted(s) for s in items], pa.string())], fields=list(_TYPE))
 
