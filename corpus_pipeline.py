@@ -43,9 +43,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the text."""
-    clean = secrets.redacted(secrets.judged(docs, "__s"), "__s")
+    clean = secrets.redacted(docs.withColumn("__text", F.col("text")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("__s.spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("__text")), F.col("n_chars")).otherwise(length))
     return clean.select(*docs.columns)
 
 
