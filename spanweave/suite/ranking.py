@@ -142,7 +142,7 @@ part("qen", "SELECT qid, ent, count(*) AS n FROM iwit GROUP BY ALL", "iwit")
 part("qewc", "SELECT qid, ent, word, count(*) AS n FROM (SELECT qid, ent, unnest(list_distinct(words)) AS word FROM iwit) GROUP BY ALL", "iwit")
 part("catword", "SELECT DISTINCT cat, unnest(string_split_regex(lower(cat), '[^a-z0-9]+')) AS word FROM (SELECT DISTINCT p_type AS cat FROM part UNION SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 1) FROM part)")
 part("entcat", "SELECT DISTINCT 'e' || (p_partkey % 40) AS ent, p_type AS cat FROM part")
-part("qword", "SELECT qid, unnest(words) AS word, unnest(range(len(words))) AS at FROM (VALUES ('q0', ['blue', 'bolt']), ('q1', ['red', 'old', 'ring']), ('q2', ['standard']), ('q3', ['economy', 'gear', 'hot', 'anvil']), ('q4', ['cold', 'promo'])) AS q(qid, words)")
+part("qword", """SELECT qid, unnest(words) AS word, unnest(range(len(words))) AS "at" FROM (VALUES ('q0', ['blue', 'bolt']), ('q1', ['red', 'old', 'ring']), ('q2', ['standard']), ('q3', ['economy', 'gear', 'hot', 'anvil']), ('q4', ['cold', 'promo'])) AS q(qid, words)""")
 part("ncats", "SELECT count(DISTINCT cat) AS n FROM catword", "catword")
 part("globalword", "SELECT word, (1.0 + count(*)) / (2.0 + (SELECT n FROM ncats)) AS p FROM catword GROUP BY word", "catword", "ncats")
 part("log_empty", "SELECT c.cat, sum(ln(1 - (CASE WHEN w.word IS NULL THEN 0 ELSE 0.85 END + 0.15 * p))) AS log_empty FROM (SELECT DISTINCT cat FROM catword) c CROSS JOIN globalword g LEFT JOIN catword w ON w.cat = c.cat AND w.word = g.word GROUP BY c.cat", "catword", "globalword")
@@ -151,7 +151,7 @@ part("todds", """SELECT c.cat, q.word, CASE WHEN w.word IS NULL THEN 0 ELSE 0.85
 part("isupport", "SELECT qid, ent, n AS n_ent, n * 1.0 / sum(n) OVER (PARTITION BY qid) AS p_ent FROM qen", "qen")
 part("iempty", "SELECT qid, ent, sum(ln(1 - (0.01 + w.n) / (0.02 + n_ent))) AS empty_snippet FROM qewc w JOIN isupport USING (qid, ent) GROUP BY ALL", "qewc", "isupport")
 part("iprior", "SELECT ent, cat, (coalesce(n, 0) + 0.05) / (sum(coalesce(n, 0)) OVER (PARTITION BY ent) + 0.05 * count(*) OVER (PARTITION BY ent)) AS p_type FROM entcat LEFT JOIN (SELECT p_type AS cat, count(*) AS n FROM part GROUP BY 1) USING (cat)", "entcat")
-part("icell", """SELECT s.qid, s.ent, p_ent, p.cat, p_type, log_empty, q.at, ln(o.p / (1 - o.p)) AS odds, ln(((0.01 + coalesce(w.n, 0)) / (0.02 + n_ent)) / (1 - (0.01 + coalesce(w.n, 0)) / (0.02 + n_ent))) AS snippet
+part("icell", """SELECT s.qid, s.ent, p_ent, p.cat, p_type, log_empty, q."at", ln(o.p / (1 - o.p)) AS odds, ln(((0.01 + coalesce(w.n, 0)) / (0.02 + n_ent)) / (1 - (0.01 + coalesce(w.n, 0)) / (0.02 + n_ent))) AS snippet
   FROM isupport s JOIN qword q USING (qid) LEFT JOIN qewc w ON w.qid = s.qid AND w.ent = s.ent AND w.word = q.word JOIN iprior p ON p.ent = s.ent JOIN log_empty e ON e.cat = p.cat JOIN todds o ON o.cat = p.cat AND o.word = q.word""", "isupport", "qword", "qewc", "iprior", "log_empty", "todds")
 part("ihint", """SELECT qid, n, b, b + k AS e FROM (SELECT qid, count(*) AS n FROM qword GROUP BY qid), unnest(range(0, 5)) AS t(b), unnest([1, 2]) AS u(k) WHERE b + k <= n AND (n = 1 OR b < n - 1)""", "qword")
 
@@ -218,7 +218,7 @@ def hints(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("K17_query_interpretation", """SELECT qid, ent, round(ln(sum(s)), 5) AS log_score FROM (SELECT c.qid, c.ent, c.cat, h.b, h.e, exp(ln(any_value(p_ent)) + ln(any_value(p_type)) + (h.e - h.b) * ln(0.2) + (any_value(h.n) - (h.e - h.b)) * ln(0.8)
-    + any_value(log_empty) + any_value(empty_snippet) + sum(CASE WHEN at >= h.b AND at < h.e THEN odds ELSE snippet END)) AS s
+    + any_value(log_empty) + any_value(empty_snippet) + sum(CASE WHEN c."at" >= h.b AND c."at" < h.e THEN odds ELSE snippet END)) AS s
   FROM icell c JOIN ihint h ON h.qid = c.qid JOIN iempty m ON m.qid = c.qid AND m.ent = c.ent GROUP BY c.qid, c.ent, c.cat, h.b, h.e) GROUP BY qid, ent""", "icell", "ihint", "iempty")
 def interpretation(spark: SparkSession, d: str) -> DataFrame:
     w = _witnesses(spark, d)
