@@ -1,0 +1 @@
+"""Readers and writers of corpora, catalogs, query sets and indexes."""
