@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanweave.llm import sql
 from spanweave.llm.jaccard import op7_ngram_jaccard_join
 from spanweave.llm.packing import op6_best_fit_packing
 from spanweave.llm.perspectives import OP5_SQL, op5_perspective_rotation
@@ -30,5 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": sql.OP1,
     "op5_perspective_rotation": OP5_SQL,
+    "op7_ngram_jaccard_join": sql.OP7,
+    "op8_benchmark_decontamination": sql.OP8,
+    "op9_warc_segments": sql.OP9,
 }
