@@ -8,8 +8,6 @@ unless said otherwise; two different n-grams of one corpus share one with neglig
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.scratch import Scratch as Scratch
+
 #: Rows that a join may broadcast; beyond it the same join is done by a salted shuffle.
 BROADCAST_ROWS = 50_000
 #: Copies of the small side, and shares of each key of the large side, in a salted join.
@@ -38,28 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- scratch tables -----------------------------------------------------------------------------------------
-
-
-class Scratch:
-    """Tables written once into the cluster's shared checkpoint folder, to cut lineage: a lost executor costs
-    no recomputation of what has been written. ``drop`` removes a table that no later plan reads."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:  # only where the session names none, as in tests
-            base = tempfile.mkdtemp(prefix="spanweave-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.spark, self.base = spark, f"{base.rstrip('/')}/spanweave-{what}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+# --- joins and sessions -------------------------------------------------------------------------------------
 
 
 def lookup(large: DataFrame, small: DataFrame, key: str, rows: int, how: str = "left") -> DataFrame:
