@@ -6,36 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators.joins import small
+from spanweave.scratch import Scratch
 
 
 def closure(edges: DataFrame, lower: str = "sub", upper: str = "sup", include_self: bool = False, rounds: int = 64) -> DataFrame:
     """All (sub, sup) pairs with a path between them. Each round doubles the length of paths that are known; the
     rounds end when no pair is new, so cycles do no harm. A pair of a node with itself is only given with
     ``include_self``."""
-    spark = edges.sparkSession
+    scratch = Scratch(edges.sparkSession, "closure")
     known = edges.select(F.col(lower).alias("sub"), F.col(upper).alias("sup")).filter("sub IS NOT NULL AND sup IS NOT NULL AND sub <> sup").distinct()
     nodes = known.select("sub").union(known.select("sup")).distinct()
-    known, count = _cut(known), -1
-    for _ in range(rounds):
+    known, count = scratch.keep(known, "0"), -1
+    for turn in range(1, rounds + 1):
         size = known.count()
         if size == count:
             break
         count = size
         more = known.alias("a").join(known.alias("b"), F.col("a.sup") == F.col("b.sub")).select("a.sub", "b.sup").filter("sub <> sup")
-        known = _cut(known.union(more).distinct())
+        known = scratch.keep(known.union(more).distinct(), str(turn))
+        scratch.drop(str(turn - 1))
     if include_self:
         known = known.union(nodes.select("sub", F.col("sub").alias("sup")))
-    return spark.createDataFrame([], known.schema).union(known) if count == 0 else known
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Without lineage, in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanweave-"))
-    return df.checkpoint()
+    return known
 
 
 def entity_types(direct: DataFrame, sub_sup: DataFrame) -> DataFrame:

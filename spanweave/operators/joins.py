@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.scratch import Scratch
+
 #: Estimated bytes of a side that may be broadcast by the joins here; anything larger is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -37,7 +39,7 @@ def dense_ids(df: DataFrame, key: str, name: str = "id", start: int = 0) -> Data
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = values.repartitionByRange(n, key).sortWithinPartitions(key).select(key, F.monotonically_increasing_id().alias("__m"))
     numbered = numbered.withColumn("__p", F.shiftright("__m", 33).cast("int")).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    numbered = numbered.persist()
+    numbered = Scratch(spark, "ids").keep(numbered, "numbered")
     offset, before = [], start
     sizes = {r["__p"]: r["count"] for r in numbered.groupBy("__p").count().collect()}
     for p in range(max(sizes, default=-1) + 1):

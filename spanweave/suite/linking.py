@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanweave.functions import text
 from spanweave.operators import bayes, catalog, context, spotting
 from spanweave.operators.joins import ngrams
+from spanweave.scratch import Scratch
 from spanweave.suite import SUITE, base, read
 
 query, part = SUITE.add, SUITE.part
@@ -215,10 +216,11 @@ part("scores", """SELECT x.ctx, x.leaf, x.ent, c.ent AS cand, sum(f.freq * (ln(c
 
 def _contexts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contexts, features and candidates."""
-    t, leaf = tokens(spark, d), spotting.leaves(mentions(spark, d))
-    ctx = spotting.rediscovered(gold(spark, d), t, leaf, 2).withColumn("ctx", F.col("doc_id") * 16 + F.col("left"))
+    scratch = Scratch(spark, "contexts")
+    t, leaf = scratch.keep(tokens(spark, d), "tokens"), scratch.keep(spotting.leaves(mentions(spark, d)), "leaves")
+    ctx = scratch.keep(spotting.rediscovered(gold(spark, d), t, leaf, 2).withColumn("ctx", F.col("doc_id") * 16 + F.col("left")), "contexts")
     feats = context.around(ctx, t, 4, ["ctx"]).select("ctx", F.col("token").alias("feat"), F.col("n").alias("freq"))
-    return ctx, feats, leaf.select("leaf", F.explode("candidates").alias("ent"))
+    return ctx, scratch.keep(feats, "features"), leaf.select("leaf", F.explode("candidates").alias("ent"))
 
 
 def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:

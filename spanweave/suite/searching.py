@@ -10,6 +10,7 @@ from spanweave.operators import catalog
 from spanweave.operators.joins import band_join, dense_ids
 from spanweave.plans import search
 from spanweave.plans.query import parse
+from spanweave.scratch import Scratch
 from spanweave.suite import SUITE, base, read
 
 query, part = SUITE.add, SUITE.part
@@ -54,7 +55,8 @@ def _leaves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     plan = search.matchers(spark, QUERIES)
     keyed = stats.select(F.lit("token").alias("leaf"), F.col("token").alias("key"), "df")
     n = base.n_docs(spark, d)
-    return search.leaf_witnesses(plan, t, a, types, keyed, n), plan, keyed, n
+    # read several times below, and small beside the postings
+    return Scratch(spark, "search").keep(search.leaf_witnesses(plan, t, a, types, keyed, n), "leaves"), plan, keyed, n
 
 
 def _witnesses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
