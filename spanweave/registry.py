@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.suite import SUITE, io, linking, ranking, searching  # noqa: F401
+from spanweave.suite import SUITE, io, linking, more, ranking, searching  # noqa: F401
 
 QUERIES = SUITE.queries
 ORACLE_SQL = SUITE.sql
