@@ -14,8 +14,8 @@ shingles, or its whole sequence if it has fewer words. Two texts link at a Jacca
    dealt, so that a list of any length is a few runs from each task; components of the joined pairs hold every link.
 4. Each such component is verified in one task: sets in order of size look through the lists of their rarest
    shingles for partners that aren't yet in their component. A link found spares the rest of that component, so
-   dense groups cost about one comparison for each set. Large components are cut into blocks and each pair of
-   blocks is a task, which bounds memory with nothing dropped.
+   dense groups cost about one comparison for each set. Large components are cut into blocks, verified with a few
+   sets that all blocks share; only what is not in the largest part then is held against all, in pairs of blocks.
 5. Components of the links give each document the least id that it reaches.
 
 Scale: texts are scanned three times and never shuffled. Shuffled are about half of all shingles (in packed
@@ -50,8 +50,8 @@ FREQUENT, NAMED, NAMED_FROM = 65_536, 4_096, 8
 LIGHT_MOST = 16
 #: Rows of signatures, or shingles, that a task gathers before it passes them on.
 GATHER = 1 << 19
-#: Shingles of a block of a component.
-BLOCK_SHINGLES = 1 << 18
+#: Shingles of a block of a group of candidates, of each of a pair of blocks; sets of a group that are in all blocks.
+BLOCK_SHINGLES, PAIR_SHINGLES, HUBS = 1 << 15, 1 << 18, 16
 #: Sets of this size and more are compared by the half of their shingles with the lower hashes. That finds all that
 #: may link unless fewer than a quarter of a set's shingles lie in that half, for which the odds are under 1e-12.
 HALVED_FROM = 256
@@ -354,9 +354,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- verification -------------------------------------------------------------------------------------------
 
 
-def links(names: list[int], sets: list[np.ndarray], left: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that join each component of the given distinct sets (a spanning forest). left: if given, links are
-    only sought between a set with True and one with False."""
+def links(names: list[int], sets: list[np.ndarray], minor: list[bool] | None = None, comps: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join each component of the given distinct sets (a spanning forest). Sets of one of ``comps`` are
+    joined already; with ``minor``, links are only sought where one of both sets has True."""
     if len(sets) < 2:
         return []
     size = np.array([len(s) for s in sets])
@@ -371,6 +371,10 @@ def links(names: list[int], sets: list[np.ndarray], left: list[bool] | None = No
             i = parent[i]
         return i
 
+    head: dict[int, int] = {}
+    for i, c in enumerate(comps or ()):
+        parent[i] = head.setdefault(c, i)
+
     lists: dict[int, dict[int, list[int]]] = {}
     out = []
     by_size = np.argsort(size, kind="stable")
@@ -392,7 +396,7 @@ def links(names: list[int], sets: list[np.ndarray], left: list[bool] | None = No
                 for y in reversed(groups[r]):
                     if 4 * size[y] < 3 * n:
                         break  # those before are smaller still
-                    if y in tried or (left is not None and left[x] == left[y]):
+                    if y in tried or not (minor is None or minor[x] or minor[y]):
                         continue
                     tried.add(y)
                     at = np.searchsorted(sets[x], sets[y])
@@ -407,29 +411,61 @@ def links(names: list[int], sets: list[np.ndarray], left: list[bool] | None = No
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each group; rows come sorted by group: comp, i, j, block, name, packed set."""
+    """Links of each group; rows come sorted by group: root, i, j, minor, comp, name, packed set."""
 
     def done() -> Iterator[pa.RecordBatch]:
-        found = links(list(group), list(group.values()), [side[c] for c in group] if key[1] != key[2] else None)
+        found = links(list(group), list(group.values()), [minor[c] for c in group], [comp[c] for c in group])
         if found:
             yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    key, group, side = None, {}, {}
+    key, group, minor, comp = None, {}, {}, {}
     for batch in batches:
-        comps, i, j, block, name, packed = (batch.column(c) for c in range(6))
-        for row, this in enumerate(zip(comps.to_pylist(), i.to_pylist(), j.to_pylist(), strict=True)):
+        lean = batch.slice(0, batch.num_rows)
+        for row, (*this, m, p, c) in enumerate(zip(*(lean.column(k).to_pylist() for k in range(6)), strict=True)):
             if this != key:
                 if group:
                     yield from done()
-                key, group, side = this, {}, {}
-            c = name[row].as_py()
+                key, group, minor, comp = this, {}, {}, {}
             if c not in group:
-                group[c] = np.frombuffer(packed[row].as_py(), "<u8")
-                side[c] = block[row].as_py() == this[1]
+                group[c] = np.frombuffer(batch.column(6)[row].as_py(), "<u8")
+                comp[c] = p
+            minor[c] = m or minor.get(c, False)
     if group:
         yield from done()
 
 
+def _verified(placed: DataFrame, parts: int) -> DataFrame:
+    rows = placed.select("root", "i", "j", "minor", "comp", "name", "packed")
+    return rows.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(*freeing(_verify, "u bigint, v bigint"))
+
+
+def _all_links(stored: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    """Links of candidate groups, from sets (name, root, weight, blocks, n_sets, packed).
+
+    First each block is verified by itself, with the same few sets (hubs) of the group in each of its blocks: where
+    most of a group is alike that joins most of it. Of a group that is left in several parts, all sets outside of
+    the largest part are then held against all sets, in pairs of blocks."""
+    hashed = lambda n: F.pmod(F.xxhash64("name"), F.col(n).cast("long")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("name", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("n_sets") / HUBS)).cast("long")) == 0)
+    one = stored.withColumn("j", F.explode(F.when(hub, upto("blocks")).otherwise(F.array(hashed("blocks")))))
+    first = scratch.keep(_verified(one.select("*", F.lit(0).alias("i"), F.lit(True).alias("minor"), F.col("name").alias("comp")), parts), "links1")
+    large = stored.filter("blocks > 1").select("name", "root", "weight")
+    if not large.limit(1).count():
+        return first
+    joined = scratch.keep(components(first, scratch, "parts"), "parts").select(F.col("u").alias("name"), F.col("root").alias("comp"))
+    members = large.join(joined, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    sizes = members.groupBy("root", "comp").agg(F.sum("weight").alias("w"))
+    tops = sizes.groupBy("root").agg(F.max_by("comp", F.struct("w", "comp")).alias("top"), F.count("*").alias("n"), F.sum("w").alias("all"), F.max("w").alias("most")).filter("n > 1")
+    blocks = lambda w: F.ceil(w / F.lit(PAIR_SHINGLES)).cast("int")
+    plan = tops.select("root", "top", blocks(F.col("all")).alias("k"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("most"))).alias("km"))
+    planned = members.join(plan, "root").select("name", "comp", (F.col("comp") != F.col("top")).alias("minor"), "k", "km")
+    placed = stored.select("name", "root", "packed").join(planned, "name")
+    against = placed.withColumn("j", hashed("k")).withColumn("i", F.explode(upto("km"))).withColumn("minor", F.lit(False))
+    outside = placed.filter("minor").withColumn("i", hashed("km")).withColumn("j", F.explode(upto("k")))
+    return first.union(scratch.keep(_verified(against.unionByName(outside), parts), "links2"))
+
+
 def _third_scan(bits: Broadcast):
     """(name, size, packed): the sets of classes that may be candidates, once for a task's documents."""
 
@@ -467,14 +503,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     candidates = scratch.keep(roots.union(least.select("u", F.col("u").alias("root"))).select(F.col("u").alias("name"), "root"), "candidates")
 
     sizes = rows.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
-    weights = candidates.join(sizes, "name").groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    groups = candidates.join(weights, "root")
+    weighed = candidates.join(sizes.select("name", F.col("n").alias("weight")), "name")
+    totals = weighed.groupBy("root").agg(F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n_sets"))
     sets = texts.mapInArrow(*freeing(_third_scan(spark.sparkContext.broadcast(bloom_of(candidates, "name"))), "name bigint, packed binary"))
-    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    pairs = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) AS i, greatest(b, block) AS j))")
-    placed = sets.join(groups, "name").withColumn("block", block).withColumn("pair", F.explode(pairs))
-    placed = placed.select("root", "pair.i", "pair.j", "block", "name", "packed").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = scratch.keep(placed.mapInArrow(*freeing(_verify, "u bigint, v bigint")), "links")
+    once = sets.groupBy("name").agg(F.first("packed").alias("packed"))  # copies that several tasks have found
+    stored = scratch.keep(weighed.join(totals, "root").join(once, "name"), "sets")
+    found = _all_links(stored, scratch, parts)
 
     linked_ = scratch.keep(components(found, scratch, "components"), "linked").withColumnRenamed("u", "name")
     named = sizes.join(linked_, "name", "left").withColumn("root", F.coalesce("root", "name")).select("name", "root", "least")

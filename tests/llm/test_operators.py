@@ -323,6 +323,8 @@ def test_jaccard_many_near_copies(spark, monkeypatch, light, block):
             rows.append((len(rows), " ".join(w[r.randint(0, 2) :])))
     monkeypatch.setattr(jaccard, "light_limit", lambda mean: light)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "PAIR_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
     monkeypatch.setattr(jaccard, "NAMED_FROM", 2)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
     assert got == brute.components(dict(rows))
