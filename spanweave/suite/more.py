@@ -250,3 +250,13 @@ def bag_weights(spark: SparkSession, d: str) -> DataFrame:
     """Bags scaled to a sum of one."""
     b = context.around(linking.gold(spark, d), linking.tokens(spark, d), 4, ["ent"])
     return b.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("ent")), 6))
+
+
+@query("B1_stems")
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of stems of English documents; words are stemmed once each."""
+    from spanweave.functions.stemmer import stemmed
+    from spanweave.functions.text import words
+
+    english = read(spark, d, "documents").filter("lang = 'en'").select(F.explode(words(F.col("text"))).alias("token"))
+    return english.groupBy("token").agg(F.count("*").alias("n")).groupBy(stemmed(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))

@@ -337,3 +337,10 @@ def test_incremental_postings(spark, tmp_path):
     incremental.append_postings(stream(), f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination()
     got = {(r.token, r.doc_id): r.positions for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 1): [0, 2], ("b", 1): [1], ("b", 2): [0], ("c", 2): [1], ("c", 3): [0, 1]}
+
+
+@pytest.mark.parametrize("word,want", [p.split(":") for p in "consign:consign consigned:consign consigning:consign consignment:consign consist:consist consisted:consist consistency:consist consistent:consist consistently:consist consolation:consol consolations:consol consolatory:consolatori consolidate:consolid consolidating:consolid consoling:consol consonant:conson consort:consort conspicuous:conspicu conspiracy:conspiraci conspirators:conspir constable:constabl constancy:constanc knack:knack knackeries:knackeri knavish:knavish knees:knee kneel:kneel knelt:knelt knew:knew knitted:knit knitting:knit knives:knive knocker:knocker knocking:knock knots:knot skies:sky dying:die news:news generously:generous general:general communism:communism hopping:hop hoping:hope ties:tie cries:cri gas:gas gaps:gap kiwis:kiwi agreed:agre say:say by:by happy:happi relational:relat conditional:condit triplicate:triplic hopefulness:hope adjustment:adjust adoption:adopt roll:roll controll:control".split()])
+def test_stems(word, want):
+    from spanweave.functions.stemmer import stem
+
+    assert stem(word) == want
