@@ -495,8 +495,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = shuffle_parts(spark)
     dealt = texts.mapInArrow(*freeing(_second_scan(frequent, light, parts), _STAGE))
     for stage in (_shared(parts), _prefixes(parts)):
-        dealt = dealt.repartition(parts, "bucket").mapInArrow(*freeing(stage, _STAGE))
-    chains = dealt.repartition(parts, "bucket").mapInArrow(*freeing(_chains, "u bigint, v bigint"))
+        dealt = dealt.repartitionById(parts, F.col("bucket")).mapInArrow(*freeing(stage, _STAGE))
+    chains = dealt.repartitionById(parts, F.col("bucket")).mapInArrow(*freeing(_chains, "u bigint, v bigint"))
     edges = scratch.keep(chains, "chains")
     roots = scratch.keep(components(edges, scratch, "candidates"), "roots")
     least = roots.select(F.col("root").alias("u")).distinct()

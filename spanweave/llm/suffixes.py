@@ -478,13 +478,13 @@ def deduplicated(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     parts = shuffle_parts(docs.sparkSession)
     texts = _numbered(docs, scratch)
     dealt = texts.select("rid", "text").mapInArrow(*freeing(_scan(parts), _STAGE))
-    first = scratch.keep(dealt.repartition(parts, "bucket").mapInArrow(*freeing(_resolve(parts), _STAGE)), "resolved")
-    per = lambda rows, kind, columns: rows.filter(F.col("kind") == kind).repartition(parts, "bucket").mapInArrow(*freeing(_per_document(kind, columns), "rid bigint, got binary"))
+    first = scratch.keep(dealt.repartitionById(parts, F.col("bucket")).mapInArrow(*freeing(_resolve(parts), _STAGE)), "resolved")
+    per = lambda rows, kind, columns: rows.filter(F.col("kind") == kind).repartitionById(parts, F.col("bucket")).mapInArrow(*freeing(_per_document(kind, columns), "rid bigint, got binary"))
     wanted = scratch.keep(per(first, WANTED, _WANTED), "wanted")
     some = bloom_test(texts, "rid", bloom_of(wanted, "rid"))
     asked = some.join(wanted, "rid").select("rid", "text", "got")
-    fragments = asked.mapInArrow(*freeing(_fragments(parts), _STAGE)).repartition(parts, "bucket")
-    compared = fragments.mapInArrow(*freeing(_compare(parts), _STAGE)).repartition(parts, "bucket")
+    fragments = asked.mapInArrow(*freeing(_fragments(parts), _STAGE)).repartitionById(parts, F.col("bucket"))
+    compared = fragments.mapInArrow(*freeing(_compare(parts), _STAGE)).repartitionById(parts, F.col("bucket"))
     second = scratch.keep(compared.mapInArrow(*freeing(_across(parts), _STAGE)), "compared")
     return texts, scratch.keep(per(first.union(second), RANGES, _RANGES), "ranges")
 
