@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import text
 from spanweave.operators import catalog
+from spanweave.scratch import Scratch
 from spanweave.suite import SUITE, read
 
 part = SUITE.part
@@ -68,9 +69,9 @@ def ent_cat(ents_: DataFrame) -> DataFrame:
 
 def annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """tokens, term_stats, annots and types."""
-    t = tokens(spark, d)
-    stats = term_stats(t)
-    e = ents(stats)
+    t, scratch = tokens(spark, d), Scratch(spark, "annotated")
+    stats = scratch.keep(term_stats(t), "stats")  # entities, closure and weights are all made of it
+    e = scratch.keep(ents(stats), "ents")
     a = annots(t, e)
     return t, stats, a, catalog.type_postings(a, ent_cat(e))
 
