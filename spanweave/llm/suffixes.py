@@ -12,8 +12,8 @@ in the same one). Matches never cross documents.
    shard's suffixes are sorted once, which gives its transform. Two transforms are merged by refining how their
    rows interleave: each round sorts the rows, stably, by the STRIDE bytes before the suffix, which orders them by
    so many bytes more. Rows that a round first tells apart have a common prefix of what the rounds before it
-   compared, so once SPAN bytes are compared the rows still together are the repeated strings. The first place of
-   each such interval stays.
+   compared; rows told apart from all others are settled and leave. Once SPAN bytes are compared, the rows still
+   together are the repeated strings. The first place of each such interval stays.
 4. Covered ranges of each document are merged and taken out.
 
 Scale: anchors (one for about 35 bytes) are dealt by hash in packed arrays; texts are shuffled once to give
@@ -215,8 +215,8 @@ def _resolve(parts: int):
 
 class Transform:
     """The rows of the sorted suffixes of a shard: the ``stride`` bytes before each (as a number, 0 where the string
-    begins before), the string and the place where it starts. Strings end with signs that sort before all bytes, by
-    their number. ``short``: what suffixes of less than ``stride`` bytes start with, by string and place."""
+    begins before), the row of the suffix that these bytes begin, the string and the place where the suffix starts.
+    Strings end with signs that sort before all bytes, by their number."""
 
     def __init__(self, strings: list[np.ndarray], numbers: range, stride: int):
         length = np.array([len(x) for x in strings], np.int64)
@@ -228,12 +228,13 @@ class Transform:
         place = np.arange(n) - np.repeat(ends - length, length + 1)
         left = np.repeat(ends, length + 1) - np.arange(n)
         order = _sorted_suffixes(text, left)
-        head = _heads(text, left, stride)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
         before = np.zeros(n, np.int64)
-        before[stride:] = head[: max(0, n - stride)]
+        before[stride:] = _heads(text, left, stride)[: max(0, n - stride)]
         before[place < stride] = 0
-        self.short = head[left < stride]
         self.before, self.string, self.place = before[order], numbers.start + string[order], place[order]
+        self.extended = rank[np.maximum(order - stride, 0)]
 
 
 def _heads(text: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
@@ -265,65 +266,59 @@ def _sorted_suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def merge(a: Transform, b: Transform, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """How the rows of two transforms interleave when ordered by the first ``rounds`` strides (0 and 1: of which a
-    row is), and which rows begin an interval, that is, differ from the row before them within these bytes."""
-    n = len(a.before) + len(b.before)
-    short = np.concatenate([a.short, b.short])
-    codes, coded = np.unique(np.concatenate([[0], a.before, b.before, short]), return_inverse=True)
-    coded = coded[1:].astype(np.uint16 if len(codes) <= 1 << 16 else np.int32)
-    of_a, of_b, of_short = coded[: len(a.before)], coded[len(a.before) : n], coded[n:]
-    which_short = np.concatenate([np.zeros(len(a.short), bool), np.ones(len(b.short), bool)])
-    alone = -1 - np.arange(len(short), dtype=np.int32)  # short suffixes differ from all others
-    which = np.concatenate([np.zeros(len(a.before), bool), np.ones(len(b.before), bool)])
-    begins = np.zeros(n, bool)
-    begins[:1] = True
-    code = np.empty(n, coded.dtype)
+    """Rows of two transforms (those of b numbered after those of a) whose first ``rounds`` strides of bytes another
+    row has too, in the order of these bytes, and the number of the interval of equal ones that each is in.
+
+    A row that is alone in its interval is settled: whatever extends it is alone too, and needs no further round."""
+    codes, coded = np.unique(np.concatenate([[0], a.before, b.before]), return_inverse=True)
+    before = coded[1:].astype(np.uint16 if len(codes) <= 1 << 16 else np.int32)
+    extended = np.concatenate([a.extended, b.extended + len(a.before)])
+    rows, interval = np.arange(len(before)), np.zeros(len(before), np.int32)
     for _ in range(rounds):
-        code[~which], code[which] = of_a, of_b
-        rows = np.flatnonzero(code)
-        every = np.concatenate([of_short, code[rows]])
-        order = np.argsort(every, kind="stable")
-        c = every[order]
-        i = np.concatenate([alone, np.cumsum(begins, dtype=np.int32)[rows]])[order]
-        new = np.ones(n, bool)
+        code = before[rows]
+        some = np.flatnonzero(code)
+        order = some[np.argsort(code[some], kind="stable")]
+        c, i = code[order], interval[order]
+        new = np.ones(len(order), bool)
         new[1:] = (c[1:] != c[:-1]) | (i[1:] != i[:-1])
-        which = np.concatenate([which_short, which[rows]])[order]
-        if np.array_equal(new, begins):
-            break
-        begins = new
-    return which, begins
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        rows, interval = extended[rows[order[~alone]]], np.cumsum(new, dtype=np.int32)[~alone]
+    return rows, interval
 
 
-def repeated(strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places (document, offset) at which a string of SPAN bytes starts that also starts earlier among these; and the
-    first place of each string of SPAN bytes, with the number of the fragment that it is in."""
+def repeated(strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the fragments, and places in them, at which a string of SPAN bytes starts that also starts earlier
+    among these."""
     half, size, total = 0, 0, sum(len(s) for s in strings)
     while half < len(strings) - 1 and size < total // 2:
         size += len(strings[half])
         half += 1
     a, b = Transform(strings[:half], range(half), STRIDE), Transform(strings[half:], range(half, len(strings)), STRIDE)
-    which, begins = merge(a, b, SPAN // STRIDE)
-    owner, place = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
-    owner[~which], owner[which] = a.string, b.string
-    place[~which], place[which] = a.place, b.place
-    whole = place + SPAN <= np.array([len(s) for s in strings])[owner]
-    interval, owner, place = np.cumsum(begins)[whole], owner[whole], place[whole]
+    rows, interval = merge(a, b, SPAN // STRIDE)
+    owner, place = np.concatenate([a.string, b.string])[rows], np.concatenate([a.place, b.place])[rows]
     d, p = doc[owner], begin[owner] + place
     order = np.lexsort((p, d, interval))
-    interval, d, p, owner = interval[order], d[order], p[order], owner[order]
+    interval, d, p = interval[order], d[order], p[order]
     first = np.ones(len(order), bool)
     first[1:] = interval[1:] != interval[:-1]
     least = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.empty(0, np.int64)
     later = (d != d[least]) | (p != p[least])
-    return d[later], p[later], d[first], p[first], owner[first]
+    return owner[order][later], place[order][later]
 
 
-def _strings(parts: int, d: np.ndarray, p: np.ndarray, parent: np.ndarray, strings: list[np.ndarray], begin: np.ndarray) -> pa.RecordBatch:
-    """First places of strings, dealt by the strings' hash, to be held against those of the gram's other shares."""
-    at = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-    where = at[parent] + p - begin[parent]
-    h = Prefix(np.concatenate(strings)).ranges(where, where + SPAN)
-    return _dealt(STRINGS, h, parts, h, d.astype("<i8"), p.astype("<i4"))
+def _strings(parts: int, strings: list[np.ndarray], doc: np.ndarray, begin: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """All strings of SPAN bytes but those at the given places, dealt by their hash, to be held against those of the
+    gram's other shares."""
+    count = np.array([len(x) - SPAN + 1 for x in strings])
+    at = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    base = np.concatenate([[0], np.cumsum(count)])
+    keep = np.ones(base[-1], bool)
+    keep[base[owner] + place] = False
+    whose = np.repeat(np.arange(len(strings)), count)[keep]
+    where = (np.arange(base[-1]) - np.repeat(base[:-1], count))[keep]
+    h = Prefix(np.concatenate(strings)).ranges(at[whose] + where, at[whose] + where + SPAN)
+    return _dealt(STRINGS, h, parts, h, doc[whose].astype("<i8"), (begin[whose] + where).astype("<i4"))
 
 
 def _compare(parts: int):
@@ -352,11 +347,13 @@ def _compare(parts: int):
                 j += 1
             rows = order[edges[i] : edges[j]]
             strings = [data[at[r] : at[r + 1]] for r in rows]
-            d, p, first_d, first_p, parent = repeated(strings, doc[rows], begin[rows].astype(np.int64))
-            if len(d):
+            own_doc, own_begin = doc[rows], begin[rows].astype(np.int64)
+            owner, place = repeated(strings, own_doc, own_begin)
+            if len(owner):
+                d, p = own_doc[owner], own_begin[owner] + place
                 yield _dealt(RANGES, _by_doc(d), parts, d.astype("<i8"), p.astype("<i4"), (p + SPAN).astype("<i4"))
             if alone:
-                yield _strings(parts, first_d, first_p, parent, strings, begin[rows].astype(np.int64))
+                yield _strings(parts, strings, own_doc, own_begin, owner, place)
             i = j
 
     return stage

@@ -200,20 +200,21 @@ def test_suffix_dedup_many_shares(spark, monkeypatch):
     assert _dedup(spark, df) == sorted(brute.repeats(rows), key=str)
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=60), min_size=2, max_size=12))
-def test_merged_transforms_are_the_sorted_suffixes(strings):
+def test_merged_transforms_give_sorted_repeats(strings):
     strings = [bytes(b % 3 for b in s) for s in strings]
     arrays, half = [np.frombuffer(s, np.uint8) for s in strings], len(strings) // 2
     a, b = suffixes.Transform(arrays[:half], range(half), 4), suffixes.Transform(arrays[half:], range(half, len(arrays)), 4)
-    which, begins = suffixes.merge(a, b, 3)
-    owner, place = np.empty(len(which), int), np.empty(len(which), int)
-    owner[~which], owner[which], place[~which], place[which] = a.string, b.string, a.place, b.place
+    for t in (a, b):
+        order = [strings[o][p:] for o, p in zip(t.string, t.place, strict=True)]
+        assert order == sorted(order)
+    rows, interval = suffixes.merge(a, b, 3)
+    owner, place = np.concatenate([a.string, b.string])[rows], np.concatenate([a.place, b.place])[rows]
     heads = [strings[o][p : p + 12] for o, p in zip(owner, place, strict=True)]
-    ends = [len(strings[o]) - p <= 11 for o, p in zip(owner, place, strict=True)]
-    for i in range(1, len(heads)):
-        assert heads[i - 1] <= heads[i]
-        assert begins[i] == (heads[i] != heads[i - 1] or ends[i] or ends[i - 1])
+    want = Counter(s[p : p + 12] for s in strings for p in range(len(s) - 11))
+    assert heads == sorted(h for h, n in want.items() if n > 1 for _ in range(n))
+    assert all((interval[i] == interval[i - 1]) == (heads[i] == heads[i - 1]) for i in range(1, len(heads)))
 
 
 # --- chats -----------------------------------------------------------------------------------------------------
