@@ -7,9 +7,12 @@ the longest known context down (Witten-Bell). The score of a URL is the differen
 rejected less accepted, for each character. The threshold is the one with the best balanced accuracy on every
 fifth labelled URL (by hash), which the counts leave out.
 
-Scale: one pass counts n-grams within each task and adds them up in partial aggregates; the MODEL_GRAMS most
-frequent are kept, so that the model is bounded whatever the input; calibration is a histogram of fixed width.
-Pages aren't shuffled: hosts with a third of all pages make no task larger.
+Scale: one pass counts n-grams within each task and adds them up in partial aggregates; all are kept, as a table
+that grows with the input. Each distinct URL that a score is needed of is scored once: probabilities are joined from
+the shortest suffix of its n-grams up, where a key has at most as many rows as there are characters, and brought
+back to the n-grams of URLs, and scores to pages, by ``lookup`` (salted: n-grams of "http://" are in every URL).
+Calibration is a histogram of fixed width. Pages with a rule aren't shuffled: hosts with a third of all pages make
+no task larger.
 
 Edge cases: a null URL, or one without "://", has an empty host and path and, as no rule fits it, the model's
 verdict; an empty URL scores 0; with no labelled URL of either kind every other URL is allowed; repeated rows
@@ -20,17 +23,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import freeing, table
+from spanweave.llm.common import Scratch, freeing, lookup, table
 
 ORDER = 5
-MODEL_GRAMS = 150_000
-#: Distinct n-grams that a task counts before it passes them on, and scores that one keeps.
+#: Distinct n-grams that a task counts before it passes them on, and ratios that ``Model`` remembers.
 GATHER = 400_000
 #: Calibration: width of a bin of scores, and bins on each side of 0.
 BIN, BINS = 0.01, 1000
@@ -67,7 +70,8 @@ def by_rules(host_: Column, path_: Column, rules=RULES) -> Column:
 
 
 class Model:
-    """Counts of n-grams: {gram: (accepted, rejected)}; a gram is a context and the character after it."""
+    """Counts of n-grams: {gram: (accepted, rejected)}; a gram is a context and the character after it. This is the
+    method for few URLs, in one process; ``scores`` does the same with tables."""
 
     def __init__(self, grams: dict[str, tuple[int, int]]):
         self.grams = grams
@@ -121,28 +125,70 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield done()
 
 
-def fit(labelled: DataFrame) -> Model | None:
-    """Model of (url, blocked) rows; None if one kind is missing."""
-    counted = labelled.select("url", "blocked").mapInArrow(*freeing(_count, "gram string, a bigint, r bigint")).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-    rows = counted.orderBy(F.desc(F.col("a") + F.col("r")), "gram").limit(MODEL_GRAMS).toArrow()
-    grams = dict(zip(rows.column("gram").to_pylist(), zip(rows.column("a").to_pylist(), rows.column("r").to_pylist(), strict=True), strict=True))
-    return Model(grams) if any(a for a, _ in grams.values()) and any(r for _, r in grams.values()) else None
+def counted(labelled: DataFrame) -> DataFrame:
+    """All n-grams of (url, blocked) rows with their counts: (gram, a, r)."""
+    tallied = labelled.select("url", "blocked").mapInArrow(*freeing(_count, "gram string, a bigint, r bigint"))
+    return tallied.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
 
 
-def scorer(model: Model):
-    @F.arrow_udf("double")
-    def score(urls: pa.Array) -> pa.Array:
-        return pa.array([model.score(u) for u in urls.to_pylist()], pa.float64())
-
-    return score
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-gram that ends at each character of a URL, with its number."""
+    for batch in batches:
+        ids, grams, ns = [], [], []
+        for at, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = Counter(url[max(0, i - ORDER) : i + 1] for i in range(len(url)))
+            ids += [at] * len(found)
+            grams += found.keys()
+            ns += found.values()
+            if len(ids) > GATHER:
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "gram": pa.array(grams, pa.string()), "n": pa.array(ns, pa.int64())})
+                ids, grams, ns = [], [], []
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "gram": pa.array(grams, pa.string()), "n": pa.array(ns, pa.int64())})
+
+
+def ratios(grams: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(gram, ratio) of distinct n-grams: log of the rejected model's probability less that of the accepted one."""
+    suffixes = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda k: F.right("gram", k))).alias("gram")).distinct()
+    context = F.expr("left(gram, length(gram) - 1)")
+    totals = counts.groupBy(context.alias("context")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"), F.count_if(F.col("a") > 0).alias("na"), F.count_if(F.col("r") > 0).alias("nr"))
+    # a context has at most as many rows as there are characters, on both sides
+    known = suffixes.join(counts, "gram", "left").withColumn("context", context).join(totals, "context", "left")
+    known = scratch.keep(known.select("gram", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "r", "ca", "cr", "na", "nr"))), "known")
+
+    def mixed(n: str, of: str, kinds: str, shorter: Column) -> Column:
+        return F.when(F.col(of) > 0, (F.col(n) + F.col(kinds) * shorter) / (F.col(of) + F.col(kinds))).otherwise(shorter)
+
+    levels: list[DataFrame] = []
+    for k in range(1, ORDER + 2):
+        level = known.filter(F.length("gram") == k)
+        if levels:
+            level = level.withColumn("__s", F.expr("right(gram, length(gram) - 1)")).join(levels[-1].select(F.col("gram").alias("__s"), F.col("pa").alias("__a"), F.col("pr").alias("__r")), "__s")
+        else:
+            level = level.withColumn("__a", F.lit(1 / 256)).withColumn("__r", F.lit(1 / 256))
+        level = level.select("gram", mixed("a", "ca", "na", F.col("__a")).alias("pa"), mixed("r", "cr", "nr", F.col("__r")).alias("pr"))
+        levels.append(scratch.keep(level, f"level{k}"))
+    return reduce(DataFrame.union, levels).select("gram", (F.log("pr") - F.log("pa")).alias("ratio"))
+
+
+def scores(urls: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``urls`` (distinct url, not empty, and more columns) with a score, written to ``scratch``. Rounded, as sums
+    depend on the order of their rows."""
+    numbered = scratch.keep(urls.withColumn("id", F.monotonically_increasing_id()), "urls")
+    grams = scratch.keep(numbered.select("id", "url").mapInArrow(*freeing(_grams, "id bigint, gram string, n bigint")), "grams")
+    ratio = ratios(grams.select("gram").distinct(), counts, scratch)
+    ratio = scratch.keep(grams.select("gram").distinct().join(ratio, "gram"), "ratios")
+    each = lookup(grams, ratio, "gram", ratio.count())
+    scored = each.groupBy("id").agg(F.round(F.sum(F.col("n") * F.col("ratio")) / F.sum("n"), 12).alias("score"))
+    return scratch.keep(numbered.join(scored, "id").drop("id"), "scores")
 
 
 def threshold(scored: DataFrame) -> float:
-    """The bin edge with the best balanced accuracy on (score, blocked) rows; the middle of equal ones."""
+    """The bin edge with the best balanced accuracy on (score, blocked, n) rows, n being how many there are of each;
+    the middle of equal ones."""
     at = F.least(F.greatest(F.floor(F.col("score") / BIN), F.lit(-BINS)), F.lit(BINS)).cast("int")
     counts: dict[int, list[int]] = {}
-    for r in scored.groupBy(at.alias("at"), "blocked").count().collect():
-        counts.setdefault(r["at"], [0, 0])[r["blocked"]] = r["count"]
+    for r in scored.groupBy(at.alias("at"), "blocked").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["at"], [0, 0])[r["blocked"]] = r["n"]
     total = [sum(c[k] for c in counts.values()) for k in (0, 1)]
     if not all(total):
         return 0.0
@@ -164,16 +210,24 @@ def judged(pages: DataFrame, into: str, rules=RULES) -> DataFrame:
     ruled = ruled.withColumn(into, F.struct(f"{into}.*", by_rules(F.col(f"{into}.host"), F.col(f"{into}.path"), rules).alias("by")))
     labelled = ruled.filter(F.col(f"{into}.by").isNotNull()).select(url.alias("url"), (F.col(f"{into}.by.verdict") == "block").cast("int").alias("blocked"))
     held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    model = fit(labelled.filter(~held))
-    if model is None:
-        score, above = F.lit(None).cast("double"), F.lit(False)
+    scratch = Scratch(pages.sparkSession, "urls")
+    counts = scratch.keep(counted(labelled.filter(~held)), "counts")
+    both = counts.agg(F.max("a").alias("a"), F.max("r").alias("r")).first()
+    open_ = F.col(f"{into}.by").isNull()
+    if not both["a"] or not both["r"]:  # one kind is missing
+        scored, above = ruled.withColumn("__score", F.lit(None).cast("double")), F.lit(False)
     else:
-        limit = threshold(labelled.filter(held).select(scorer(model)("url").alias("score"), "blocked"))
-        score = scorer(model)(F.when(F.col(f"{into}.by").isNull(), url))
-        above = F.col(f"{into}.score") >= limit
-    scored = ruled.withColumn(into, F.struct(f"{into}.*", score.alias("score")))
+        rows = labelled.filter(held).unionByName(ruled.filter(open_).select(url.alias("url"), F.lit(None).cast("int").alias("blocked")))
+        distinct = rows.filter(F.length("url") > 0).groupBy("url", "blocked").agg(F.count("*").alias("n"))
+        found = scores(distinct, counts, scratch)
+        limit = threshold(found.filter("blocked IS NOT NULL"))
+        of = found.filter("blocked IS NULL").select(F.col("url").alias("__url"), F.col("score").alias("__score"))
+        asked = open_ & F.coalesce(F.length(url) > 0, F.lit(False))  # a null URL scores 0
+        rest = ruled.filter(~asked).withColumn("__score", F.when(open_, F.lit(0.0)))
+        joined = lookup(ruled.filter(asked).withColumn("__url", url), of, "__url", of.count()).drop("__url")
+        scored, above = joined.select(*ruled.columns, "__score").unionByName(rest), F.col("__score") >= limit
     verdict = F.coalesce(F.col(f"{into}.by.verdict"), F.when(above, "block").otherwise("allow"))
-    return scored.withColumn(into, F.struct(f"{into}.host", f"{into}.path", F.col(f"{into}.by.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col(f"{into}.by").isNull(), F.col(f"{into}.score")).alias("score")))
+    return scored.withColumn(into, F.struct(f"{into}.host", f"{into}.path", F.col(f"{into}.by.rule").alias("rule"), verdict.alias("verdict"), F.col("__score").alias("score"))).drop("__score")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,6 +458,29 @@ def test_url_model_is_a_distribution():
         assert abs(sum(model.probability(context + chr(c), 0) for c in range(256)) - 1) < 1e-9
 
 
+def test_url_scores_use_all_grams(spark):
+    """Over 150,000 distinct n-grams, of which each counts."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_é"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    rows = [f"http://{word(40)}.com/{'de' if i % 2 else 'fr'}/{word(60)}" for i in range(1200)]
+    rows += [u.replace(".com/de/", ".net/").replace(".com/fr/", ".net/") for u in rows[:100]] + ["http://é.net/", "", None, "x"]
+    rows += rows[-6:]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    held = {x.url for x in pages.filter(f"pmod(xxhash64(url), {urls.HELD_OUT}) = 0").collect()}
+    tallies = Counter(), Counter()
+    for u in rows:
+        verdict = _rule(u)[3]
+        if verdict and u not in held:
+            tallies[verdict == "block"].update(u[j : i + 1] for i in range(len(u)) for j in range(max(0, i - urls.ORDER), i + 1))
+    model = urls.Model({g: (tallies[0][g], tallies[1][g]) for g in tallies[0] | tallies[1]})
+    assert len(model.grams) > 150_000
+    got = {x.page_id: x.score for x in urls.judged(pages, "__u").selectExpr("page_id", "__u.score").collect()}
+    assert len(got) == len(rows)
+    for i, u in enumerate(rows):
+        assert got[i] is None if _rule(u)[3] else abs(got[i] - model.score(u)) < 1e-9
+
+
 # --- shared ----------------------------------------------------------------------------------------------------
 
 
