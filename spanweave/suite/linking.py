@@ -223,10 +223,14 @@ def _contexts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return ctx, scratch.keep(feats, "features"), leaf.select("leaf", F.explode("candidates").alias("ent"))
 
 
-def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+#: Contexts that the SQL of scores is about, and all of the half that isn't trained on (the queries ``_whole``).
+TESTED, HELD_OUT = "doc_id % 2 = 1 AND doc_id % 20 < 5", "doc_id % 2 = 1"
+
+
+def _model(spark: SparkSession, d: str, tested: str = TESTED) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
     ctx, feats, cands = _contexts(spark, d)
     train = ctx.filter("doc_id % 2 = 0").select("ctx", "leaf", "ent")
-    return ctx.filter("doc_id % 2 = 1 AND doc_id % 20 < 5").select("ctx", "leaf", "ent"), feats, cands, bayes.train(train, feats)
+    return ctx.filter(tested).select("ctx", "leaf", "ent"), feats, cands, bayes.train(train, feats)
 
 
 @query("D14_bayes_counts", "SELECT leaf, ent, n_ctx, sum_freq, vocab FROM leaf_ent JOIN vocab USING (leaf)", "leaf_ent", "vocab")
@@ -247,8 +251,8 @@ def priors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("C22_bayes_scores", "SELECT ctx, cand, round(log_score, 5) AS log_score FROM scores", "scores")
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    test, feats, cands, model = _model(spark, d)
+def scores(spark: SparkSession, d: str, tested: str = TESTED) -> DataFrame:
+    test, feats, cands, model = _model(spark, d, tested)
     return bayes.score(test, feats, cands, model).select("ctx", "cand", F.round("log_score", 5).alias("log_score"))
 
 
@@ -256,19 +260,24 @@ part("ranked", """SELECT *, log_score - (max(log_score) OVER w + ln(sum(exp(log_
 
 
 @query("E1_softmax_probabilities", "SELECT ctx, cand, round(log_prob, 5) AS log_prob FROM ranked", "ranked")
-def probabilities(spark: SparkSession, d: str) -> DataFrame:
-    test, feats, cands, model = _model(spark, d)
+def probabilities(spark: SparkSession, d: str, tested: str = TESTED) -> DataFrame:
+    test, feats, cands, model = _model(spark, d, tested)
     return bayes.normalized(bayes.score(test, feats, cands, model), ["ctx"]).select("ctx", "cand", F.round("log_prob", 5).alias("log_prob"))
 
 
 @query("D29_annotator_accuracy", """SELECT count(*) AS n, round(avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0 END), 2) AS accuracy FROM (SELECT cand, ent, row_number() OVER (PARTITION BY ctx ORDER BY round(log_score, 9) DESC, cand) - 1 AS rank FROM scores) WHERE cand = ent""", "scores")
-def accuracy(spark: SparkSession, d: str) -> DataFrame:
-    test, feats, cands, model = _model(spark, d)
+def accuracy(spark: SparkSession, d: str, tested: str = TESTED) -> DataFrame:
+    test, feats, cands, model = _model(spark, d, tested)
     rounded = bayes.score(test, feats, cands, model).withColumn("log_score", F.round("log_score", 9))
     ranked = bayes.normalized(rounded, ["ctx"]).filter("cand = ent")
     return ranked.agg(F.count("*").alias("n"), F.round(F.avg((F.col("rank") == 0).cast("double")), 2).alias("accuracy"))
 
 
+query("C22_bayes_scores_whole")(lambda spark, d: scores(spark, d, HELD_OUT))
+query("E1_softmax_probabilities_whole")(lambda spark, d: probabilities(spark, d, HELD_OUT))
+query("D29_annotator_accuracy_whole")(lambda spark, d: accuracy(spark, d, HELD_OUT))
+
+
 @query("B18_small_leaves", "SELECT leaf, sum(n_ctx)::BIGINT AS n_ctx FROM leaf_ent GROUP BY leaf HAVING sum(n_ctx) > 1", "leaf_ent")
 def leaves_with_contexts(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark, d)[3]["leaf"].filter("n_ctx > 1")

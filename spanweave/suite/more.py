@@ -110,14 +110,17 @@ def exist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("B12_annotation_policy", "SELECT ctx, cand FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(log_score, 9) DESC, cand) - 1 AS rank FROM scores) WHERE rank = 0 AND cand NOT LIKE '%#w'", "scores")
-def policy(spark: SparkSession, d: str) -> DataFrame:
+def policy(spark: SparkSession, d: str, tested: str = linking.TESTED) -> DataFrame:
     from spanweave.operators import bayes
 
-    test, feats, cands, model = linking._model(spark, d)
+    test, feats, cands, model = linking._model(spark, d, tested)
     ranked = bayes.normalized(bayes.score(test, feats, cands, model).withColumn("log_score", F.round("log_score", 9)), ["ctx"])
     return bayes.policy(ranked, "").filter("cand NOT LIKE '%#w'").select("ctx", "cand")
 
 
+query("B12_annotation_policy_whole")(lambda spark, d: policy(spark, d, linking.HELD_OUT))
+
+
 @query("B19_restricted_leaves", "SELECT leaf, ent, n_ctx FROM leaf_ent WHERE leaf IN (1, 3, 5)", "leaf_ent")
 def restricted(spark: SparkSession, d: str) -> DataFrame:
     return linking._model(spark, d)[3]["leaf_ent"].filter(F.col("leaf").isin(1, 3, 5)).select("leaf", "ent", "n_ctx")
