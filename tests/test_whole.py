@@ -6,6 +6,8 @@ from __future__ import annotations
 import pytest
 
 from spanweave import registry
+from spanweave.operators import rank
+from spanweave.suite import ranking
 from tests.oracle import compare, connect
 
 
@@ -23,3 +25,24 @@ def _agrees(spark, sf_dir, con, name, limit, sql=None):
 @pytest.mark.parametrize("name", ["C22_bayes_scores", "E1_softmax_probabilities", "D29_annotator_accuracy", "B12_annotation_policy"])
 def test_all_held_out_contexts(spark, sf_dir, con, name):
     _agrees(spark, sf_dir, con, name, " AND x.doc_id % 20 < 5")
+
+
+@pytest.mark.parametrize("name", ["K2_train_sum", "K3_train_softmax", "K4_train_noisy_or"])
+def test_all_queries_are_ranked(spark, sf_dir, con, name):
+    want = con.sql("SELECT DISTINCT l_orderkey % 40, l_partkey % 30 FROM lineitem").fetchall()
+    got = [(r.qid, r.ent) for r in registry.QUERIES[name](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want) and len({q for q, _ in want}) == 40
+
+
+def test_penalty_grid_is_over_all_queries(spark, sf_dir):
+    scored = rank.cross_validated(ranking.sfv(spark, sf_dir), "sum", 5, [0.1, 1.0, 10.0], 4).collect()
+    want = {}
+    for s in {r.sigma2 for r in scored}:
+        swaps = []
+        for q in range(40):
+            rows = [r for r in scored if r.sigma2 == s and r.qid == q]
+            pairs = [g.score <= b.score for g in rows if g.label for b in rows if not b.label]
+            swaps += [sum(pairs) / len(pairs)] if pairs else []
+        want[s] = sum(swaps) / len(swaps)
+    got = {r.sigma2: r.swap_fraction for r in registry.QUERIES["K1_K5_penalty_grid"](spark, sf_dir).collect()}
+    assert got == pytest.approx(want)
