@@ -33,20 +33,22 @@ def log_priors(candidates: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
 
 def score(contexts: DataFrame, features: DataFrame, candidates: DataFrame, model: dict[str, DataFrame], smoothing: float = 1.0, lambdas: DataFrame | None = None, leave_one_out: bool = False) -> DataFrame:
     """(ctx, leaf, cand, log_score) of each context with each candidate of its leaf; with ``lambdas`` (leaf, lambda, or
-    several for a leaf) also for each smoothing. Leaves with no training vocabulary have no scores. leave_one_out
-    takes the context's own features, and its own count, from its true entity."""
+    several for a leaf) also for each smoothing. Leaves with no training vocabulary have no scores, nor have contexts
+    with no features. leave_one_out is for training contexts: what each feature counts in a context is taken from that
+    feature and from the total of the true entity, feature by feature, and priors stay, as in the original; contexts
+    with no features have scores too, their priors."""
     rate = lambdas if lambdas is not None else model["leaf"].select("leaf").withColumn("lambda", F.lit(smoothing))
+    how = "left" if leave_one_out else "inner"
     cands = candidates.select("leaf", F.col("ent").alias("cand"))
-    pairs = contexts.join(cands, "leaf").join(model["vocab"], "leaf").join(rate, "leaf")
+    pairs = contexts.join(cands, "leaf").join(model["vocab"], "leaf", how).withColumn("vocab", F.coalesce("vocab", F.lit(0))).join(rate, "leaf")
     totals = model["leaf_ent"].select("leaf", F.col("ent").alias("cand"), "sum_freq")
     pairs = pairs.join(totals, ["leaf", "cand"], "left").withColumn("sum_freq", F.coalesce("sum_freq", F.lit(0)))
     seen = model["lfe"].select("leaf", "feat", F.col("ent").alias("cand"), F.col("freq").alias("known"))
-    own_total = features.groupBy("ctx").agg(F.sum("freq").alias("own_total"))
-    cells = pairs.join(features.select("ctx", "feat", "freq"), "ctx").join(own_total, "ctx").join(seen, ["leaf", "feat", "cand"], "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    cells = pairs.join(features.select("ctx", "feat", "freq"), "ctx", how).withColumn("freq", F.coalesce("freq", F.lit(0))).join(seen, ["leaf", "feat", "cand"], "left").withColumn("known", F.coalesce("known", F.lit(0)))
     mine = (F.col("cand") == F.col("ent")) if leave_one_out else F.lit(False)
     hits = F.col("known") - F.when(mine, F.col("freq")).otherwise(0) + F.col("lambda")
-    of = F.col("sum_freq") - F.when(mine, F.col("own_total")).otherwise(0) + F.col("lambda") * F.col("vocab")
-    scored = cells.groupBy("ctx", "leaf", "ent", "cand", "lambda").agg(F.sum(F.col("freq") * (F.log(hits) - F.log(of))).alias("likelihood"))
+    of = F.col("sum_freq") - F.when(mine, F.col("freq")).otherwise(0) + F.col("lambda") * F.col("vocab")
+    scored = cells.groupBy("ctx", "leaf", "ent", "cand", "lambda").agg(F.sum(F.when(F.col("freq") > 0, F.col("freq") * (F.log(hits) - F.log(of))).otherwise(0.0)).alias("likelihood"))
     priors = log_priors(candidates, model).withColumnRenamed("ent", "cand")
     return scored.join(priors, ["leaf", "cand"]).select("ctx", "leaf", "ent", "cand", "lambda", (F.col("likelihood") + F.col("log_prior")).alias("log_score"))
 

@@ -285,9 +285,12 @@ def leaves_with_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("K8_lidstone_tuning")
 def lidstone(spark: SparkSession, d: str) -> DataFrame:
-    ctx, feats, cands, model = _model(spark, d)
-    grid = model["leaf"].select("leaf").withColumn("lambda", F.explode(F.array(*(F.lit(x) for x in (0.01, 0.1, 1.0, 10.0)))))
-    return bayes.tuned(bayes.score(ctx, feats, cands, model, lambdas=grid))
+    """On the training contexts, each left out of the counts in turn; leaves with one context have none to tune on."""
+    ctx, feats, cands = _contexts(spark, d)
+    train = ctx.filter("doc_id % 2 = 0").select("ctx", "leaf", "ent")
+    model = bayes.train(train, feats)
+    grid = model["leaf"].filter("n_ctx > 1").select("leaf").withColumn("lambda", F.explode(F.array(*(F.lit(x) for x in (0.01, 0.1, 1.0, 10.0)))))
+    return bayes.tuned(bayes.score(train, feats, cands, model, lambdas=grid, leave_one_out=True))
 
 
 @query("D18_accuracy_averages")

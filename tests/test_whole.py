@@ -3,11 +3,14 @@ same SQL without its limit. Queries without SQL are held against brute force."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
 import pytest
 
 from spanweave import registry
 from spanweave.operators import rank
-from spanweave.suite import ranking
+from spanweave.suite import SUITE, ranking
 from tests.oracle import compare, connect
 
 
@@ -46,3 +49,42 @@ def test_penalty_grid_is_over_all_queries(spark, sf_dir):
         want[s] = sum(swaps) / len(swaps)
     got = {r.sigma2: r.swap_fraction for r in registry.QUERIES["K1_K5_penalty_grid"](spark, sf_dir).collect()}
     assert got == pytest.approx(want)
+
+
+def test_lidstone_leaves_one_out(spark, sf_dir, con):
+    """As the original does it, in one process, over the tables of contexts and features."""
+    sql = SUITE.compose("SELECT x.ctx, x.leaf, x.ent, f.feat, f.freq FROM train_ctx x LEFT JOIN feats f USING (ctx)", "train_ctx", "feats")
+    leaves, cands = defaultdict(dict), defaultdict(list)
+    for ctx, leaf, ent, feat, freq in con.sql(sql).fetchall():
+        leaves[leaf].setdefault(ctx, (ent, {}))[1].update({feat: freq} if feat else {})
+    for leaf, ent in con.sql(SUITE.compose("SELECT leaf, ent FROM cands", "cands")).fetchall():
+        cands[leaf].append(ent)
+    want = {}
+    for leaf, rows in leaves.items():
+        if len(rows) < 2:
+            continue
+        n, sums, known, vocab = Counter(), Counter(), Counter(), set()
+        for ent, feats in rows.values():
+            n[ent] += 1
+            for feat, freq in feats.items():
+                sums[ent] += freq
+                known[ent, feat] += freq
+                vocab.add(feat)
+        best = (-1.0, 0.0)
+        for lam in (0.01, 0.1, 1.0, 10.0):
+            right = 0
+            for ent, feats in rows.values():
+                score = {}
+                for c in cands[leaf]:
+                    score[c] = math.log((n[c] + 1) / (len(rows) + len(cands[leaf])))
+                    for feat, freq in feats.items():
+                        own = freq if c == ent else 0
+                        score[c] += freq * (math.log(known[c, feat] - own + lam) - math.log(sums[c] - own + lam * len(vocab)))
+                right += all(score[ent] > score[c] + 1e-9 for c in score if c != ent)
+            if right / len(rows) > best[0]:
+                best = (right / len(rows), lam)
+        want[leaf] = (best[1], pytest.approx(best[0]), len(rows))
+    got = {r.leaf: (r["lambda"], r.accuracy, r.instances) for r in registry.QUERIES["K8_lidstone_tuning"](spark, sf_dir).collect()}
+    assert got == want
+    average = registry.QUERIES["D18_accuracy_averages"](spark, sf_dir).first()
+    assert average.macro == pytest.approx(sum(a for _, a, _ in got.values()) / len(got))
