@@ -32,12 +32,17 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], low: Column, hig
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "id", start: int = 0) -> DataFrame:
-    """Distinct values of a column with ids start, start + 1, ... in their order. A range partitioning sorts them;
-    only the size of each partition reaches the driver, so that no task numbers them all."""
+    """Distinct values of a column with ids start, start + 1, ... in their order."""
+    return positions(df.select(key).filter(F.col(key).isNotNull()).distinct(), [key], name, start)
+
+
+def positions(df: DataFrame, keys: list[str], name: str, start: int = 1) -> DataFrame:
+    """All rows with their place in the order of ``keys``, from ``start``. A range partitioning sorts them; only the
+    size of each partition reaches the driver, so that no task numbers them all. Rows with equal keys have places next
+    to each other, in any order."""
     spark = df.sparkSession
-    values = df.select(key).filter(F.col(key).isNotNull()).distinct()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = values.repartitionByRange(n, key).sortWithinPartitions(key).select(key, F.monotonically_increasing_id().alias("__m"))
+    numbered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
     numbered = numbered.withColumn("__p", F.shiftright("__m", 33).cast("int")).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
     numbered = Scratch(spark, "ids").keep(numbered, "numbered")
     offset, before = [], start
@@ -46,7 +51,7 @@ def dense_ids(df: DataFrame, key: str, name: str = "id", start: int = 0) -> Data
         offset.append(before)
         before += sizes.get(p, 0)
     at = F.get(F.array(*(F.lit(x).cast("long") for x in offset)), F.col("__p")) if offset else F.lit(start).cast("long")
-    return numbered.select(key, (at + F.col("__i")).alias(name))
+    return numbered.select(*df.columns, (at + F.col("__i")).alias(name))
 
 
 def islands(df: DataFrame, keys: list[str], order: str, contiguous: Column, name: str = "island") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import text
 from spanweave.operators import bayes, catalog, context, spotting
-from spanweave.operators.joins import ngrams
+from spanweave.operators.joins import ngrams, positions
 from spanweave.scratch import Scratch
 from spanweave.suite import SUITE, base, read
 
@@ -144,6 +144,12 @@ def by_probability(spark: SparkSession, d: str) -> DataFrame:
     return least.select("phrase", F.row_number().over(Window.orderBy("probability", "phrase")).cast("long").alias("rank"))
 
 
+@query("F9_phrases_by_probability_whole")
+def by_probability_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every phrase with its rank."""
+    return positions(_probability(spark, d).select("phrase", "probability"), ["probability", "phrase"], "rank").select("phrase", "rank")
+
+
 @query("B14_lemma_token_filter", """SELECT DISTINCT m.phrase, m.ent FROM (SELECT phrase, ent, unnest(str_split(phrase, '|')) AS t FROM mentions) m
   JOIN (SELECT DISTINCT p_name || '#' || (p_partkey % 3) AS ent, str_split(p_name, ' ')[2] AS t FROM part) l USING (ent, t)""", "mentions")
 def lemma_filter(spark: SparkSession, d: str) -> DataFrame:

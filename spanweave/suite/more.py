@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import intervals, metrics
 from spanweave.operators import catalog, context, interpret, rank, spotting
-from spanweave.operators.joins import band_join, dense_ids
+from spanweave.operators.joins import band_join, dense_ids, positions, small
 from spanweave.plans.query import QueryError, check, parse
 from spanweave.scratch import Scratch
 from spanweave.sources import corpus
@@ -248,6 +248,14 @@ def leaf_streams(spark: SparkSession, d: str) -> DataFrame:
     return g.select("leaf", "n", "contexts")
 
 
+@query("E12_leaf_streams_whole")
+def leaf_streams_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All contexts of each leaf in order, one a row; place counts from 1 within the leaf."""
+    ctx = positions(linking._contexts(spark, d)[0].filter("doc_id % 2 = 0").select("leaf", "ctx"), ["leaf", "ctx"], "at")
+    first = ctx.groupBy("leaf").agg(F.min("at").alias("first"))
+    return ctx.join(small(first), "leaf").select("leaf", (F.col("at") - F.col("first") + 1).alias("place"), "ctx")
+
+
 @query("H23_bags_of_unit_sum", "SELECT ent, token, n, round(n * 1.0 / sum(n) OVER (PARTITION BY ent), 6)::DOUBLE AS share FROM bags", "bags")
 def bag_weights(spark: SparkSession, d: str) -> DataFrame:
     """Bags scaled to a sum of one."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import codec, metrics, text
 from spanweave.operators import interpret, rank
+from spanweave.operators.joins import positions
 from spanweave.suite import SUITE, base, read
 
 query, part = SUITE.add, SUITE.part
@@ -269,6 +270,13 @@ def sorted_run(spark: SparkSession, d: str) -> DataFrame:
     return least.select("o_orderkey", F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).cast("long").alias("pos"))
 
 
+@query("F1_sorted_run_positions_whole")
+def sorted_run_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The position of every record in the sorted run."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return positions(orders, ["o_totalprice", "o_orderkey"], "pos").select("o_orderkey", "pos")
+
+
 @query("F5_scrambled_order", "SELECT o_orderkey, (o_orderkey * 2654435761) % 1000003 AS place FROM orders")
 def scrambled(spark: SparkSession, d: str) -> DataFrame:
     """Records in the order of a hash of their key, for learning one by one."""

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from spanweave import registry
-from spanweave.operators import rank
+from spanweave.operators import joins, rank
 from spanweave.suite import SUITE, ranking
 from tests.oracle import compare, connect
 
@@ -88,3 +88,22 @@ def test_lidstone_leaves_one_out(spark, sf_dir, con):
     assert got == want
     average = registry.QUERIES["D18_accuracy_averages"](spark, sf_dir).first()
     assert average.macro == pytest.approx(sum(a for _, a, _ in got.values()) / len(got))
+
+
+def test_all_records_have_positions(spark, sf_dir, con):
+    _agrees(spark, sf_dir, con, "F1_sorted_run_positions", " LIMIT 100")
+
+
+def test_all_phrases_are_ranked(spark, sf_dir, con):
+    _agrees(spark, sf_dir, con, "F9_phrases_by_probability", " WHERE rank <= 20")
+
+
+def test_leaves_stream_all_contexts(spark, sf_dir, con):
+    sql = SUITE.compose("SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY ctx) AS place, ctx FROM train_ctx", "train_ctx")
+    assert compare(registry.QUERIES["E12_leaf_streams_whole"](spark, sf_dir), con, sql) == ""
+
+
+def test_positions_of_equal_and_no_rows(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "z"), (2, "b"), (None, "n")], "k long, v string")
+    assert [tuple(r) for r in joins.positions(df, ["k", "v"], "at").orderBy("at").collect()] == [(None, "n", 1), (1, "z", 2), (2, "b", 3), (2, "b", 4)]
+    assert joins.positions(df.filter("k > 9"), ["k"], "at").count() == 0
