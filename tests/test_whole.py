@@ -107,3 +107,7 @@ def test_positions_of_equal_and_no_rows(spark):
     df = spark.createDataFrame([(2, "b"), (1, "z"), (2, "b"), (None, "n")], "k long, v string")
     assert [tuple(r) for r in joins.positions(df, ["k", "v"], "at").orderBy("at").collect()] == [(None, "n", 1), (1, "z", 2), (2, "b", 3), (2, "b", 4)]
     assert joins.positions(df.filter("k > 9"), ["k"], "at").count() == 0
+
+
+def test_all_records_are_read_back(spark, sf_dir, con):
+    _agrees(spark, sf_dir, con, "A2_A3_A4_record_store", " WHERE doc_id % 10 = 3")
