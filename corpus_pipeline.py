@@ -26,13 +26,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates. Rows that repeat an id count as one; those
-    without an id stay if they are in no group with an id."""
-    groups = jaccard.jaccard_components(docs, Scratch(spark, "jaccard"))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    repeats = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """The document with the least id of each group of near duplicates; rows without an id come after those with one,
+    rows of equal ids in the order of their texts, and of equal texts one stays. Rows in no group stay, whatever their ids."""
+    scratch = Scratch(spark, "jaccard")
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return _near_duplicate_rows(docs, scratch)
+    groups = jaccard.jaccard_components(docs, scratch)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id"))
+    return docs.join(first, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+
+
+def _near_duplicate_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same where ids don't name rows: these are numbered, and groups are made of numbers."""
+    rows = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), scratch)
+    groups = scratch.keep(groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")), "groups")
+    several = groups.groupBy("__group").count().filter("count > 1").select("__group")
+    members = rows.select("__row", F.col("doc_id").cast("long").alias("id"), "text").join(groups.join(several, "__group"), "__row")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text", "__row")
+    first = members.groupBy("__group").agg(F.min(order).alias("first")).select("__group", F.col("first.__row").alias("__first"))
+    others = groups.join(first, "__group").filter("__row <> __first").select("__row")
+    return rows.join(others, "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

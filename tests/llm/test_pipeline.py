@@ -69,3 +69,17 @@ def test_null_and_repeated_ids(spark):
     for name in ("quality_rules", "decontaminated", "without_secrets"):
         if name != "decontaminated":
             assert getattr(corpus_pipeline, name)(spark, docs, "").schema == docs.schema
+
+
+def test_rows_without_an_id_or_with_one_of_another_stay(spark):
+    r = random.Random(8)
+    a, b, c, d, e, f = (fixtures.prose(r, 80) for _ in range(6))
+    near = a.split()
+    near[40] = "other"
+    near = " ".join(near)
+    rows = [(1, a), (1, a), (None, b), (None, c), (None, ""), (None, "too short"), (2, d), (2, e), (3, near), (None, a), (None, f), (None, f), (None, f), (4, f[:-1] + "~"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert got == Counter([(1, a), (None, b), (None, c), (None, ""), (None, "too short"), (2, d), (2, e), (4, f[:-1] + "~"), (5, None)])
+    nulls = docs.filter("doc_id IS NULL AND length(text) > 20")
+    assert Counter(x.text for x in corpus_pipeline.near_duplicates(spark, nulls, "").collect()) == Counter([a, b, c, f])
