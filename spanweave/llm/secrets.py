@@ -1,18 +1,26 @@
 r"""Secrets: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
-Tokens are runs of ``[A-Za-z0-9+/_=-]``. Tokens that can be part of a secret (of MIN_TOKEN characters and more,
-with a digit, a sign or a capital within) are open; all others are held to the tag outside, which cuts the
-chain, so that Viterbi decoding of each run of neighbouring open tokens is exact for the text as a whole. Tags are
-begin, inside and outside; features are the token's shape, the words around it, and what kind of text it is in.
-
-The model is fitted on at most SAMPLE_WINDOWS open runs out of about SAMPLE_DOCS documents (chosen by a hash of
-their id), labelled by the fixed patterns, together with EXAMPLES made-up secrets and look-alikes of known forms
-in known settings. Everything else covers all documents and whole texts.
-
-Scale: rows are judged in place, with no shuffle, and keep all their columns. The model has bounded size.
-
-Edge cases: a null or empty text has no spans; repeated rows are judged one by one; a table with no open token
-leaves the model to its made-up examples; an empty table gives an empty result; columns of any other name pass.
+Tokens are runs of letters and digits (bytes of other alphabets count as letters), and every other sign that is not
+white space. Every token of a text is tagged begin, inside or outside; inside is only for tokens that no white space
+parts from the one before. Features are the token's shape (cases, length,
+turns between letters and digits, vowels), the stretch of ``[A-Za-z0-9+/_.~-]`` that it is in, the words and signs
+beside the token and before its stretch, named words such as "password" some tokens before, and what kind of file the
+text is. Each feature is a number computed for all tokens of a batch at once; a token's scores are sums of weights.
+
+Decoding is Viterbi over the whole text. Scores and steps prove for most tokens that every best sequence has them
+outside (``Model.certain``); the text is cut there, and what is left is decoded between two such tokens, so that the
+result is that of the whole text. Nothing else holds a token outside: no length, no form, no list.
+
+The model is fitted on a bounded sample: of about SAMPLE_DOCS documents, chosen by a hash of their id, cut into windows
+of WINDOW tokens, SAMPLE_WINDOWS that hold a match of the fixed patterns and as many that don't (by a hash of the text),
+labelled by the fixed patterns; and EXAMPLES made-up texts with secrets and look-alikes of known forms in known
+settings. Everything else covers all documents and whole texts.
+
+Scale: rows are judged in place, with no shuffle, and keep all their columns. The model has bounded size. Memory
+follows the longest single text.
+
+Edge cases: a null or empty text has no spans; repeated rows are judged one by one; a table without documents or
+secrets leaves the model to its made-up examples; an empty table gives an empty result; columns of any other name pass.
 """
 
 from __future__ import annotations
@@ -20,8 +28,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions.lbfgs import minimize
-from spanweave.llm.common import table
+from spanweave.llm.common import LOWER, SPACE, Prefix, chunks, per_text, table, trim, utf8, words
 
 SAMPLE_DOCS = 3000
-SAMPLE_WINDOWS = 4000
-EXAMPLES = 1500
+SAMPLE_WINDOWS = 1500
+WINDOW = 32
+EXAMPLES = 4000
 PENALTY = 0.05
-MIN_TOKEN = 8
-AROUND = 48
+ROUNDS = 60
+#: Bytes of text whose features are held at once; only a longer single text makes more.
+BATCH_BYTES = 1 << 18
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,12 +55,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_OPEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
-_GAP = re.compile(r"[.:~$@!]?\Z")
-_WORD = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
-_CODE = re.compile(r"""[{};]|=\s?["']|::|\(\)|</""")
-#: Words near a secret that features name; all others go by their class.
-_NAMED = frozenset("password passwd pwd pass secret token key apikey api_key auth bearer authorization credential credentials private access client access_key secret_key export aws github slack stripe jwt sha sha1 sha256 md5 commit hash uuid id isbn url http https version file path order serial".split())
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -68,58 +73,201 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-# --- tokens and features ------------------------------------------------------------------------------------
-
-
-def is_open(token: str) -> bool:
-    return not token.isalpha() and not (token.isdigit() and len(token) < 12) or any(c.isupper() for c in token[1:]) and not token.isupper()
-
-
-def open_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of open tokens with at most one joining sign between them."""
-    out: list[list[tuple[int, int]]] = []
-    for m in _OPEN.finditer(text):
-        if is_open(m[0]):
-            if out and m.start() - out[-1][-1][1] <= 1 and _GAP.match(text, out[-1][-1][1], m.start()):
-                out[-1].append(m.span())
-            else:
-                out.append([m.span()])
-    return out
-
-
-def _entropy(token: str) -> float:
-    n = len(token)
-    return -sum(k / n * log2(k / n) for k in (token.count(c) for c in set(token)))
-
+def values(text: str) -> list[tuple[int, int]]:
+    """What of a text the fixed patterns know to be a secret: of assignments, the value. Numbers are not."""
+    out = [m.span(2) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    out += [m.span() for m in _ACCESS.finditer(text)] + [m.span() for m in _HEX.finditer(text)]
+    found: list[tuple[int, int]] = []
+    for b, e in sorted(out, key=lambda s: (s[0], -s[1])):
+        if not text[b:e].isdigit() and not (found and b < found[-1][1]):
+            found.append((b, e))
+    return found
 
-def _class(word: str) -> str:
-    low = word.lower()
-    if low in _NAMED:
-        return low
-    return "num" if word.isdigit() else "word" if word.isalpha() else "mixed" if len(word) > 1 else word
-
-
-def features(text: str, run: list[tuple[int, int]], i: int, document: str) -> list[str]:
-    """Feature names of token i of a run; ``document``: what kind of text it is."""
-    b, e = run[i]
-    token = text[b:e]
-    n = len(token)
-    lower, upper, digit = (any(map(f, token)) for f in (str.islower, str.isupper, str.isdigit))
-    shape = f"{'a' * lower}{'A' * upper}{'0' * digit}{'-' * (not token.isalnum())}"
-    turns = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
-    before = _WORD.findall(text[max(0, b - AROUND) : b])[-3:]
-    after = _WORD.findall(text[e : e + 16])[:1]
-    out = ["bias", f"shape={shape}", f"len={min(n // 4, 12)}", f"shape={shape}|len={min(n // 8, 6)}", f"turns={min(turns, 8)}", f"bits={int(_entropy(token) * 2)}", f"doc={document}"]
-    out += [f"hex={all(c in '0123456789abcdef' for c in token)}", f"head={token[:4] if token[:3] in ('ghp', 'sk-', 'sk_', 'xox', 'eyJ', 'AKI', 'pk_', 'AIz') else ''}"]
-    out += [f"at={i and text[run[i - 1][1] : b]}", f"signs={sum(not c.isalnum() for c in token) * 4 // n}"]
-    out += [f"w{k}={_class(w)}" for k, w in enumerate(reversed(before), 1)]
-    if any(w.lower() in _NAMED and k for k, w in enumerate(reversed(before))):
-        out.append("named")
-    return [*out, f"next={_class(after[0]) if after else ''}"]
 
+# --- tokens and features ------------------------------------------------------------------------------------
 
-def kind_of_text(text: str) -> str:
-    return "code" if _CODE.search(text) else "prose"
+_WORD = np.zeros(256, bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: What a key or password may be written with, in one stretch.
+_STRETCH = _WORD.copy()
+_STRETCH[list(b"+/_.~-")] = True
+_SIGN = ~_WORD & ~SPACE
+_CASE = np.zeros(256, np.int8)
+_CASE[0x61:0x7B], _CASE[0x41:0x5B], _CASE[0x30:0x3A] = 1, 2, 3
+_VOWEL = np.zeros(256, bool)
+_VOWEL[list(b"aeiouyAEIOUY")] = True
+_HEXADECIMAL = np.zeros(256, bool)
+_HEXADECIMAL[list(b"0123456789abcdef")] = True
+_CODE = np.zeros(256, bool)
+_CODE[list(b'{}();=<>"')] = True
+#: Bucket of a length.
+_LENGTH = np.searchsorted([2, 3, 4, 5, 7, 9, 12, 16, 20, 24, 32, 40, 48, 64], np.arange(65), side="right")
+
+#: Words that features name, as tokens in lower case; all others go by their shape.
+NAMED = tuple("password passwd pwd pass passphrase passcode secret secrets token tokens key keys apikey api auth bearer authorization credential credentials cred private access client login pin export aws github slack stripe webhook signing encryption sha sha1 sha256 md5 commit hash checksum uuid guid id isbn url http https www com version file path order serial ticket invoice session phone date".split())
+#: First bytes of keys of known issuers.
+HEADS = (b"ghp", b"sk-", b"sk_", b"pk_", b"xox", b"eyJ", b"AKI", b"AIz", b"glp", b"npm")
+#: Tokens before a stretch among which a named word is looked for.
+BACK = 8
+#: Values of a token's class: named words, then signs by their byte, then words by shape and whether they are long.
+_SIGNS, _SHAPES, CLASSES = 1 + len(NAMED), 1 + len(NAMED) + 128, 1 + len(NAMED) + 128 + 64
+
+
+def _hashes(x: list[bytes]) -> np.ndarray:
+    return np.concatenate([Prefix(np.frombuffer(w, np.uint8)).ranges(np.array([0]), np.array([len(w)])) for w in x])
+
+
+_NAMED_HASHES = _hashes([w.encode() for w in NAMED])
+_NAMED_ORDER = np.argsort(_NAMED_HASHES)
+_HEAD_NUMBERS = np.array([int.from_bytes(h, "big") for h in HEADS])
+_HEAD_ORDER = np.argsort(_HEAD_NUMBERS)
+
+
+def _three(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The three bytes from each place on, as a number."""
+    return (data[at].astype(np.int64) << 16) + (data[at + 1].astype(np.int64) << 8) + data[at + 2]
+
+
+#: What is counted within tokens, besides turns: three counts to a number, of _FIELD bits each.
+_COUNTED = (_CASE == 1, _CASE == 2, _CASE == 3, np.arange(256) >= 0x80, _VOWEL, _HEXADECIMAL, np.zeros(256, bool), np.arange(256) == 0x2E, np.arange(256) == 0x2F)
+_FIELD = 21
+_PACKED = [sum(_COUNTED[3 * i + j].astype(np.int64) << (_FIELD * j) for j in range(3)) for i in range(3)]
+
+
+def _counter(data: np.ndarray, turn: np.ndarray):
+    """A function of begins and ends: how often what is in _COUNTED occurs in between."""
+    sums = [np.concatenate([[0], np.cumsum(row[data] + (turn if i == 2 else 0))]) for i, row in enumerate(_PACKED)]
+
+    def count(b: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+        if len(b) and int((e - b).max()) >> _FIELD:  # a token of millions of bytes: its counts need more bits
+            flags = [(turn if i == 6 else row[data]) for i, row in enumerate(_COUNTED)]
+            return [c[e] - c[b] for c in (np.concatenate([[0], np.cumsum(f, dtype=np.int64)]) for f in flags)]
+        return [(d >> (_FIELD * j)) & ((1 << _FIELD) - 1) for d in (s[e] - s[b] for s in sums) for j in range(3)]
+
+    return count
+
+
+def _which(known: np.ndarray, order: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Number of each hash among the known ones, from 1; 0 if it is none of them."""
+    at = order[np.minimum(np.searchsorted(known, h, sorter=order), len(known) - 1)]
+    return np.where(known[at] == h, at + 1, 0)
+
+
+def file_kind(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each text, how much of it are signs that code has, and whether it has several lines: 8 values."""
+    n = np.maximum(np.diff(at), 1)
+    share = np.searchsorted([0.01, 0.04, 0.1], per_text(_CODE[data], at) / n, side="right")
+    return 2 * share + (per_text(data == 0x0A, at) > 0)
+
+
+class Tokens:
+    """The tokens of a batch of texts: runs of letters and digits, and every other sign that is not white space.
+    ``first``: the index of each text's first token, and past the last."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[at] = True
+        word, sign = _WORD[data], _SIGN[data]
+        starts, ends = sign | word, sign | word
+        starts[1:] &= sign[1:] | ~word[:-1] | edge[1:n]
+        ends[:-1] &= sign[:-1] | ~word[1:] | edge[1:n]
+        self.data, self.at = data, at
+        self.begin, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        self.first = np.searchsorted(self.begin, at)
+        self.number = np.cumsum(starts, dtype=np.int32) - 1  # of the token that begins at or before each byte
+        self.joined = np.zeros(len(self.begin), bool)  # with the token before it, without white space between
+        self.joined[1:] = self.begin[1:] == self.end[:-1]
+        self.joined[self.first[:-1][self.first[:-1] < len(self.begin)]] = False
+
+    def codes(self, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each feature: how many values it has, and the value of each token. ``kind``: ``file_kind`` of each text."""
+        data, b, e, n = self.data, self.begin, self.end, len(self.begin)
+        text = np.repeat(np.arange(len(self.at) - 1), np.diff(self.first))
+        case = _CASE[data]
+        turn = np.zeros(len(data), bool)
+        turn[1:] = (case[1:] != case[:-1]) & (case[1:] > 0) & (case[:-1] > 0)
+        turn[self.at[self.at < len(data)]] = False
+        count = _counter(data, turn)
+
+        def shapes(b: np.ndarray, e: np.ndarray) -> dict[str, np.ndarray]:
+            lower, upper, digit, other, vowel, hexa, turns, dots, slashes = count(b, e)
+            letters = lower + upper
+            return {
+                "n": _LENGTH[np.minimum(e - b, 64)],
+                "case": (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0),
+                "other": other > 0,
+                "rest": e - b > letters + digit + other + dots + slashes,
+                "path": (dots > 0) + 2 * (slashes > 0),
+                "vowels": np.where(letters < 4, 5, np.minimum(4 * vowel // np.maximum(letters, 1), 4)),
+                "hexa": hexa == e - b,
+                "turns": np.minimum(turns, 15),
+            }
+
+        own = shapes(b, e)
+        named = np.zeros(n, np.int64)
+        may = np.flatnonzero((e - b >= 2) & (e - b <= max(map(len, NAMED))) & ~own["other"])
+        named[may] = _which(_NAMED_HASHES, _NAMED_ORDER, Prefix(LOWER[data]).ranges(b[may], e[may]))
+        sign = (e - b == 1) & _SIGN[data[b]]
+        generic = _SHAPES + own["case"] + 8 * own["other"] + 16 * np.minimum(own["n"] // 4, 3)
+        cls = np.where(named > 0, named, np.where(sign, _SIGNS + data[b] % 128, generic))
+        # the stretch that a token is in; a sign that is in none is its own
+        sb, se, _ = words(data, self.at, _STRETCH)
+        ordinal = np.zeros(len(data), np.int32)
+        ordinal[sb] = 1
+        ordinal = np.cumsum(ordinal)[b] - 1
+        known = np.maximum(ordinal, 0)
+        inside = (ordinal >= 0) & (b < se[known]) if len(se) else np.zeros(n, bool)
+        lo, hi = (np.where(inside, sb[known], b), np.where(inside, se[known], e)) if len(se) else (b, e)
+        whole, opening = shapes(lo, hi), self.number[lo]
+        beginning = self.first[text]
+        last_named = np.maximum.accumulate(np.where(named > 0, np.arange(n), -1))
+        back = np.where(opening > 0, last_named[np.maximum(opening - 1, 0)], -1)
+        away = opening - back
+        near = (back >= beginning) & (away <= BACK)
+        keyword = np.where(near, named[np.maximum(back, 0)], 0)
+        long_enough = hi - lo >= 3
+        starts_with = np.zeros(n, np.int64)
+        starts_with[long_enough] = _which(_HEAD_NUMBERS, _HEAD_ORDER, _three(data, lo[long_enough]))
+        place = 2 * (e == hi) + 4 * self.joined
+
+        # classes with three places between texts, so that what is beside a token is there by number
+        classes = np.full(n + 3 * len(self.at) + 3, CLASSES)
+        index = np.arange(n) + 3 * (text + 1)
+        classes[index] = cls
+
+        def beside(where: np.ndarray, by: int) -> np.ndarray:
+            """Class of the token so many after each; CLASSES if the text has none."""
+            return classes[where + by]
+
+        opens = opening == np.arange(n)
+        yield 1, np.zeros(n, np.int64)
+        yield 256, own["case"] + 8 * own["other"] + 16 * own["n"]
+        yield 256, own["turns"] + 16 * own["n"]
+        yield 128, own["vowels"] + 8 * own["n"]
+        yield CLASSES, cls
+        for by in (-1, -2, 1, 2):
+            yield CLASSES + 1, beside(index, by)
+        for by in (-1, -2, -3):
+            yield CLASSES + 1, beside(index[opening], by)
+        yield 1024, whole["case"] + 8 * whole["rest"] + 16 * whole["n"] + 256 * whole["path"]
+        yield 256, whole["turns"] + 16 * whole["n"]
+        yield 256, whole["vowels"] + 8 * whole["n"] + 128 * whole["other"]
+        yield 32, whole["hexa"] + 2 * whole["n"]
+        yield 2 * (1 + len(HEADS)), starts_with * 2 + opens
+        yield 3 * (1 + len(NAMED)), keyword * 3 + np.searchsorted([3, 5], np.where(near, away, 0), side="right")
+        yield 256, (keyword > 0) + 2 * whole["case"] + 16 * whole["n"]
+        yield 1024, kind[text] + 8 * whole["case"] + 64 * whole["n"]
+        yield 64, opens + place + 8 * np.minimum(own["n"] // 2, 7)
+
+
+def codes_of(tokens: Tokens, kind: np.ndarray) -> np.ndarray:
+    """A row for each feature, of codes that no other feature has."""
+    rows, base = [], 0
+    for size, values in tokens.codes(kind):
+        rows.append((values + base).astype(np.int32))
+        base += size
+    return np.stack(rows)
 
 
 # --- the model ----------------------------------------------------------------------------------------------
@@ -127,186 +275,300 @@ def kind_of_text(text: str) -> str:
 
 @dataclass
 class Model:
-    weights: dict[str, tuple[float, float, float]]
-    steps: list[list[float]]  # from tag to tag; the row OUTSIDE also begins a run
-    #: inside never follows outside
-    never: float = -1e9
-
-    def tags(self, feats: list[list[str]]) -> list[int]:
-        """Viterbi."""
-        best, back = [], []
-        for t, names in enumerate(feats):
-            score = [0.0, 0.0, 0.0]
-            for f in names:
-                if w := self.weights.get(f):
-                    score = [a + x for a, x in zip(score, w, strict=True)]
+    #: a row of three for each code of each feature
+    weights: np.ndarray
+    #: from tag to tag; the row OUTSIDE also begins a text. Inside never follows outside, nor white space.
+    steps: np.ndarray
+
+    def scores(self, tokens: Tokens, kind: np.ndarray) -> np.ndarray:
+        """For every token of the texts, the weight of each tag (of outside: 0)."""
+        both = (self.weights[:, 1:] - self.weights[:, :1]).astype(np.float32).view(np.complex64)[:, 0]  # a pair to a number
+        sums, base = np.zeros(len(tokens.begin), np.complex64), 0
+        for size, values in tokens.codes(kind):
+            sums += both[base : base + size][values]
+            base += size
+        out = np.zeros((len(sums), 3))
+        out[:, 1:] = sums.view(np.float32).reshape(-1, 2)
+        out[~tokens.joined, INSIDE] = NEVER
+        return out
+
+    def certain(self, score: np.ndarray) -> np.ndarray:
+        """Tokens that every best sequence of tags has outside. Whatever the tags of others, giving such a token the tag
+        outside (and to the one after it begin, where it had inside) gains more than it can lose by the steps."""
+        s = self.steps + _BAR
+        ahead = np.append(score[1:, BEGIN] - score[1:, INSIDE], 0.0)
+        out = np.ones(len(score), bool)
+        for y in (BEGIN, INSIDE):
+            before = min(s[x, OUTSIDE] - s[x, y] for x in ((0, 1, 2) if y == BEGIN else (1, 2)))
+            free = min(0.0, *(s[OUTSIDE, z] - s[y, z] for z in (OUTSIDE, BEGIN)))
+            held = s[OUTSIDE, BEGIN] - s[y, INSIDE] + min(0.0, *(s[BEGIN, z] - s[INSIDE, z] for z in range(3)))
+            out &= score[:, OUTSIDE] - score[:, y] + before + np.minimum(free, held + ahead) > 1e-6
+        return out
+
+    def tags(self, score: np.ndarray, first: np.ndarray, prune: bool = True) -> np.ndarray:
+        """The best tags of all texts, by Viterbi. Tokens that are surely outside cut a text into stretches, each of
+        which is decoded between two of them."""
+        n = len(score)
+        if not n:
+            return np.empty(0, np.int8)
+        s = self.steps + _BAR
+        open_ = ~self.certain(score) if prune else np.ones(n, bool)
+        edge = np.zeros(n + 1, bool)
+        edge[first] = True
+        begin = open_.copy()
+        begin[1:] &= ~open_[:-1] | edge[1:n]
+        heads = np.flatnonzero(begin)
+        end = open_.copy()
+        end[:-1] &= ~open_[1:] | edge[1:n]
+        length = np.flatnonzero(end) + 1 - heads
+        order = np.argsort(-length, kind="stable")
+        heads, length = heads[order], length[order]
+        tags, back = np.zeros(n, np.int8), np.zeros((n, 3), np.int8)
+        best = np.zeros((len(heads), 3))
+        for t in range(int(length[0]) if len(length) else 0):
+            m = int(np.searchsorted(-length, -t, side="left"))  # stretches longer than t
+            rows = heads[:m] + t
             if t == 0:
-                best = [score[y] + self.steps[OUTSIDE][y] + (self.never if y == INSIDE else 0) for y in range(3)]
-                continue
-            into = [max((best[x] + self.steps[x][y] + (self.never if y == INSIDE and x == OUTSIDE else 0), x) for x in range(3)) for y in range(3)]
-            back.append([x for _, x in into])
-            best = [into[y][0] + score[y] for y in range(3)]
-        tags = [max(range(3), key=lambda y: (best[y], -y))]
-        for row in reversed(back):
-            tags.append(row[tags[-1]])
-        return tags[::-1]
-
-
-def train(sequences: list[tuple[list[list[str]], list[int]]], penalty: float = PENALTY) -> Model:
-    """Maximum likelihood with an L2 penalty. sequences: features of each token, and tags."""
-    names = {f: i for i, f in enumerate(sorted({f for feats, _ in sequences for names in feats for f in names}))}
-    k = len(names)
-    by_length: dict[int, list[tuple[list[list[str]], list[int]]]] = {}
-    for feats, tags in sequences:
-        by_length.setdefault(len(tags), []).append((feats, tags))
-    groups = []
-    for n, members in by_length.items():
-        token = np.concatenate([np.full(len(f), i) for i, f in enumerate(f for feats, _ in members for f in feats)])
-        feat = np.array([names[f] for feats, _ in members for fs in feats for f in fs])
-        groups.append((n, len(members), token, feat, np.array([tags for _, tags in members])))
-    bar = np.zeros((3, 3))
-    bar[OUTSIDE, INSIDE] = -1e9
-
-    def lse(a: np.ndarray, axis: int) -> np.ndarray:
-        top = a.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
+                best[:m] = s[OUTSIDE]
+            else:
+                into = best[:m, :, None] + s
+                back[rows] = into.argmax(axis=1)
+                best[:m] = into.max(axis=1)
+            best[:m] += score[rows]
+        closed = ~edge[heads + length]  # a certain token comes after; its step counts
+        best[closed] += s[:, OUTSIDE]
+        last = best.argmax(axis=1).astype(np.int8)
+        for t in range(int(length[0]) - 1 if len(length) else -1, -1, -1):
+            m = int(np.searchsorted(-length, -t, side="left"))
+            rows = heads[:m] + t
+            tags[rows] = last[:m]
+            last[:m] = back[rows, last[:m]]
+        return tags
+
+
+#: What no path may do.
+NEVER = -1e9
+_BAR = np.zeros((3, 3))
+_BAR[OUTSIDE, INSIDE] = NEVER
+
+
+def _lse(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
+
+
+def likelihood(codes: np.ndarray, tags: np.ndarray, joined: np.ndarray, first: np.ndarray, k: int, penalty: float):
+    """The loss of weights and steps (as one array, with its gradient): log-likelihood of the tags of texts, negative,
+    with an L2 penalty. codes: below k; joined: tokens that may be inside; no text is empty."""
+    n = len(tags)
+    length = np.diff(first)
+    order = np.argsort(-length, kind="stable")
+    heads, length = first[:-1][order], length[order]
+    rows = [heads[: int(np.searchsorted(-length, -t, side="left"))] + t for t in range(int(length[0]))]
+    flat = codes.T.ravel()
+    gold = np.bincount(tags[heads], minlength=3)
+    pairs = np.zeros((3, 3))
+    for t in range(1, len(rows)):
+        np.add.at(pairs, (tags[rows[t] - 1], tags[rows[t]]), 1)
+    pairs[OUTSIDE] += gold
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, step = x[: 3 * k].reshape(k, 3), x[3 * k :].reshape(3, 3)
-        value, dw, dstep = 0.5 * penalty * (x @ x), penalty * w.copy(), penalty * step.copy()
-        moves = step + bar
-        for n, m, token, feat, tags in groups:
-            e = np.stack([np.bincount(token, w[feat, y], minlength=n * m) for y in range(3)], axis=1).reshape(m, n, 3)
-            a, z = np.empty((m, n, 3)), np.zeros((m, n, 3))
-            a[:, 0] = e[:, 0] + moves[OUTSIDE]
-            for t in range(1, n):
-                a[:, t] = e[:, t] + lse(a[:, t - 1, :, None] + moves, 1)
-            for t in range(n - 2, -1, -1):
-                z[:, t] = lse(moves + (e[:, t + 1] + z[:, t + 1])[:, None, :], 2)
-            total = lse(a[:, -1], 1)
-            rows = np.arange(m)
-            gold = e[rows[:, None], np.arange(n), tags].sum() + step[OUTSIDE, tags[:, 0]].sum() + sum(step[tags[:, t - 1], tags[:, t]].sum() for t in range(1, n))
-            value += total.sum() - gold
-            p = np.exp(a + z - total[:, None, None])
-            p[rows[:, None], np.arange(n), tags] -= 1
-            flat = p.reshape(n * m, 3)
-            for y in range(3):
-                dw[:, y] += np.bincount(feat, flat[token, y], minlength=k)
-            first = np.exp(a[:, 0] + z[:, 0] - total[:, None]).sum(axis=0)
-            dstep[OUTSIDE] += first - np.bincount(tags[:, 0], minlength=3)
-            for t in range(1, n):
-                pair = np.exp(a[:, t - 1, :, None] + moves + (e[:, t] + z[:, t])[:, None, :] - total[:, None, None]).sum(axis=0)
-                np.add.at(pair, (tags[:, t - 1], tags[:, t]), -1)
-                dstep += pair
+        moves = step + _BAR
+        e = np.zeros((n, 3))
+        for row in codes:
+            e += w[row]
+        e[~joined, INSIDE] = NEVER
+        a, z = np.empty((n, 3)), np.zeros((n, 3))
+        a[heads] = e[heads] + moves[OUTSIDE]
+        for r in rows[1:]:
+            a[r] = e[r] + _lse(a[r - 1][:, :, None] + moves, 1)
+        for r in reversed(rows[1:]):
+            z[r - 1] = _lse(moves + (e[r] + z[r])[:, None, :], 2)
+        total = _lse(a[heads + length - 1], 1)
+        of = np.empty(n)  # of each token, the total of its text
+        for r in rows:
+            of[r] = total[: len(r)]
+        value = 0.5 * penalty * (x @ x) + total.sum() - e[np.arange(n), tags].sum() - (pairs * step).sum()
+        p = np.exp(a + z - of[:, None])
+        dstep = penalty * step - pairs
+        dstep[OUTSIDE] += p[heads].sum(axis=0)
+        for r in rows[1:]:
+            dstep += np.exp(a[r - 1][:, :, None] + moves + (e[r] + z[r])[:, None, :] - of[r][:, None, None]).sum(axis=0)
+        p[np.arange(n), tags] -= 1
+        dw = np.stack([np.bincount(flat, np.repeat(p[:, y], len(codes)), minlength=k) for y in range(3)], axis=1) + penalty * w
         return value, np.concatenate([dw.ravel(), dstep.ravel()])
 
-    x = minimize(loss, np.zeros(3 * k + 9), rounds=120)
-    w = x[: 3 * k].reshape(k, 3)
-    return Model({f: tuple(w[i].tolist()) for f, i in names.items() if np.abs(w[i]).max() > 1e-4}, x[3 * k :].reshape(3, 3).tolist())
-
-
-def made_up(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Texts with the places of their secrets: known forms of keys in known settings, and look-alikes without."""
+    return loss
+
+
+Example = tuple[str, list[tuple[int, int]], int | None]
+
+
+def encoded(examples: list[Example]) -> tuple[np.ndarray, np.ndarray, Tokens]:
+    """Codes, tags and tokens of texts with the places of their secrets (code points), and the kind of file that
+    each comes from (None: as the text itself tells)."""
+    data, at = utf8(pa.array([x for x, _, _ in examples], pa.large_string()))
+    tokens = Tokens(data[at[0] : at[-1]], at - at[0])
+    kind = file_kind(tokens.data, tokens.at)
+    given = np.array([-1 if k is None else k for _, _, k in examples], np.int64)
+    tags = np.zeros(len(tokens.begin), np.int8)
+    for i, (text, spans, _) in enumerate(examples):
+        for b, e in spans:
+            lo, hi = (tokens.at[i] + len(text[:x].encode()) for x in (b, e))
+            mine = np.arange(np.searchsorted(tokens.begin, lo), np.searchsorted(tokens.begin, hi))
+            mine = mine[tokens.end[mine] <= hi]
+            tags[mine] = np.where(tokens.joined[mine], INSIDE, BEGIN)
+            tags[mine[:1]] = BEGIN
+    return codes_of(tokens, np.where(given < 0, kind, given)), tags, tokens
+
+
+def train(examples: list[Example], penalty: float = PENALTY, rounds: int = ROUNDS) -> Model:
+    """Maximum likelihood with an L2 penalty."""
+    codes, tags, tokens = encoded(examples)
+    first = np.unique(tokens.first)  # texts without tokens say nothing
+    size = sum(s for s, _ in Tokens(np.empty(0, np.uint8), np.zeros(1, np.int64)).codes(np.empty(0, np.int64)))
+    used, small = np.unique(codes, return_inverse=True)
+    k = len(used)
+    x = minimize(likelihood(small.reshape(codes.shape), tags, tokens.joined, first, k, penalty), np.zeros(3 * k + 9), rounds=rounds)
+    weights = np.zeros((size, 3))
+    weights[used] = x[: 3 * k].reshape(k, 3)
+    return Model(weights, x[3 * k :].reshape(3, 3))
+
+
+def made_up(n: int = EXAMPLES, seed: int = 7) -> list[Example]:
+    """Texts with the places of their secrets: known forms of keys and passwords in known settings, and look-alikes
+    without."""
     r = random.Random(seed)
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
-    word = lambda: pick(low, r.randint(3, 9))
+    syllable = lambda: r.choice([*"bcdfghklmnprstvwz", "ch", "pl", "qu", "sh", "st", "tr", ""]) + r.choice([*"aeiou", "ea", "io"]) + r.choice([*"nrslt", "ck", "ng", "pp", "st", "th", "", "", "", ""])
+    word = lambda: "".join(syllable() for _ in range(r.randint(1, 4)))
     part = lambda a, b: pick(low + up + num + "_-", r.randint(a, b))
-    secrets_ = [
+    keys = [
         lambda: "ghp_" + pick(low + up + num, 36),
         lambda: "sk-" + pick(low + up + num, 48),
         lambda: "sk_live_" + pick(low + up + num, 24),
         lambda: "xoxb-" + pick(num, 12) + "-" + pick(low + up + num, 24),
-        lambda: pick(low + up + num + "+/", 40),
+        lambda: pick(low + up + num + "+/", r.choice([32, 40, 44, 64])),
         lambda: "eyJ" + part(20, 40) + ".eyJ" + part(30, 60) + "." + part(30, 43),
         lambda: pick(hexa, r.choice([32, 40, 64])),
-        lambda: pick(low + up + num, r.randint(16, 28)),
+        lambda: pick(low + up + num, r.randint(16, 40)),
+        lambda: pick(low, r.randint(2, 4)) + r.choice("_-") + part(18, 40),
+        lambda: "-".join(pick(up + num, 5) for _ in range(r.randint(3, 5))),
+    ]
+    passwords = [
+        lambda: word() + pick(num, r.randint(1, 4)),
+        lambda: word() + r.choice("!@#$%&*") + pick(num, 2),
+        lambda: word().title() + pick(num, 2) + r.choice(["!", "#", ""]),
+        lambda: word() + word(),
+        lambda: word(),
+        lambda: pick(up, r.randint(8, 16)),
+        lambda: pick(low + up + num + "!@#%^&*", r.randint(8, 20)),
+        lambda: pick(num, r.randint(4, 8)),
     ]
-    settings = ["{w} key = '{x}'", "export API_KEY={x}", "Authorization: Bearer {x}", "password: {x} {w}", 'client_secret = "{x}";', "{w} token {x} {w}", "pwd={x}", "credentials: {x}", 'auth("{x}")', "{w} {w} secret {x}."]
+    quoted = lambda: r.choice(["{x}", "{x}", "'{x}'", '"{x}"'])
+    said = lambda names: r.choice(names) + r.choice(["=", "=", ": ", " = ", ":", " is ", " "]) + quoted() + r.choice(["", "", " {w}", ";", ",", "."])
+    key_names = ["api key", "api_key", "apikey", "token", "auth token", "{w}_token", "secret", "client secret", "access key", "ACCESS_KEY", "credential", "bearer", "private key", "{W}_KEY"]
+    password_names = ["password", "passwd", "pwd", "pass", "passphrase", "passcode", "{W}_PASSWORD", "{w}_pass", "pin"]
+    set_keys = ["{w} key = '{x}'", "export API_KEY={x}", "Authorization: Bearer {x}", 'client_secret = "{x}";', "{w} token {x} {w}", "credentials: {x}", 'auth("{x}")', "{w} {w} secret {x}.", '"{w}_token": "{x}",', "{W}_SECRET={x}", "--api-key {x} --{w}", "{w} access key: {x}, {w}", "the token is {x}", "{w} {x} as the {w} key", "{w} {w} secret {x} {w}", "curl -H 'X-Api-Key: {x}' https://{w}.com", "{w}: {x}", "{w} {w} {x} {w}"]
+    set_passwords = ["password: {x} {w}", "pwd={x}", 'password = "{x}"', "{w} passwd {x}", "login {w} password {x}", "DB_PASSWORD={x}", "{w}'s password is {x}, {w}", "the password is {x}", "{w} the password was {x}", "passphrase: {x}", "pin: {x} {w}", "user={w} pass={x}", "https://{w}:{x}@{w}.com/"]
     plain = [
         lambda: f"{word()}-{word()}-{word()}",
-        lambda: f"{word().title()}{word().title()}",
+        lambda: "".join(word().title() for _ in range(r.randint(2, 5))) + r.choice(["", "", str(r.randint(1, 9))]),
         lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)),
         lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}",
-        lambda: pick(num, r.randint(12, 19)),
+        lambda: pick(num, r.randint(3, 19)),
         lambda: f"{word()}_{word()}_{r.randint(1, 999)}",
-        lambda: f"{word()}/{word()}/{word()}/{word()}",
+        lambda: r.choice(["", "/"]) + "/".join(word() + r.choice(["", "", "_" + str(r.randint(1, 99))]) for _ in range(r.randint(2, 5))) + r.choice(["", "", ".py", ".txt", ".html"]),
         lambda: f"{word()}{r.randint(1, 9999)}",
-        lambda: "=" * r.randint(8, 40),
-        lambda: "-" * r.randint(8, 40),
+        lambda: r.choice("=-*#._+/|<>!?") * r.randint(4, 70),
+        lambda: f"{word()}.{word()}@{word()}.com",
+        lambda: f"+{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(1000, 9999)}",
+        lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        lambda: " ".join(word().upper() for _ in range(3)),
+        lambda: word().upper() + "!!",
+        lambda: f"v{r.randint(0, 9)}.{r.randint(0, 99)}.{r.randint(0, 9)}-{r.choice(['rc1', 'beta', 'alpha2'])}",
     ]
-    around = ["{w} {w} {x} {w}", "see {x} for {w}", "{w} https://{w}.com/{x}", "id {x}, {w}", "{w} {w}. {x} {w} {w}", "version {x}", "file = {x}", "{w}: {x}"]
-    out = []
+    around = ["{w} {w} {x} {w}", "see {x} for {w}", "{w} https://{w}.com/{x}", "id {x}, {w}", "{w} {w}. {x} {w} {w}", "version {x}", "file = {x}", "{w}: {x}", "commit {x}", "{x}", "{w} = {x};", "<{w} id='{x}'>", "order no. {x}"]
+    words_only = ["{w} the password {w} {w}.", "{w} {w} of secret {w}, {w}", "a token {w} {w}", "{w} key {w} {w} {w}", "reset your password", "forgot the passphrase? {w}", "password must be {w}", "{w} api {w}; {w} auth {w}", "{w}, {w} {w} {w}. {w} {w}", "{W} {W} {w}", "access {w} login {w}", "password: required", "secret: none", "token = null", "password = None", "{w}['{n}'] {w}", "{w}.get('{n}', '{w}')", '"{n}": {w}', "{w}[\"{n}\"] = '{w}'", "{n} and {n} of {w}", "password: ********"]
+    fill = {"{w}": word, "{W}": lambda: word().upper(), "{n}": lambda: r.choice([str.title, str, str.upper])(r.choice(["password", "authorization", "secret", "token", "api-key", "key", "bearer", "login", word()]))}
+    filled = lambda t: re.sub(r"\{[wWn]\}", lambda m: fill[m[0]](), t)
+    out: list[Example] = []
     for i in range(n):
-        secret = i % 3 == 0
-        x = r.choice(secrets_ if secret else plain)()
-        setting = re.sub(r"\{w\}", lambda _: word(), r.choice(settings if secret else around))
-        at = setting.index("{x}")
-        out.append((setting.replace("{x}", x), [(at, at + len(x))] if secret else []))
-    return out
-
-
-def labelled(text: str, spans: list[tuple[int, int]], document: str) -> list[tuple[list[list[str]], list[int]]]:
-    out = []
-    for run in open_runs(text):
-        tags, last = [], None
-        for b, e in run:
-            inside = next((s for s in spans if s[0] < e and b < s[1]), None)
-            tags.append(OUTSIDE if inside is None else INSIDE if inside == last else BEGIN)
-            last = inside
-        for at in range(0, len(run), 8):  # a very long run is learnt from in parts
-            piece = run[at : at + 8]
-            part = [BEGIN if k == 0 and t == INSIDE else t for k, t in enumerate(tags[at : at + 8])]
-            out.append(([features(text, piece, i, document) for i in range(len(piece))], part))
+        forms, settings = [(keys, set_keys), (passwords, set_passwords), (plain, around), (None, words_only)][i % 4]
+        names = key_names if forms is keys else password_names
+        setting = said(names) if forms in (keys, passwords) and r.random() < 0.5 else r.choice(settings)
+        text = " ".join([word() for _ in range(r.randint(0, 6))] + [filled(setting)] + [word() for _ in range(r.randint(0, 6))])
+        spans = []
+        if forms:
+            x, at = r.choice(forms)(), text.index("{x}")
+            text = text.replace("{x}", x)
+            spans = [(at, at + len(x))] if forms is not plain else []
+        if r.random() < 0.2:
+            text = text.upper()
+        out.append((text, spans, None))
     return out
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
-    """A model for the runs of these documents; see the module for the sample."""
+    """A model for these documents; see the module for the sample."""
     total = max(1, docs.count())
     share = min(10**9, int(10**9 * sample_docs / total))
 
-    @F.arrow_udf("array<struct<text:string,spans:array<int>,kind:string>>")
+    @F.arrow_udf("array<struct<text:string,spans:array<int>,kind:int>>")
     def windows(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts.to_pylist():
-            text = text or ""
-            base = [s for s in base_spans(text) if not text[s[0] : s[1]].isdigit()]
-            found = []
-            for run in open_runs(text)[:64]:
-                b, e = max(0, run[0][0] - AROUND), run[-1][1] + 16
-                found.append({"text": text[b : min(e, b + 2048)], "spans": [x - b for s in base if s[0] < e and b < s[1] for x in s[:2]], "kind": kind_of_text(text)})
+            raw = (text or "").encode()
+            tokens = Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            kind, spans = int(file_kind(tokens.data, tokens.at)[0]), values(text or "")
+            found, at = [], 0
+            for k in range(0, len(tokens.begin), WINDOW):
+                b, e = int(tokens.begin[k]), int(tokens.end[min(k + WINDOW, len(tokens.end)) - 1])
+                part = raw[b:e].decode()
+                at = text.index(part, at)
+                found.append({"text": part, "spans": [min(max(x - at, 0), len(part)) for s in spans if s[0] < at + len(part) and at < s[1] for x in s], "kind": kind})
+                at += len(part)
             rows.append(found)
-        return pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("spans", pa.list_(pa.int32())), ("kind", pa.string())])))
+        trim()
+        return pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("spans", pa.list_(pa.int32())), ("kind", pa.int32())])))
 
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**9)) < share).select(windows(F.col("text").cast("string")).alias("w"))
-    rows = chosen.select(F.explode("w").alias("w")).orderBy(F.xxhash64("w.text"), "w.text").limit(sample_windows).select("w.*").collect()
-    sequences = [q for r in rows for q in labelled(r.text, list(zip(r.spans[::2], r.spans[1::2], strict=True)), r.kind)]
-    sequences += [q for text, spans in made_up() for kind in [kind_of_text(text)] for q in labelled(text, spans, kind)]
-    return train(sequences)
+    every = chosen.select(F.explode("w").alias("w")).select("w.*")
+    examples: list[Example] = []
+    for has in (F.size("spans") > 0, F.size("spans") == 0):
+        rows = every.filter(has).orderBy(F.xxhash64("text"), "text").limit(sample_windows).collect()
+        examples += [(r.text, list(zip(r.spans[::2], r.spans[1::2], strict=True)), r.kind) for r in rows]
+    return train(examples + made_up())
 
 
 # --- judging ------------------------------------------------------------------------------------------------
 
 
-def model_spans(text: str, model: Model) -> list[tuple[int, int]]:
-    """Spans that the model tags."""
-    out: list[list[int]] = []
-    runs = open_runs(text)
-    document = kind_of_text(text) if runs else ""
-    for run in runs:
-        tags = model.tags([features(text, run, i, document) for i in range(len(run))])
-        for (b, e), tag in zip(run, tags, strict=True):
-            if tag == BEGIN:
-                out.append([b, e])
-            elif tag == INSIDE:
-                out[-1][1] = e
-    return [(b, e) for b, e in out]
-
-
-def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
-    """Base spans, and these with the model's that overlap none of them."""
-    base = base_spans(text)
+def model_spans(texts: pa.Array, model: Model) -> list[list[tuple[int, int]]]:
+    """For each text, the spans that the model tags (code points)."""
+    data, at = utf8(texts)
+    out: list[list[tuple[int, int]]] = []
+    for i, j in chunks(at, BATCH_BYTES):
+        tokens = Tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        tags = model.tags(model.scores(tokens, file_kind(tokens.data, tokens.at)), tokens.first)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(j - i)]
+        opens = np.flatnonzero(tags == BEGIN)
+        if len(opens):
+            point = np.concatenate([[0], np.cumsum((tokens.data & 0xC0) != 0x80)])
+            whose = np.searchsorted(tokens.first, opens, side="right") - 1
+            after = np.append(np.flatnonzero(tags != INSIDE), len(tags))
+            close = after[np.searchsorted(after, opens, side="right")] - 1  # the last inside it
+            base = point[tokens.at[whose]]
+            for t, b, e in zip(whose.tolist(), (point[tokens.begin[opens]] - base).tolist(), (point[tokens.end[close]] - base).tolist(), strict=True):
+                found[t].append((b, e))
+        out += found
+    return out
+
+
+def all_spans(base: list[Span], model: list[tuple[int, int]]) -> list[Span]:
+    """Base spans, with those of the model that overlap none of them."""
     reach, covered = 0, []
     for b, e, _ in base:  # merged, in order
         if covered and b < reach:
@@ -316,12 +578,12 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
             covered.append([b, e])
     starts = [c[0] for c in covered]
     added: list[Span] = []
-    for b, e in model_spans(text, model):
-        i = int(np.searchsorted(starts, e))
+    for b, e in model:
+        i = bisect_left(starts, e)
         if not i or covered[i - 1][1] <= b:
             added.append((b, e, "model"))
     order = {k: i for i, k in enumerate((*KINDS, "model"))}
-    return base, sorted(base + added, key=lambda s: (s[0], order[s[2]]))
+    return sorted(base + added, key=lambda s: (s[0], order[s[2]]))
 
 
 _TYPE = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
@@ -338,11 +600,12 @@ def judged(docs: DataFrame, into: str, model: Model | None = None) -> DataFrame:
     @F.arrow_udf("struct<n_assign:bigint,n_access:bigint,n_hex:bigint,base_sha256:string,spans:string>")
     def judge(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts:
-            base, spans = all_spans(text.as_py() or "", model)
+        for text, tagged in zip(texts, model_spans(texts, model), strict=True):
+            base = base_spans(text.as_py() or "")
             counts = [sum(s[2] == k for s in base) for k in KINDS]
-            rows.append((*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans)))
+            rows.append((*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(all_spans(base, tagged))))
         columns = list(zip(*rows, strict=True)) or [()] * 5
+        trim()
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TYPE, strict=True)], fields=list(_TYPE))
 
     return docs.withColumn(into, judge(F.col("text").cast("string")))
@@ -358,15 +621,17 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     return "".join([*parts, text[at:]])
 
 
-def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with marks in place of secrets; null stays null."""
+def redacted(docs: DataFrame, into: str = "text", model: Model | None = None) -> DataFrame:
+    """``docs`` with a column of texts that have marks in place of secrets; null stays null."""
     model = model or fit(docs)
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([t.as_py() and redact(t.as_py(), all_spans(t.as_py(), model)[1]) for t in texts], pa.string())
+        out = [None if t is None else redact(t, all_spans(base_spans(t), tagged)) for t, tagged in zip(texts.to_pylist(), model_spans(texts, model), strict=True)]
+        trim()
+        return pa.array(out, pa.string())
 
-    return docs.withColumn("text", clean(F.col("text").cast("string")))
+    return docs.withColumn(into, clean(F.col("text").cast("string")))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
