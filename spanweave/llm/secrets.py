@@ -43,9 +43,9 @@ from spanweave.llm.common import LOWER, SPACE, Prefix, chunks, per_text, table,
 SAMPLE_DOCS = 3000
 SAMPLE_WINDOWS = 1500
 WINDOW = 32
-EXAMPLES = 4000
+EXAMPLES = 3000
 PENALTY = 0.05
-ROUNDS = 60
+ROUNDS = 50
 #: Bytes of text whose features are held at once; only a longer single text makes more.
 BATCH_BYTES = 1 << 18
 
@@ -275,14 +275,14 @@ def codes_of(tokens: Tokens, kind: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    #: a row of three for each code of each feature
+    #: for each code of each feature, what it says for begin and for inside (against outside)
     weights: np.ndarray
     #: from tag to tag; the row OUTSIDE also begins a text. Inside never follows outside, nor white space.
     steps: np.ndarray
 
     def scores(self, tokens: Tokens, kind: np.ndarray) -> np.ndarray:
         """For every token of the texts, the weight of each tag (of outside: 0)."""
-        both = (self.weights[:, 1:] - self.weights[:, :1]).astype(np.float32).view(np.complex64)[:, 0]  # a pair to a number
+        both = np.ascontiguousarray(self.weights, np.float32).view(np.complex64)[:, 0]  # a pair to a number
         sums, base = np.zeros(len(tokens.begin), np.complex64), 0
         for size, values in tokens.codes(kind):
             sums += both[base : base + size][values]
@@ -359,13 +359,12 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 def likelihood(codes: np.ndarray, tags: np.ndarray, joined: np.ndarray, first: np.ndarray, k: int, penalty: float):
     """The loss of weights and steps (as one array, with its gradient): log-likelihood of the tags of texts, negative,
-    with an L2 penalty. codes: below k; joined: tokens that may be inside; no text is empty."""
+    with an L2 penalty. codes: numbers below k; joined: tokens that may be inside; no text is empty."""
     n = len(tags)
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     heads, length = first[:-1][order], length[order]
     rows = [heads[: int(np.searchsorted(-length, -t, side="left"))] + t for t in range(int(length[0]))]
-    flat = codes.T.ravel()
     gold = np.bincount(tags[heads], minlength=3)
     pairs = np.zeros((3, 3))
     for t in range(1, len(rows)):
@@ -373,11 +372,12 @@ def likelihood(codes: np.ndarray, tags: np.ndarray, joined: np.ndarray, first: n
     pairs[OUTSIDE] += gold
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, step = x[: 3 * k].reshape(k, 3), x[3 * k :].reshape(3, 3)
-        moves = step + _BAR
-        e = np.zeros((n, 3))
+        w, step = x[: 2 * k], x[2 * k :].reshape(3, 3)
+        moves, both = step + _BAR, w.view(np.complex128)
+        sums = np.zeros(n, np.complex128)
         for row in codes:
-            e += w[row]
+            sums += both[row]
+        e = np.stack([np.zeros(n), sums.real, sums.imag], axis=1)
         e[~joined, INSIDE] = NEVER
         a, z = np.empty((n, 3)), np.zeros((n, 3))
         a[heads] = e[heads] + moves[OUTSIDE]
@@ -396,7 +396,10 @@ def likelihood(codes: np.ndarray, tags: np.ndarray, joined: np.ndarray, first: n
         for r in rows[1:]:
             dstep += np.exp(a[r - 1][:, :, None] + moves + (e[r] + z[r])[:, None, :] - of[r][:, None, None]).sum(axis=0)
         p[np.arange(n), tags] -= 1
-        dw = np.stack([np.bincount(flat, np.repeat(p[:, y], len(codes)), minlength=k) for y in range(3)], axis=1) + penalty * w
+        dw = penalty * w.reshape(k, 2)
+        for y in (BEGIN, INSIDE):
+            column = np.ascontiguousarray(p[:, y])
+            dw[:, y - 1] += sum(np.bincount(row, column, minlength=k) for row in codes)
         return value, np.concatenate([dw.ravel(), dstep.ravel()])
 
     return loss
@@ -430,10 +433,10 @@ def train(examples: list[Example], penalty: float = PENALTY, rounds: int = ROUND
     size = sum(s for s, _ in Tokens(np.empty(0, np.uint8), np.zeros(1, np.int64)).codes(np.empty(0, np.int64)))
     used, small = np.unique(codes, return_inverse=True)
     k = len(used)
-    x = minimize(likelihood(small.reshape(codes.shape), tags, tokens.joined, first, k, penalty), np.zeros(3 * k + 9), rounds=rounds)
-    weights = np.zeros((size, 3))
-    weights[used] = x[: 3 * k].reshape(k, 3)
-    return Model(weights, x[3 * k :].reshape(3, 3))
+    x = minimize(likelihood(small.reshape(codes.shape), tags, tokens.joined, first, k, penalty), np.zeros(2 * k + 9), rounds=rounds)
+    weights = np.zeros((size, 2))
+    weights[used] = x[: 2 * k].reshape(k, 2)
+    return Model(weights, x[2 * k :].reshape(3, 3))
 
 
 def made_up(n: int = EXAMPLES, seed: int = 7) -> list[Example]:
