@@ -12,9 +12,9 @@ the record that they continue, ordered by number, and joined if all are there an
 Chunked framing is taken off, and the payload is held against its digest.
 
 Scale: payload digests are computed in the scan; groups of equal payloads come from partial aggregates of
-(digest, least id); revisits go back to pages by page, not by digest, so that a payload with a third of all pages
-costs no task more than its share. Parts are written by the task that holds the pages; segments of one origin
-are bounded by the longest page.
+(digest, least id). They go back to pages by ``lookup``: broadcast if they are few, and else salted, so that a payload
+with a third of all pages costs no task more than its share. Parts are written by the task that holds the pages;
+segments of one origin are bounded by the longest page. Archives are read in time that follows their length.
 
 Edge cases: null html is an empty payload; payloads under MIN_PAYLOAD bytes are always responses; pages that
 repeat an id are written once each and only the first of equal ones can be referred to; a page with a null id is
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import Scratch, freeing, shuffle_parts, table
+from spanweave.llm.common import Scratch, freeing, lookup, shuffle_parts, table
 
 MIN_PAYLOAD = 100
 SEGMENT = 32 << 10
@@ -75,14 +75,25 @@ def record(kind: str, name: str, block: bytes, **fields: object) -> bytes:
     return _END.join(lines)
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """What each gzip member holds. Input is handed on in slices, so that what lies behind a member is copied no more
+    than once for it and at most as much again as the member is long."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        reader, parts, step = zlib.decompressobj(31), [], 1 << 10
+        while not reader.eof and at < len(view):
+            some = view[at : at + step]
+            parts.append(reader.decompress(some))
+            at += len(some) - len(reader.unused_data)
+            step = min(2 * step, 1 << 20)
+        yield b"".join([*parts, reader.flush()])
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Head fields (names in lower case) and block of each record of plain or gzipped data, one or more members."""
     if data[:2] == b"\x1f\x8b":
-        rest = data
-        while rest:
-            member = zlib.decompressobj(31)
-            yield from records(member.decompress(rest) + member.flush())
-            rest = member.unused_data
+        for member in members(data):
+            yield from records(member)
         return
     at = 0
     while at < len(data):
@@ -133,12 +144,11 @@ def page_records(name: str, url: str | None, body: bytes, digest: str, refers_to
 def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Archives (archive, part, data) of pages (page_id, url, html), repeated payloads as revisits."""
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"))
-    told = own.select("page_id", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("n")).filter(F.col("n") >= MIN_PAYLOAD)
-    groups = told.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 AND refers_to IS NOT NULL")
-    revisits = told.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
-    again = revisits.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
-    told = own.withColumn("digest", F.sha2("body", 256))
-    joined = told.join(again, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    told = own.withColumn("digest", F.sha2("body", 256)).withColumn("long", F.octet_length("body") >= MIN_PAYLOAD)
+    seen = told.filter("long").groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("copies"))
+    groups = Scratch(pages.sparkSession, "payloads").keep(seen.filter("copies > 1 AND least IS NOT NULL").select("digest", "least"), "repeated")
+    joined = lookup(told, groups, "digest", groups.count())
+    joined = joined.withColumn("refers_to", F.when(F.col("long") & ~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, part, rows = TaskContext.get().partitionId(), 0, 0
@@ -207,7 +217,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         origin = head.get("warc-segment-origin-id", head["warc-record-id"]).strip("<>")
                         total = head.get("warc-segment-total-length")
                         told = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                        rows.append((origin, head["warc-type"], head.get("warc-target-uri"), None, told, None, None, None, int(head["warc-segment-number"]), int(total) if total else None, block))
+                        to = head.get("warc-refers-to", "").strip("<>") or None
+                        rows.append((origin, head["warc-type"], head.get("warc-target-uri"), to, told, None, None, None, int(head["warc-segment-number"]), int(total) if total else None, block))
                     elif head["warc-type"] in ("response", "revisit"):
                         rows.append((*_decode(head, block), None, None, None))
                 if rows:
@@ -218,9 +229,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
         schema = pa.schema([("name", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("n", pa.int64()), ("sha256", pa.string()), ("ok", pa.bool_())])
 
         def done(origin: str, parts: list[tuple]) -> pa.RecordBatch:
-            first, block = parts[0], b"".join(p[4] for p in parts)
-            whole = [p[2] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1][3] == len(block)
-            head = {"warc-type": "response", "warc-record-id": origin} | ({"warc-target-uri": first[0]} if first[0] is not None else {}) | ({"warc-payload-digest": first[1]} if first[1] else {})
+            (kind, url, to, told, *_), block = parts[0], b"".join(p[6] for p in parts)
+            whole = [p[4] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1][5] == len(block)
+            fields = {"warc-target-uri": url, "warc-refers-to": to, "warc-payload-digest": told}
+            head = {"warc-type": kind if kind != "continuation" else "response", "warc-record-id": origin} | {k: v for k, v in fields.items() if v is not None}
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(_decode(head, block, whole), schema, strict=True)], schema=schema)
 
         name, parts = None, []
@@ -235,7 +247,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
             yield done(name, parts)
 
     parsed = Scratch(archives.sparkSession, "warc").keep(archives.select("data").mapInArrow(*freeing(parse, _PARSED)), "parsed")
-    segments = parsed.filter("number IS NOT NULL").select("name", "url", "digest", "number", "total", "block")
+    segments = parsed.filter("number IS NOT NULL").select("name", "kind", "url", "refers_to", "digest", "number", "total", "block")
     sorted_ = segments.repartition(shuffle_parts(archives.sparkSession), "name").sortWithinPartitions("name", "number")
     whole = parsed.filter("number IS NULL").select(*(c.split()[0] for c in _DECODED.split(", ")))
     return whole.unionByName(sorted_.mapInArrow(*freeing(join, _DECODED)))
