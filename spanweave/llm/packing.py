@@ -4,12 +4,13 @@ A document is its tokens and the id 0. Documents longer than a sequence are cut
 Each task keeps at most ``open_bins`` open bins; bit f of an integer says that some bin has f free places, so
 the best fit for a piece of length n is the lowest set bit from n up. If none fits while all bins are open, the
 fullest one closes. When its input ends, a task has up to ``open_bins`` unfinished bins; these are packed once
-more, as items of their own, over groups of MERGED_TASKS tasks. So every task has bounded memory and the
-places lost do not depend on the number of tasks but on that of groups.
+more, as items of their own and by the same rule, over groups of MERGED_TASKS tasks. So every task has bounded memory
+and the places lost do not depend on the number of tasks but on that of groups.
 
 Scale: texts are read once and never shuffled; what is written and joined is a row of numbers for each piece.
 Token ids come from a cache by word (texts are split at ASCII white space, which this vocabulary drops and which
-neither its normaliser nor its merges cross), of at most CACHED_WORDS words.
+neither its normaliser nor its merges cross), of at most CACHED_WORDS words. Words of small letters only go to the
+vocabulary's merges at once, without its normaliser and pattern, which would leave them as they are.
 
 Edge cases: a null or empty text is the single id 0; repeated rows are packed as often as they come; null ids
 stay null; an empty table packs to nothing; ``pack`` reads two columns and ignores all others.
@@ -18,6 +19,8 @@ stay null; an empty table packs to nothing; ``pack`` reads two columns and ignor
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -56,6 +59,21 @@ def _splits(core: bytes) -> bool:
     return bool(core) and (0x61 <= core[-1] <= 0x7A or len(core) > 1 and 0xC3 <= core[-2] <= 0xC9 and core[-2:] not in _UNLIKE)
 
 
+#: Words of small ASCII letters and two-byte letters from U+00C0 on: one match of the vocabulary's pattern each, in
+#: composed form, whose small letters are one character each. (_UNLIKE apart.)
+_LETTERS = re.compile(rb"(?:[a-z]|[\xc3-\xc9][\x80-\xbf])+")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in vocabularies over bytes: itself where it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
+_SIGN_OF = {b: sign for b, sign in enumerate(_byte_signs())}
+
+
 class Encoder(dict):
     """Little-endian 32-bit ids of words, kept by word in lower case (which the vocabulary is in)."""
 
@@ -65,13 +83,23 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+
+    def _merged(self, text: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_TAIL)
-        if len(core) < len(word) and _splits(core):
-            ids = self[core] + self[word[len(core) :]]
+        if word.isalpha():  # small ASCII letters stand for themselves
+            ids = self._merged(word.decode())
+        elif _LETTERS.fullmatch(word) and not any(x in word for x in _UNLIKE):
+            ids = self._merged(word.decode().lower().encode().decode("latin-1").translate(_SIGN_OF))
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            core = word.rstrip(_TAIL)
+            if len(core) < len(word) and _splits(core):
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = b"".join([self.packed[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -168,13 +196,14 @@ def pack(docs: DataFrame, scratch: Scratch, path: str, size: int = SEQUENCE, ope
         encoder.clear()  # the worker process lives on
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Unfinished bins of a group of tasks, the fullest first, into bins that the first of each gives its id."""
+        """Unfinished bins of a group of tasks, the fullest first, by the same rule with as many open bins; a bin of
+        these has the id of the first that is put into it."""
         found = sorted((-u, b) for batch in batches for u, b in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
         groups: dict[int, list[tuple[int, int]]] = {}
         for used, b in found:
             groups.setdefault(b >> 36 >> (MERGED_TASKS.bit_length() - 1), []).append((-used, b))
         for items in groups.values():
-            bins, name = BestFit(size, len(items) + 1), {}
+            bins, name = BestFit(size, open_bins), {}
             placed = [(b, *bins.place(used)) for used, b in items]
             for b, into, _ in placed:
                 name.setdefault(into, b)

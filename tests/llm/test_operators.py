@@ -351,6 +351,20 @@ def test_word_cache_is_exact(text):
     assert encoder.ids(text) == np.array([*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(0xC0, 0x250)] + list("abcXYZ"), min_size=1, max_size=8))
+def test_words_of_letters_are_exact(text):
+    encoder = packing.encoder_of(packing.vocabulary())
+    assert encoder.ids(text) == np.array([*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
+def test_every_two_byte_letter_is_exact():
+    encoder = packing.encoder_of(packing.vocabulary())
+    for c in range(0xC0, 0x280):
+        for text in (chr(c), f"a{chr(c)}", f"{chr(c)}{chr(c)}b.", f"x{chr(c)}, y"):
+            assert encoder.ids(text) == np.array([*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes(), hex(c)
+
+
 # --- near duplicates -------------------------------------------------------------------------------------------
 
 
