@@ -32,8 +32,8 @@ def from_gaps(values: Column) -> Column:
 
 
 def signed_bucket(key: Column, n: int) -> Column:
-    """Struct of bucket and sign of a key: one hash bit is the sign, the others the bucket."""
-    h = F.xxhash64(key)
+    """Struct of bucket and sign of a key: of a 32-bit hash one bit is the sign, the others give the bucket."""
+    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
     return F.struct(F.pmod(F.shiftright(h, 1), F.lit(n)).alias("bucket"), F.when(h.bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1).alias("sign"))
 
 

@@ -5,7 +5,7 @@ that any number of leaves is trained and applied by the same joins and sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,9 +62,9 @@ def normalized(scores: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w.orderBy(F.desc("log_score"), "cand")) - 1)
 
 
-def policy(ranked: DataFrame, na) -> DataFrame:
-    """What is annotated: the first candidate, unless that is none."""
-    return ranked.filter((F.col("rank") == 0) & (F.col("cand") != F.lit(na)))
+def policy(ranked: DataFrame, none: Column) -> DataFrame:
+    """What is annotated: the first candidate, unless ``none`` says that it stands for no entity."""
+    return ranked.filter((F.col("rank") == 0) & ~none)
 
 
 def tuned(scores: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.joins import band_join, small
@@ -36,11 +36,12 @@ def truncated_bags(bags: DataFrame, stats: DataFrame, n_docs: int, key: str, ret
     return weighed.withColumn("before", before).withColumn("total", F.sum("weight").over(Window.partitionBy(key))).filter(F.col("before") < retain * F.col("total")).select(key, "token", "n", "weight")
 
 
-def keyword_in_context(mentions: DataFrame, tokens: DataFrame, width: int, most: int | None = None) -> DataFrame:
+def keyword_in_context(mentions: DataFrame, tokens: DataFrame, width: int, most: int | None = None, drawn: Column | None = None) -> DataFrame:
     """Lines of ``width`` tokens on either side of each mention (doc_id, left, right, ent); of each entity the first
-    ``most`` by document and place."""
+    ``most`` by document and place, or by ``drawn`` before these (a hash, for a sample)."""
     if most is not None:
-        mentions = mentions.withColumn("__n", F.row_number().over(Window.partitionBy("ent").orderBy("doc_id", "left"))).filter(F.col("__n") <= most).drop("__n")
+        order = [*([] if drawn is None else [drawn]), "doc_id", "left"]
+        mentions = mentions.withColumn("__n", F.row_number().over(Window.partitionBy("ent").orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
     met = band_join(mentions, tokens.select("doc_id", "pos", "token"), ["doc_id"], F.col("left") - width, F.col("right") + width, F.col("pos"), 64)
     lines = met.groupBy("ent", "doc_id", "left", "right").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     return lines.select("ent", "doc_id", "left", F.array_join(F.col("t.token"), " ").alias("line"))

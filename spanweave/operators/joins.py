@@ -54,6 +54,23 @@ def positions(df: DataFrame, keys: list[str], name: str, start: int = 1) -> Data
     return numbered.select(*df.columns, (at + F.col("__i")).alias(name))
 
 
+def running_sums(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Rows with the sum of ``value`` over all rows before them in the order of ``keys`` (which tell rows apart). As in
+    ``positions``, each range partition sums by itself, and only the partitions' totals reach the driver."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id())
+    dealt = Scratch(spark, "sums").keep(dealt, "dealt")
+    offset, before = [], 0
+    totals = {r["__p"]: r["t"] for r in dealt.groupBy("__p").agg(F.sum(value).alias("t")).collect()}
+    for p in range(max(totals, default=-1) + 1):
+        offset.append(before)
+        before += totals.get(p) or 0
+    base = F.get(F.array(*(F.lit(x).cast("long") for x in offset)), F.col("__p")) if offset else F.lit(0).cast("long")
+    w = Window.partitionBy("__p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.select(*df.columns, (base + F.coalesce(F.sum(value).over(w), F.lit(0))).cast("long").alias(name))
+
+
 def islands(df: DataFrame, keys: list[str], order: str, contiguous: Column, name: str = "island") -> DataFrame:
     """Number of the run of rows in order that each row belongs to; ``contiguous`` tells, with lag() over the window
     ``w`` of keys and order, whether a row continues the run before it."""

@@ -154,5 +154,5 @@ def cross_validated(sfv: DataFrame, kind: str, folds: int, sigma2s: list[float],
 
 def letor(entities: DataFrame) -> DataFrame:
     """Lines of the usual text format: +1 or -1, qid, features from 1."""
-    feats = F.transform("fv", lambda v, i: F.concat_ws(":", (i + 1).cast("string"), F.round(v, 6).cast("string")))
+    feats = F.transform("fv", lambda v, i: F.concat_ws(":", (i + 1).cast("string"), F.round(v, 8).cast("decimal(28,8)").cast("string")))
     return entities.select(F.concat_ws(" ", F.when(F.col("label"), "+1").otherwise("-1"), F.concat(F.lit("qid:"), F.col("qid").cast("string")), F.array_join(feats, " ")).alias("line"))

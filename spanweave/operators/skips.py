@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.joins import running_sums
+
 R0, R1, S0, S1 = 1.0, 0.01, 1.0, 0.01
 #: Cells of the exact search (features * budget^2); larger problems take evenly spaced skips.
 MOST_CELLS = 60_000
@@ -49,19 +51,12 @@ def by_frequency(prob: np.ndarray, bits: np.ndarray, budget: int) -> list[int]:
 
 
 def evenly(prob: np.ndarray, bits: np.ndarray, budget: int) -> list[int]:
-    """The first feature, then each that ends at least a share of all bits after the last one chosen."""
-    budget = min(budget, len(bits))
-    if not budget:
-        return []
-    ends, out, last = np.cumsum(bits), [], 0
-    gap = int(ends[-1]) // budget
-    for i, e in enumerate(ends.tolist()):
-        if i == 0 or e - last >= gap:
-            out.append(i)
-            last = e
-            if len(out) == budget:
-                break
-    return out
+    """As many marks as the budget has, at equal shares of all bits; each takes the first feature that starts at it or
+    after it. Marks that none follows, or that share a feature, are spent on nothing."""
+    start = np.cumsum(bits) - bits
+    marks = np.arange(budget) * int(bits.sum())  # both sides times the budget, to stay with whole numbers
+    found = np.unique(np.searchsorted(start * budget, marks))
+    return found[found < len(bits)].tolist()
 
 
 def half_and_half(prob: np.ndarray, bits: np.ndarray, budget: int, share: float = 0.5) -> list[int]:
@@ -122,6 +117,42 @@ def inner(features: DataFrame, budgets: DataFrame, policy: str) -> DataFrame:
     return joined.groupBy("leaf").applyInPandas(one, "leaf long, budget long, n_skips long, cost double, skips array<long>")
 
 
+#: Smoothers that are tried for each leaf.
+SMOOTHERS = tuple(float(f"{m}e{e}") for e in range(-6, 2) for m in (1, 2, 5))
+
+
+def records(features: DataFrame, allocated: DataFrame) -> DataFrame:
+    """Skip records (leaf, used, cost, feat, bit, nth): a row for each skip of ``inner``'s result, with the bit at which
+    its feature starts; a leaf without skips has one row with nulls."""
+    before = Window.partitionBy("leaf").orderBy("feat").rowsBetween(Window.unboundedPreceding, -1)
+    starts = features.select("leaf", "feat", F.coalesce(F.sum("bits").over(before), F.lit(0)).alias("bit"))
+    each = allocated.select("leaf", F.col("n_skips").alias("used"), "cost", F.posexplode_outer("skips").alias("nth", "feat"))
+    return each.join(starts, ["leaf", "feat"], "left").select("leaf", "used", "cost", "feat", "bit", "nth")
+
+
+def merged(runs: list[DataFrame]) -> DataFrame:
+    """One sorted table of skip records out of several that share no leaf."""
+    whole = runs[0]
+    for r in runs[1:]:
+        whole = whole.unionByName(r)
+    return whole.repartitionByRange("leaf").sortWithinPartitions("leaf", "nth")
+
+
+def slice_ends(merged_: DataFrame, n_leaves: int) -> DataFrame:
+    """(leaf, end) of every leaf below ``n_leaves``: where its skips end in the sorted table. Leaves without a record
+    end where the one before them does."""
+    used = merged_.groupBy("leaf").agg(F.max("used").alias("used"))
+    every = merged_.sparkSession.range(n_leaves).select(F.col("id").alias("leaf")).join(used, "leaf", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    summed = running_sums(every, ["leaf"], "used", "begin")
+    return summed.select("leaf", (F.col("begin") + F.col("used")).alias("end"))
+
+
+def audit(merged_: DataFrame) -> DataFrame:
+    """Totals of a merged table: records, skips, expected cost."""
+    per_leaf = merged_.groupBy("leaf").agg(F.max("used").alias("used"), F.max("cost").alias("cost"), F.count("feat").alias("listed"))
+    return per_leaf.agg(F.count("*").alias("n_records"), F.sum("used").alias("n_skips"), F.round(F.sum("cost"), 4).alias("cost"), F.bool_and(F.col("used") == F.col("listed")).alias("agrees"))
+
+
 def smoothed(counts: DataFrame, smoother: Column) -> DataFrame:
     """Probability of each feature (leaf, feat, n) within its leaf, with a constant added to every count."""
     w = Window.partitionBy("leaf")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import ASCII_WORD, squeeze
+from spanweave.operators.joins import running_sums
 
 # --- tables -----------------------------------------------------------------------------------------------------
 
@@ -31,8 +32,7 @@ def inline_documents(spark: SparkSession, docs: dict[int, list[str]]) -> DataFra
 def first_ids(counts: DataFrame, name: str = "file") -> DataFrame:
     """From documents in each file (file, n): the id at which each file begins, files in order of name. The table has
     a row for each file."""
-    before = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return running_sums(counts, [name], "n", "begin")
 
 
 # --- HTML -------------------------------------------------------------------------------------------------------

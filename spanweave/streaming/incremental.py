@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +26,22 @@ def append_postings(docs: DataFrame, path: str, checkpoint: str, once: bool = Fa
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def append_counts(docs: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Write each batch's collection frequencies as rows of their own, for ``counts`` to sum; no state grows, and a
+    batch that is repeated replaces its own files."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        term_counts(df).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """Collection frequencies over all batches so far."""
+    return spark.read.schema("token string, cf long").parquet(f"{path}/batch=*").groupBy("token").agg(F.sum("cf").alias("cf"))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """Collection frequency of each token; on a stream its state is one row for each token."""
     return tokens(docs).groupBy("token").agg(F.count("*").alias("cf"))

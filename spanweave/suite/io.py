@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.operators import logistic, skips
+from spanweave.operators.joins import running_sums
+from spanweave.scratch import Scratch
 from spanweave.sources import catalogs, corpus
+from spanweave.streaming import incremental
 from spanweave.suite import SUITE, base, linking, read
 
 query, part = SUITE.add, SUITE.part
@@ -162,8 +165,43 @@ def _inner(policy: str):
     return run
 
 
+part("skipbudget", "SELECT leaf, CAST(least(n_feats, floor(300.0 * bits / sum(bits) OVER () + (leaf * 2654435761) % 1000003 / 1000003.0)) AS BIGINT) AS budget FROM skipleaves", "skipleaves")
+part("skipplace", """SELECT leaf, feat, budget, 8 * n AS bits, (n + 1.0) / (sum(n) OVER w + count(*) OVER w) AS prob, CAST(sum(8 * n) OVER (PARTITION BY leaf ORDER BY feat) - 8 * n AS BIGINT) AS start,
+    CAST(sum(8 * n) OVER w AS BIGINT) AS total, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, feat) AS by_n, row_number() OVER (PARTITION BY leaf ORDER BY feat) - 1 AS place
+  FROM skipleaf JOIN skipbudget USING (leaf) WINDOW w AS (PARTITION BY leaf)""", "skipleaf", "skipbudget")
+_COST = """SELECT leaf, budget, count(*) FILTER (skip) AS n_skips, round(sum(prob * (1 + 0.01 * bits + CASE WHEN start > origin THEN 1 + 0.01 * (start - origin) ELSE 0 END)), 6)::DOUBLE AS cost
+  FROM (SELECT *, coalesce(max(CASE WHEN skip THEN start END) OVER (PARTITION BY leaf ORDER BY feat), 0) AS origin FROM ({})) GROUP BY leaf, budget"""
+_SKIPS = {
+    "freq": "SELECT *, by_n <= budget AS skip FROM skipplace",
+    "equi": "SELECT p.*, m.feat IS NOT NULL AS skip FROM skipplace p LEFT JOIN (SELECT DISTINCT leaf, min(feat) AS feat FROM skipplace, unnest(range(0, budget)) AS t(k) WHERE start * budget >= k * total GROUP BY leaf, k) m USING (leaf, feat)",
+    "equi_and_freq": """SELECT * EXCLUDE (other), by_n <= budget // 2 OR other <= budget - budget // 2 AS skip FROM (SELECT *, CASE WHEN by_n > budget // 2 THEN
+        row_number() OVER (PARTITION BY leaf, by_n > budget // 2 ORDER BY (place * 2654435761) % 1000003) END AS other FROM skipplace)""",
+}
 for _policy in skips.POLICIES:
-    query(f"K12_K13_inner_{_policy}")(_inner(_policy))
+    query(f"K12_K13_inner_{_policy}", *((_COST.format(_SKIPS[_policy]), "skipplace") if _policy in _SKIPS else ()))(_inner(_policy))
+
+
+def _runs(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Skip records in two runs, of leaves that two machines had; leaves whose number divides by seven have none."""
+    scratch = Scratch(spark, "skips")
+    features = scratch.keep(skips.smoothed(_features(spark, d), F.lit(1.0)).withColumn("bits", 8 * F.col("n")), "features")
+    found = skips.records(features, skips.inner(features, skips.outer(_leaves(spark, d), 300, "bit"), "freq")).filter("leaf % 7 <> 0")
+    return [scratch.keep(found.filter(F.col("leaf") % 2 == i).sortWithinPartitions("leaf", "nth"), f"run{i}") for i in (0, 1)]
+
+
+@query("K15_merged_skip_records", "SELECT leaf, feat, start AS bit, CAST(row_number() OVER (PARTITION BY leaf ORDER BY feat) - 1 AS INTEGER) AS nth FROM skipplace WHERE by_n <= budget AND leaf % 7 <> 0", "skipplace")
+def merged_skips(spark: SparkSession, d: str) -> DataFrame:
+    return skips.merged(_runs(spark, d)).filter("feat IS NOT NULL").select("leaf", "feat", "bit", "nth")
+
+
+@query("K15_leaf_ends", """SELECT l AS leaf, CAST(sum(coalesce(n, 0)) OVER (ORDER BY l) AS BIGINT) AS "end" FROM unnest(range(0, 50)) AS t(l) LEFT JOIN (SELECT leaf, count(*) AS n FROM skipplace WHERE by_n <= budget AND leaf % 7 <> 0 GROUP BY leaf) ON leaf = l""", "skipplace")
+def leaf_ends(spark: SparkSession, d: str) -> DataFrame:
+    return skips.slice_ends(skips.merged(_runs(spark, d)), 50)
+
+
+@query("K15_audit", f"SELECT count(*) AS n_records, sum(n_skips)::BIGINT AS n_skips, round(sum(cost), 4)::DOUBLE AS cost, true AS agrees FROM ({_COST.format(_SKIPS['freq']).replace(', 6)', ', 12)')}) WHERE leaf % 7 <> 0", "skipplace")
+def skip_audit(spark: SparkSession, d: str) -> DataFrame:
+    return skips.audit(skips.merged(_runs(spark, d)))
 
 
 @query("K12_frequency_skips", "SELECT leaf, feat FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, feat) AS k FROM skipleaf) WHERE k <= 5", "skipleaf")
@@ -173,12 +211,12 @@ def frequency_skips(spark: SparkSession, d: str) -> DataFrame:
     return skips.inner(features, budgets, "freq").select("leaf", F.explode("skips").alias("feat"))
 
 
-@query("K14_best_smoother", """SELECT leaf, smoother, loss FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY loss, smoother) AS k FROM (SELECT leaf, smoother, round(-sum(n2 * ln(p)), 6) AS loss FROM
-  (SELECT leaf, feat, smoother, (n + smoother) / (sum(n) OVER w + smoother * count(*) OVER w) AS p FROM skipleaf, (VALUES (0.1::DOUBLE), (1.0), (10.0)) AS g(smoother) WINDOW w AS (PARTITION BY leaf, smoother))
+@query("K14_best_smoother", f"""SELECT leaf, smoother, loss FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY loss, smoother) AS k FROM (SELECT leaf, smoother, round(-sum(n2 * ln(p)), 6) AS loss FROM
+  (SELECT leaf, feat, smoother, (n + smoother) / (sum(n) OVER w + smoother * count(*) OVER w) AS p FROM skipleaf, (VALUES {', '.join(f"({x!r}::DOUBLE)" for x in skips.SMOOTHERS)}) AS g(smoother) WINDOW w AS (PARTITION BY leaf, smoother))
   JOIN (SELECT leaf, feat, n % 7 + 1 AS n2 FROM skipleaf) USING (leaf, feat) GROUP BY ALL)) WHERE k = 1""", "skipleaf")
 def best_smoother(spark: SparkSession, d: str) -> DataFrame:
     f = _features(spark, d)
-    return skips.best_smoother(f, f.select("leaf", "feat", (F.col("n") % 7 + 1).alias("n")), [0.1, 1.0, 10.0])
+    return skips.best_smoother(f, f.select("leaf", "feat", (F.col("n") % 7 + 1).alias("n")), list(skips.SMOOTHERS))
 
 
 @query("K14_snapped_features", """SELECT a.leaf, k.feat, sum(a.n)::BIGINT AS n FROM skipleaf a ASOF JOIN (SELECT leaf, feat FROM skipleaf WHERE feat % 3 = 0) k ON a.leaf = k.leaf AND a.feat <= k.feat GROUP BY ALL""", "skipleaf")
@@ -195,11 +233,9 @@ def leaf_regression(spark: SparkSession, d: str) -> DataFrame:
 
 @query("E11_E12_leaf_offsets", "SELECT leaf, sum(count(*)) OVER (ORDER BY leaf)::BIGINT AS end FROM skipleaf GROUP BY leaf".replace("AS end", 'AS "end"'), "skipleaf")
 def offsets(spark: SparkSession, d: str) -> DataFrame:
-    """End of each leaf's slice in a file sorted by leaf: running totals over the table of leaves."""
-    from pyspark.sql import Window
-
+    """End of each leaf's slice in a file sorted by leaf."""
     n = _features(spark, d).groupBy("leaf").agg(F.count("*").alias("n"))
-    return n.select("leaf", F.sum("n").over(Window.orderBy("leaf")).alias("end"))
+    return running_sums(n, ["leaf"], "n", "begin").select("leaf", (F.col("begin") + F.col("n")).alias("end"))
 
 
 @query("A16_mention_offsets", "SELECT ent, n, CAST(sum(n) OVER (ORDER BY ent) - n AS BIGINT) AS begin FROM (SELECT l_partkey % 100 AS ent, count(*) AS n FROM lineitem GROUP BY 1)")
@@ -210,17 +246,12 @@ def mention_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("I_streaming_counts", "SELECT token, count(*) AS cf FROM tokens GROUP BY token", "tokens")
 def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts over a stream of the documents' files, run until there is no more input."""
-    import uuid
-
-    from spanweave.streaming.incremental import term_counts
-
-    name = f"counts_{uuid.uuid4().hex}"
-    docs = read(spark, d, "documents")
+    """Counts over a stream of the documents' files, run until there is no more input. Each batch adds its counts to a
+    table; what is read is their sum."""
+    scratch, docs = Scratch(spark, "counts"), read(spark, d, "documents")
     stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet*")
-    run = term_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    incremental.append_counts(stream, f"{scratch.base}/table", f"{scratch.base}/state", once=True).awaitTermination()
+    return incremental.counts(spark, f"{scratch.base}/table")
 
 
 def tokens_of(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanweave.functions import text
+from spanweave.functions import codec, text
 from spanweave.operators import bayes, catalog, context, spotting
 from spanweave.operators.joins import ngrams, positions
 from spanweave.scratch import Scratch
@@ -138,14 +138,8 @@ def probable(spark: SparkSession, d: str) -> DataFrame:
     return _probability(spark, d).filter("probability >= 0.3").select("phrase", "annotated", "occurs", F.round("probability", 6).alias("probability"))
 
 
-@query("F9_phrases_by_probability", "SELECT phrase, rank FROM (SELECT phrase, row_number() OVER (ORDER BY probability, phrase) AS rank FROM annotation_probability) WHERE rank <= 20", "annotation_probability")
+@query("F9_phrases_by_probability", "SELECT phrase, row_number() OVER (ORDER BY probability, phrase) AS rank FROM annotation_probability", "annotation_probability")
 def by_probability(spark: SparkSession, d: str) -> DataFrame:
-    least = _probability(spark, d).orderBy("probability", "phrase").limit(20)
-    return least.select("phrase", F.row_number().over(Window.orderBy("probability", "phrase")).cast("long").alias("rank"))
-
-
-@query("F9_phrases_by_probability_whole")
-def by_probability_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every phrase with its rank."""
     return positions(_probability(spark, d).select("phrase", "probability"), ["probability", "phrase"], "rank").select("phrase", "rank")
 
@@ -195,6 +189,14 @@ def kwic(spark: SparkSession, d: str) -> DataFrame:
     return context.keyword_in_context(gold(spark, d), tokens(spark, d), 5, 3)
 
 
+@query("A16_sampled_keyword_in_context", """SELECT ent, doc_id, "left", string_agg(token, ' ' ORDER BY pos) AS line FROM (SELECT *, row_number() OVER (PARTITION BY ent ORDER BY ((doc_id * 31 + "left") * 2654435761) % 1000003, doc_id, "left") AS n FROM ogold) g
+  JOIN (SELECT doc_id, pos, token FROM otok) t USING (doc_id) WHERE n <= 3 AND t.pos BETWEEN g."left" - 5 AND g."right" + 5 GROUP BY ent, doc_id, "left" """, "ogold", "otok")
+def kwic_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions drawn by a hash of their place, in place of the first ones."""
+    drawn = F.pmod((F.col("doc_id") * 31 + F.col("left")) * F.lit(2654435761), F.lit(1000003))
+    return context.keyword_in_context(gold(spark, d), tokens(spark, d), 5, 3, drawn)
+
+
 @query("E3_coalesced_mentions", """SELECT doc_id, ent, min("left") AS "left", max("right") AS "right", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, ent ORDER BY "left") AS run
   FROM (SELECT doc_id, ent, "left", "right", CASE WHEN "left" <= max("right") OVER (PARTITION BY doc_id, ent ORDER BY "left" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new
   FROM (SELECT l_orderkey AS doc_id, l_suppkey % 4 AS ent, CAST(l_linenumber AS INTEGER) AS "left", CAST(l_linenumber AS INTEGER) AS "right" FROM lineitem))) GROUP BY doc_id, ent, run""")
@@ -217,7 +219,7 @@ part("priors", """SELECT leaf, c.ent, ln((coalesce(e.n_ctx, 0) + 1) * 1.0 / (coa
   LEFT JOIN (SELECT leaf, sum(n_ctx) AS n_ctx FROM leaf_ent GROUP BY leaf) l USING (leaf)""", "cands", "leaf_ent")
 part("scores", """SELECT x.ctx, x.leaf, x.ent, c.ent AS cand, sum(f.freq * (ln(coalesce(k.freq, 0) + 1.0) - ln(coalesce(t.sum_freq, 0) + 1.0 * v.vocab))) + any_value(p.log_prior) AS log_score
   FROM ctx x JOIN cands c ON c.leaf = x.leaf JOIN vocab v ON v.leaf = x.leaf JOIN feats f ON f.ctx = x.ctx LEFT JOIN leaf_ent t ON t.leaf = x.leaf AND t.ent = c.ent
-  LEFT JOIN lfe k ON k.leaf = x.leaf AND k.ent = c.ent AND k.feat = f.feat JOIN priors p ON p.leaf = x.leaf AND p.ent = c.ent WHERE x.doc_id % 2 = 1 AND x.doc_id % 20 < 5 GROUP BY x.ctx, x.leaf, x.ent, c.ent""", "ctx", "cands", "vocab", "feats", "leaf_ent", "lfe", "priors")
+  LEFT JOIN lfe k ON k.leaf = x.leaf AND k.ent = c.ent AND k.feat = f.feat JOIN priors p ON p.leaf = x.leaf AND p.ent = c.ent WHERE x.doc_id % 2 = 1 GROUP BY x.ctx, x.leaf, x.ent, c.ent""", "ctx", "cands", "vocab", "feats", "leaf_ent", "lfe", "priors")
 
 
 def _contexts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -229,14 +231,10 @@ def _contexts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return ctx, scratch.keep(feats, "features"), leaf.select("leaf", F.explode("candidates").alias("ent"))
 
 
-#: Contexts that the SQL of scores is about, and all of the half that isn't trained on (the queries ``_whole``).
-TESTED, HELD_OUT = "doc_id % 2 = 1 AND doc_id % 20 < 5", "doc_id % 2 = 1"
-
-
-def _model(spark: SparkSession, d: str, tested: str = TESTED) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
     ctx, feats, cands = _contexts(spark, d)
     train = ctx.filter("doc_id % 2 = 0").select("ctx", "leaf", "ent")
-    return ctx.filter(tested).select("ctx", "leaf", "ent"), feats, cands, bayes.train(train, feats)
+    return ctx.filter("doc_id % 2 = 1").select("ctx", "leaf", "ent"), feats, cands, bayes.train(train, feats)
 
 
 @query("D14_bayes_counts", "SELECT leaf, ent, n_ctx, sum_freq, vocab FROM leaf_ent JOIN vocab USING (leaf)", "leaf_ent", "vocab")
@@ -257,8 +255,8 @@ def priors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("C22_bayes_scores", "SELECT ctx, cand, round(log_score, 5) AS log_score FROM scores", "scores")
-def scores(spark: SparkSession, d: str, tested: str = TESTED) -> DataFrame:
-    test, feats, cands, model = _model(spark, d, tested)
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    test, feats, cands, model = _model(spark, d)
     return bayes.score(test, feats, cands, model).select("ctx", "cand", F.round("log_score", 5).alias("log_score"))
 
 
@@ -266,22 +264,32 @@ part("ranked", """SELECT *, log_score - (max(log_score) OVER w + ln(sum(exp(log_
 
 
 @query("E1_softmax_probabilities", "SELECT ctx, cand, round(log_prob, 5) AS log_prob FROM ranked", "ranked")
-def probabilities(spark: SparkSession, d: str, tested: str = TESTED) -> DataFrame:
-    test, feats, cands, model = _model(spark, d, tested)
+def probabilities(spark: SparkSession, d: str) -> DataFrame:
+    test, feats, cands, model = _model(spark, d)
     return bayes.normalized(bayes.score(test, feats, cands, model), ["ctx"]).select("ctx", "cand", F.round("log_prob", 5).alias("log_prob"))
 
 
 @query("D29_annotator_accuracy", """SELECT count(*) AS n, round(avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0 END), 2) AS accuracy FROM (SELECT cand, ent, row_number() OVER (PARTITION BY ctx ORDER BY round(log_score, 9) DESC, cand) - 1 AS rank FROM scores) WHERE cand = ent""", "scores")
-def accuracy(spark: SparkSession, d: str, tested: str = TESTED) -> DataFrame:
-    test, feats, cands, model = _model(spark, d, tested)
+def accuracy(spark: SparkSession, d: str) -> DataFrame:
+    test, feats, cands, model = _model(spark, d)
     rounded = bayes.score(test, feats, cands, model).withColumn("log_score", F.round("log_score", 9))
     ranked = bayes.normalized(rounded, ["ctx"]).filter("cand = ent")
     return ranked.agg(F.count("*").alias("n"), F.round(F.avg((F.col("rank") == 0).cast("double")), 2).alias("accuracy"))
 
 
-query("C22_bayes_scores_whole")(lambda spark, d: scores(spark, d, HELD_OUT))
-query("E1_softmax_probabilities_whole")(lambda spark, d: probabilities(spark, d, HELD_OUT))
-query("D29_annotator_accuracy_whole")(lambda spark, d: accuracy(spark, d, HELD_OUT))
+_CODE = "CAST(greatest(0, least(255, 255 - floor(sqrt(-round(log_prob, 6) / (ln(3.4028234663852886e38) / 65025)) + 1e-12))) AS INTEGER)"
+
+
+@query("L4_scored_postings", f"""SELECT cand AS ent, ctx // 16 AS doc_id, CAST(ctx % 16 AS INTEGER) AS "left", 2::INTEGER AS size, leaf, row_number() OVER (PARTITION BY ctx ORDER BY round(log_score, 9) DESC, cand) - 1 AS rank, {_CODE} AS code FROM ranked""", "ranked")
+def scored_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of machine annotations: place and size of the span, its leaf, the candidate's rank and its quantised
+    log-probability, sorted by entity, document and place."""
+    test, feats, cands, model = _model(spark, d)
+    scored = bayes.score(test, feats, cands, model).withColumn("log_score", F.round("log_score", 9))
+    code = codec.encode_log_prob(F.round("log_prob", 6))
+    place = (F.floor(F.col("ctx") / 16).alias("doc_id"), (F.col("ctx") % 16).cast("int").alias("left"), F.lit(2).alias("size"))
+    rows = bayes.normalized(scored, ["ctx"]).select(F.col("cand").alias("ent"), *place, "leaf", F.col("rank").cast("long"), code.alias("code"))
+    return rows.repartitionByRange("ent", "doc_id").sortWithinPartitions("ent", "doc_id", "left")
 
 
 @query("B18_small_leaves", "SELECT leaf, sum(n_ctx)::BIGINT AS n_ctx FROM leaf_ent GROUP BY leaf HAVING sum(n_ctx) > 1", "leaf_ent")
@@ -289,25 +297,38 @@ def leaves_with_contexts(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark, d)[3]["leaf"].filter("n_ctx > 1")
 
 
-@query("K8_lidstone_tuning")
+part("lidstone", """SELECT leaf, "lambda", avg(CASE WHEN mine > coalesce(other, -1e300) THEN 1.0 ELSE 0 END)::DOUBLE AS accuracy, count(*) AS instances FROM
+  (SELECT ctx, leaf, "lambda", max(s) FILTER (cand = ent) AS mine, max(s) FILTER (cand <> ent) AS other FROM
+    (SELECT x.ctx, x.leaf, x.ent, c.ent AS cand, g."lambda", round(any_value(p.log_prior) + sum(CASE WHEN coalesce(f.freq, 0) = 0 THEN 0 ELSE
+        f.freq * (ln(coalesce(k.freq, 0) - CASE WHEN c.ent = x.ent THEN f.freq ELSE 0 END + g."lambda") - ln(coalesce(t.sum_freq, 0) - CASE WHEN c.ent = x.ent THEN f.freq ELSE 0 END + g."lambda" * coalesce(v.vocab, 0))) END), 9) AS s
+      FROM train_ctx x JOIN (SELECT leaf FROM leaf_ent GROUP BY leaf HAVING sum(n_ctx) > 1) USING (leaf) JOIN cands c ON c.leaf = x.leaf LEFT JOIN vocab v ON v.leaf = x.leaf
+      CROSS JOIN (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0)) AS g("lambda") LEFT JOIN feats f ON f.ctx = x.ctx LEFT JOIN leaf_ent t ON t.leaf = x.leaf AND t.ent = c.ent
+      LEFT JOIN lfe k ON k.leaf = x.leaf AND k.ent = c.ent AND k.feat = f.feat JOIN priors p ON p.leaf = x.leaf AND p.ent = c.ent GROUP BY x.ctx, x.leaf, x.ent, c.ent, g."lambda")
+    GROUP BY ctx, leaf, "lambda") GROUP BY leaf, "lambda" QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY accuracy DESC, "lambda") = 1""", "train_ctx", "leaf_ent", "cands", "vocab", "feats", "lfe", "priors")
+
+
+@query("K8_lidstone_tuning", 'SELECT leaf, "lambda", accuracy, instances FROM lidstone', "lidstone")
 def lidstone(spark: SparkSession, d: str) -> DataFrame:
     """On the training contexts, each left out of the counts in turn; leaves with one context have none to tune on."""
     ctx, feats, cands = _contexts(spark, d)
     train = ctx.filter("doc_id % 2 = 0").select("ctx", "leaf", "ent")
     model = bayes.train(train, feats)
     grid = model["leaf"].filter("n_ctx > 1").select("leaf").withColumn("lambda", F.explode(F.array(*(F.lit(x) for x in (0.01, 0.1, 1.0, 10.0)))))
-    return bayes.tuned(bayes.score(train, feats, cands, model, lambdas=grid, leave_one_out=True))
+    scored = bayes.score(train, feats, cands, model, lambdas=grid, leave_one_out=True)
+    return bayes.tuned(scored.withColumn("log_score", F.round("log_score", 9)))  # equal scores are equal
 
 
-@query("D18_accuracy_averages")
+@query("D18_accuracy_averages", "SELECT round(avg(accuracy), 6) AS macro, round(sum(accuracy * instances) / sum(instances), 6) AS micro, sum(instances)::BIGINT AS instances FROM lidstone", "lidstone")
 def averages(spark: SparkSession, d: str) -> DataFrame:
-    return bayes.averages(lidstone(spark, d))
+    return bayes.averages(lidstone(spark, d)).select(F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"), "instances")
 
 
-@query("D16_leaf_feature_workload", "SELECT leaf, feat, count(*) AS n_train FROM train_ctx JOIN feats USING (ctx) GROUP BY ALL", "train_ctx", "feats")
+@query("D16_leaf_feature_workload", "SELECT leaf, feat, count(*) FILTER (doc_id % 2 = 0) AS n_train, count(*) FILTER (doc_id % 2 = 1) AS n_test FROM ctx JOIN feats USING (ctx) GROUP BY leaf, feat", "ctx", "feats")
 def workload(spark: SparkSession, d: str) -> DataFrame:
+    """How often each feature is asked for in a leaf's list, by contexts of either half."""
     ctx, feats, _ = _contexts(spark, d)
-    return ctx.filter("doc_id % 2 = 0").join(feats, "ctx").groupBy("leaf", "feat").agg(F.count("*").alias("n_train"))
+    half = lambda i: F.count_if(F.col("doc_id") % 2 == i)
+    return ctx.join(feats, "ctx").groupBy("leaf", "feat").agg(half(0).alias("n_train"), half(1).alias("n_test"))
 
 
 @query("D17_leaf_hit_probability", "SELECT leaf, round((count(*) + 1) * 1.0 / (sum(count(*)) OVER () + count(*) OVER ()), 8) AS p FROM train_ctx GROUP BY leaf", "train_ctx")
@@ -325,8 +346,9 @@ def phrase_strings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("C11_multi_valued_dictionary", "SELECT p_brand AS key, count(*) AS n_values, count(DISTINCT p_type) AS n_types FROM part GROUP BY p_brand")
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("ids"), F.collect_set("p_type").alias("types"))
-    return p.select(F.col("p_brand").alias("key"), F.size("ids").cast("long").alias("n_values"), F.size("types").cast("long").alias("n_types"))
+    """Sizes of a key's lists of values; the lists stay rows (key, value), as a key may have any number."""
+    p = read(spark, d, "part").select(F.col("p_brand").alias("key"), "p_partkey", "p_type")
+    return p.groupBy("key").agg(F.count("p_partkey").alias("n_values"), F.count_distinct("p_type").alias("n_types"))
 
 
 @query("C25_A15_redirects", """SELECT c.c_name AS name, coalesce(s.s_suppkey, t.s_suppkey) AS ent FROM customer c LEFT JOIN supplier s ON s.s_name = c.c_name
@@ -338,6 +360,6 @@ def redirects(spark: SparkSession, d: str) -> DataFrame:
     return catalog.resolve(names, ents, moved)
 
 
-@query("B21_phrase_selector", """SELECT a.doc_id, a.pos AS "left" FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'""", "tokens")
+@query("B21_phrase_selector", """SELECT doc_id, pos AS "left" FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tokens) WHERE token = 'of' AND next = 'the'""", "tokens")
 def selector(spark: SparkSession, d: str) -> DataFrame:
     return ngrams(base.tokens(spark, d), 2).filter("phrase = 'of|the'").select("doc_id", "left")

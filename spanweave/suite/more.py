@@ -10,20 +10,15 @@ from spanweave.operators import catalog, context, interpret, rank, spotting
 from spanweave.operators.joins import band_join, dense_ids, positions, small
 from spanweave.plans.query import QueryError, check, parse
 from spanweave.scratch import Scratch
+from spanweave.settings import Settings
 from spanweave.sources import corpus
 from spanweave.suite import SUITE, base, linking, ranking, read, searching
 
 query, part = SUITE.add, SUITE.part
 
 
-@query("A2_A3_A4_record_store", "SELECT doc_id, text FROM documents WHERE doc_id % 10 = 3")
+@query("A2_A3_A4_record_store", "SELECT doc_id, text FROM documents")
 def record_store(spark: SparkSession, d: str) -> DataFrame:
-    """Append in the order of ids, reopen, read some by key."""
-    return record_store_whole(spark, d).filter("doc_id % 10 = 3")
-
-
-@query("A2_A3_A4_record_store_whole")
-def record_store_whole(spark: SparkSession, d: str) -> DataFrame:
     """Append in the order of ids, reopen, read all."""
     store = f"{Scratch(spark, 'store').base}/corpus"
     corpus.write_corpus(read(spark, d, "documents").select("doc_id", "text"), store, 4)
@@ -41,7 +36,7 @@ def hyper_view(spark: SparkSession, d: str) -> DataFrame:
     """At each annotated position its entity and all types above."""
     up = catalog.closure(searching.geo(spark, d), include_self=True)
     at = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("pos"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("sub"))
-    return at.join(F.broadcast(up.filter(F.col("sub").startswith("s"))), "sub").groupBy("doc_id", "pos", F.col("sup").alias("name")).agg(F.count("*").alias("n"))
+    return at.join(small(up.filter(F.col("sub").startswith("s"))), "sub").groupBy("doc_id", "pos", F.col("sup").alias("name")).agg(F.count("*").alias("n"))
 
 
 @query("A14_L9_token_id_arrays", """SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS ids FROM tokens JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM tokens WHERE regexp_full_match(token, '[a-z]+'))) USING (token) GROUP BY doc_id""", "tokens")
@@ -56,7 +51,7 @@ def sorted_index(spark: SparkSession, d: str) -> DataFrame:
     """Postings written by key, each file sorted by key, document and place, and read back."""
     types = base.annotated(spark, d)[3].select("cat", "ent", "doc_id", "left")
     path = f"{Scratch(spark, 'index').base}/types"
-    types.repartition("cat").sortWithinPartitions("cat", "doc_id", "ent", "left").write.parquet(path)
+    types.repartitionByRange("cat", "doc_id").sortWithinPartitions("cat", "doc_id", "ent", "left").write.parquet(path)  # a type may have any number of postings
     return spark.read.parquet(path)
 
 
@@ -116,15 +111,13 @@ def exist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("B12_annotation_policy", "SELECT ctx, cand FROM (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(log_score, 9) DESC, cand) - 1 AS rank FROM scores) WHERE rank = 0 AND cand NOT LIKE '%#w'", "scores")
-def policy(spark: SparkSession, d: str, tested: str = linking.TESTED) -> DataFrame:
+def policy(spark: SparkSession, d: str) -> DataFrame:
+    """The first candidate, unless that stands for none (here: the mentions of one word)."""
     from spanweave.operators import bayes
 
-    test, feats, cands, model = linking._model(spark, d, tested)
+    test, feats, cands, model = linking._model(spark, d)
     ranked = bayes.normalized(bayes.score(test, feats, cands, model).withColumn("log_score", F.round("log_score", 9)), ["ctx"])
-    return bayes.policy(ranked, "").filter("cand NOT LIKE '%#w'").select("ctx", "cand")
-
-
-query("B12_annotation_policy_whole")(lambda spark, d: policy(spark, d, linking.HELD_OUT))
+    return bayes.policy(ranked, F.col("cand").endswith("#w")).select("ctx", "cand")
 
 
 @query("B19_restricted_leaves", "SELECT leaf, ent, n_ctx FROM leaf_ent WHERE leaf IN (1, 3, 5)", "leaf_ent")
@@ -164,6 +157,21 @@ def collection(spark: SparkSession, d: str) -> DataFrame:
     return kind(spotting.positive(s, g), "positive").union(kind(spotting.negative(s, g), "negative")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("D13_collected_contexts", """SELECT kind, s.doc_id, s."left", t.token AS feat, count(*) AS freq FROM (
+  SELECT 'positive' AS kind, s.doc_id, s."left", s."right" FROM spots s JOIN half h ON s.doc_id = h.doc_id AND s."left" = h."left" AND s."right" = h."right"
+  UNION ALL SELECT 'negative', s.doc_id, s."left", s."right" FROM spots s WHERE NOT EXISTS (SELECT 1 FROM half h WHERE h.doc_id = s.doc_id AND h."left" <= s."right" AND s."left" <= h."right")) s
+  JOIN otok t ON t.doc_id = s.doc_id AND t.pos BETWEEN s."left" - 4 AND s."right" + 4 AND NOT (t.pos BETWEEN s."left" AND s."right") GROUP BY ALL""", "spots", "half", "otok")
+def collected(spark: SparkSession, d: str) -> DataFrame:
+    """The words around each spot that is annotated, and around each that no annotation touches."""
+    scratch = Scratch(spark, "collection")
+    t = scratch.keep(linking.tokens(spark, d), "tokens")
+    s, g = scratch.keep(spotting.maximal(spotting.any_match(t, linking.mentions(spark, d), 2)), "spots"), linking.half(spark, d)
+    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "doc_id", "left", "right")
+    both = kind(spotting.positive(s, g), "positive").union(kind(spotting.negative(s, g), "negative"))
+    bags = context.around(both.withColumn("at", F.col("left")), t, 4, ["kind", "doc_id", "at"])
+    return bags.select("kind", "doc_id", F.col("at").alias("left"), F.col("token").alias("feat"), F.col("n").alias("freq"))
+
+
 @query("D27_snippet_statistics", "SELECT qid, count(*) FILTER (label) AS good, count(*) FILTER (NOT label) AS bad, count(DISTINCT ent) FILTER (label) AS good_ents, count(DISTINCT ent) FILTER (NOT label) AS bad_ents FROM sfv GROUP BY qid", "sfv")
 def statistics(spark: SparkSession, d: str) -> DataFrame:
     per_ent = ranking.sfv(spark, d).groupBy("qid", "ent", "label").agg(F.count("*").alias("n"))
@@ -246,16 +254,8 @@ def spots_per_document(spark: SparkSession, d: str) -> DataFrame:
     return linking.spots(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("E12_leaf_streams", """SELECT leaf, count(*) AS n, string_agg(ctx, ',' ORDER BY ctx) AS contexts FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY ctx) AS k FROM train_ctx) WHERE k <= 3 GROUP BY leaf""", "train_ctx")
+@query("E12_leaf_streams", "SELECT leaf, row_number() OVER (PARTITION BY leaf ORDER BY ctx) AS place, ctx FROM train_ctx", "train_ctx")
 def leaf_streams(spark: SparkSession, d: str) -> DataFrame:
-    ctx = linking._contexts(spark, d)[0].filter("doc_id % 2 = 0")
-    few = ctx.withColumn("k", F.row_number().over(Window.partitionBy("leaf").orderBy("ctx"))).filter("k <= 3")
-    g = few.groupBy("leaf").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("ctx")).cast("array<string>"), ",").alias("contexts"))
-    return g.select("leaf", "n", "contexts")
-
-
-@query("E12_leaf_streams_whole")
-def leaf_streams_whole(spark: SparkSession, d: str) -> DataFrame:
     """All contexts of each leaf in order, one a row; place counts from 1 within the leaf."""
     ctx = positions(linking._contexts(spark, d)[0].filter("doc_id % 2 = 0").select("leaf", "ctx"), ["leaf", "ctx"], "at")
     first = ctx.groupBy("leaf").agg(F.min("at").alias("first"))
@@ -277,3 +277,29 @@ def stems(spark: SparkSession, d: str) -> DataFrame:
 
     english = read(spark, d, "documents").filter("lang = 'en'").select(F.explode(words(F.col("text"))).alias("token"))
     return english.groupBy("token").agg(F.count("*").alias("n")).groupBy(stemmed(F.col("token")).alias("stem")).agg(F.sum("n").alias("n"))
+
+
+@query("J1_J10_configured_features", "SELECT qid, ent, count(*)::DOUBLE AS support, round(max(greatest(f1, f2, f3, f4)), 8) AS strongest FROM sfv GROUP BY qid, ent", "sfv")
+def configured_features(spark: SparkSession, d: str) -> DataFrame:
+    chosen = Settings.of(spark, features="support, strongest").features(F.col("fv"))
+    return ranking.sfv(spark, d).groupBy("qid", "ent").agg(*chosen).withColumn("strongest", F.round("strongest", 8))
+
+
+@query("J2_configured_terms", "SELECT lower(trim(c_mktsegment)) AS term, count(*) AS n FROM customer GROUP BY 1")
+def configured_terms(spark: SparkSession, d: str) -> DataFrame:
+    term = Settings.of(spark, terms="lower").term_processor()
+    return read(spark, d, "customer").groupBy(term(F.col("c_mktsegment")).alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("J3_configured_catalog", "SELECT DISTINCT 'p' || p_partkey AS ent, p_type AS cat FROM part")
+def configured_catalog(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").withColumn("key", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    line = lambda *c: p.select(F.concat_ws("\t", *c).alias("value"))
+    files = line("key", F.lit("x")), line(F.lit("1"), "p_type", F.lit("root")), line(F.lit("1"), "key", "p_type"), line(F.lit("1"), "p_name", "key")
+    return Settings.of(spark, catalog="tsv").catalog()(*files)["ent_cat"]
+
+
+@query("J5_configured_reducer", "SELECT user_id, event_type, max(event_id) AS value FROM events GROUP BY ALL")
+def configured_reducer(spark: SparkSession, d: str) -> DataFrame:
+    reducer = Settings.of(spark, reducer="greatest").reducer()
+    return read(spark, d, "events").groupBy("user_id", "event_type").agg(reducer(F.col("event_id")).alias("value"))

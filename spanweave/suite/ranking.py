@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import codec, metrics, text
 from spanweave.operators import interpret, rank
-from spanweave.operators.joins import positions
+from spanweave.operators.joins import dense_ids, positions, small
+from spanweave.scratch import Scratch
 from spanweave.suite import SUITE, base, read
 
 query, part = SUITE.add, SUITE.part
@@ -90,9 +91,13 @@ def folds(spark: SparkSession, d: str) -> DataFrame:
     return sfv(spark, d).select("qid").distinct().withColumn("fold", rank.fold_of(F.col("qid"), 5))
 
 
-@query("A29_letor_lines")
+@query("A29_letor_lines", """SELECT CASE WHEN bool_or(label) THEN '+1' ELSE '-1' END || ' qid:' || qid || ' 1:' || CAST(round(sum(f1), 8) AS DECIMAL(28, 8)) || ' 2:' || CAST(round(sum(f2), 8) AS DECIMAL(28, 8))
+    || ' 3:' || CAST(round(sum(f3), 8) AS DECIMAL(28, 8)) || ' 4:' || CAST(round(sum(f4), 8) AS DECIMAL(28, 8)) || ' 5:' || CAST(count(*) AS DECIMAL(28, 8)) AS line FROM sfv GROUP BY qid, ent""", "sfv")
 def letor(spark: SparkSession, d: str) -> DataFrame:
-    return rank.letor(rank.summed(sfv(spark, d), 4))
+    """Written to a text sink, one line for each entity, and read back."""
+    path = f"{Scratch(spark, 'letor').base}/lines"
+    rank.letor(rank.summed(sfv(spark, d), 4)).write.text(path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def _trained(kind: str):
@@ -135,6 +140,16 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(b), (F.col("bi") >= F.col("i")) & (F.col("bj") >= F.col("j"))).groupBy("i", "j", "n").agg(F.sum("bn").alias("rectangle"))
 
 
+@query("H7_cell_features", """SELECT s.qid, s.ent, s.cell, s.n, g.n AS grid FROM (SELECT qid, ent, CAST(floor(f1 * 4) * 8 + floor(f2 * 4) AS BIGINT) AS cell, count(*) AS n FROM sfv GROUP BY ALL) s
+  JOIN (SELECT CAST(floor(f1 * 4) * 8 + floor(f2 * 4) AS BIGINT) AS cell, count(*) AS n FROM sfv GROUP BY ALL) g USING (cell)""", "sfv")
+def cell_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features that stand for cells of the grid: for each entity the cells that its snippets are in, how many are, and
+    the value that the grid has there."""
+    cell = (F.floor(F.element_at("fv", 1) * 4) * 8 + F.floor(F.element_at("fv", 2) * 4)).cast("long").alias("cell")
+    own = sfv(spark, d).groupBy("qid", "ent", cell).agg(F.count("*").alias("n"))
+    return own.join(small(own.groupBy("cell").agg(F.sum("n").alias("grid"))), "cell").select("qid", "ent", "cell", "n", "grid")
+
+
 # --- interpretation ----------------------------------------------------------------------------------------------
 
 part("iwit", """SELECT 'q' || (l_suppkey % 5) AS qid, 'e' || (l_partkey % 40) AS ent, str_split(p_name, ' ') AS words FROM lineitem JOIN part ON l_partkey = p_partkey""")
@@ -236,10 +251,19 @@ def quantised(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), codec.encode_log_prob(-F.col("l_quantity").cast("double")).alias("code"))
 
 
-@query("E6_gap_encoding", "SELECT token, string_agg(gap, ',' ORDER BY doc_id) AS gaps FROM (SELECT token, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY token ORDER BY doc_id), 0) AS gap FROM (SELECT DISTINCT token, doc_id FROM tokens)) GROUP BY token", "tokens")
+#: Documents (by number) that one block of a gap-encoded posting list is about.
+BLOCK = 4096
+
+
+@query("E6_gap_encoding", f"""SELECT token, block, string_agg(gap, ',' ORDER BY n) AS gaps FROM (SELECT token, n // {BLOCK} AS block, n, n - coalesce(lag(n) OVER (PARTITION BY token, n // {BLOCK} ORDER BY n), 0) AS gap
+  FROM (SELECT DISTINCT token, doc_id FROM tokens) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)) USING (doc_id)) GROUP BY token, block""", "tokens")
 def gap_encoding(spark: SparkSession, d: str) -> DataFrame:
-    docs = base.tokens(spark, d).groupBy("token").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
-    return docs.select("token", F.array_join(codec.gaps(F.col("docs")).cast("array<string>"), ",").alias("gaps"))
+    """Posting lists in blocks, each of which begins with the number of its first document: no row, nor task, holds all
+    documents of a frequent word."""
+    numbers = dense_ids(read(spark, d, "documents"), "doc_id", "n")
+    listed = base.tokens(spark, d).join(numbers, "doc_id").select("token", F.floor(F.col("n") / BLOCK).alias("block"), "n").distinct()
+    blocks = listed.groupBy("token", "block").agg(F.sort_array(F.collect_list("n")).alias("docs"))
+    return blocks.select("token", "block", F.array_join(codec.gaps(F.col("docs")).cast("array<string>"), ",").alias("gaps"))
 
 
 @query("E7_frequency_ordered_dictionary", "SELECT doc_id, ent, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ent) - 1 AS code FROM (SELECT doc_id, ent, count(*) AS n FROM annots GROUP BY ALL)", "annots")
@@ -248,7 +272,8 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", "ent", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "ent")) - 1).cast("long").alias("code"))
 
 
-@query("H21_L7_signed_hash_map")
+@query("H21_L7_signed_hash_map", """SELECT (h >> 1) % 1024 AS bucket, sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS value FROM
+  (SELECT ('0x' || substr(md5(event_type || '|' || user_id), 1, 8))::BIGINT AS h FROM events) GROUP BY 1""")
 def signed(spark: SparkSession, d: str) -> DataFrame:
     h = codec.signed_bucket(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 1024)
     return read(spark, d, "events").select(h.alias("h")).groupBy("h.bucket").agg(F.sum("h.sign").alias("value"))
@@ -264,14 +289,8 @@ def distinct(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_partkey", "l_suppkey").dropDuplicates()
 
 
-@query("F1_sorted_run_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders ORDER BY pos LIMIT 100")
+@query("F1_sorted_run_positions", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS pos FROM orders")
 def sorted_run(spark: SparkSession, d: str) -> DataFrame:
-    least = read(spark, d, "orders").orderBy("o_totalprice", "o_orderkey").limit(100)
-    return least.select("o_orderkey", F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")).cast("long").alias("pos"))
-
-
-@query("F1_sorted_run_positions_whole")
-def sorted_run_whole(spark: SparkSession, d: str) -> DataFrame:
     """The position of every record in the sorted run."""
     orders = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return positions(orders, ["o_totalprice", "o_orderkey"], "pos").select("o_orderkey", "pos")

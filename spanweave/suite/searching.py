@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.functions import intervals
+from spanweave.functions import intervals, text
 from spanweave.operators import catalog
-from spanweave.operators.joins import band_join, dense_ids
+from spanweave.operators.joins import band_join, dense_ids, small
 from spanweave.plans import search
-from spanweave.plans.query import parse
+from spanweave.plans.query import BINDING, MUST, parse
 from spanweave.scratch import Scratch
 from spanweave.suite import SUITE, base, read
 
@@ -50,9 +50,11 @@ part("contexts", """SELECT qid, doc_id, b_left, b_right, b_ent, least(b_left, mi
 part("energies", "SELECT qid, sum((SELECT n FROM n_docs) * 1.0 / df) AS energy FROM matchers JOIN stats USING (leaf, key) WHERE leaf <> 'binding' GROUP BY qid", "matchers", "stats", "n_docs")
 
 
-def _leaves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _leaves(spark: SparkSession, d: str, must_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     t, stats, a, types = base.annotated(spark, d)
     plan = search.matchers(spark, QUERIES)
+    if must_only:
+        plan = plan.filter(F.col("exist") == MUST)
     keyed = stats.select(F.lit("token").alias("leaf"), F.col("token").alias("key"), "df")
     n = base.n_docs(spark, d)
     # read several times below, and small beside the postings
@@ -130,21 +132,48 @@ def known_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("C1_must_alignment", "SELECT qid, doc_id FROM qualified", "qualified")
 def must_alignment(spark: SparkSession, d: str) -> DataFrame:
-    leaves, plan, _, _ = _leaves(spark, d)
+    leaves, plan, _, _ = _leaves(spark, d, must_only=True)
     return search.qualified(leaves, plan)
 
 
 @query("C20_brute_force_intersect", "SELECT qid, doc_id FROM qualified", "qualified")
 def brute_force(spark: SparkSession, d: str) -> DataFrame:
-    leaves, plan, _, _ = _leaves(spark, d)
+    leaves, plan, _, _ = _leaves(spark, d, must_only=True)
     return search.qualified_by_join(leaves, plan)
 
 
-@query("G3_scan_probe_difference", "SELECT qid, doc_id FROM qualified WHERE false", "qualified")
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, doc_id) of documents that qualify, found by reading each text: no postings of words are made. Types are
+    met by the words of a text that are entities of the type."""
+    words = read(spark, d, "documents").select("doc_id", F.array_distinct(text.words(F.col("text"))).alias("words"))
+    e = Scratch(spark, "scanned").keep(base.ents(base.term_stats(base.tokens(spark, d))), "ents")
+    typed = base.ent_cat(e)
+    out = None
+    for qid, query_ in QUERIES:
+        must = [m for m in query_.matchers if m.exist == MUST]
+        keys = [a.key for m in must if m.kind != BINDING for a in m.atoms]
+        held = words
+        for k in keys:
+            held = held.filter(F.array_contains("words", k))
+        for m in must:
+            if m.kind == BINDING:
+                of = typed.filter(F.col("cat") == m.atoms[0].key).select(F.col("ent").alias("word"))
+                met = held.select("doc_id", F.explode("words").alias("word")).join(small(of), "word", "left_semi").select("doc_id").distinct()
+                held = held.join(met, "doc_id", "left_semi")
+        rows = held.select(F.lit(qid).alias("qid"), "doc_id").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("G3_scan_probe_difference", "SELECT qid, count(*) AS n_scan, count(*) AS n_probe, 0::BIGINT AS n_scan_only, 0::BIGINT AS n_probe_only FROM qualified GROUP BY qid", "qualified")
 def difference(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents a scan of texts and a probe of postings find for each query, and how many only one of them."""
     leaves, plan, _, _ = _leaves(spark, d)
-    a, b = search.qualified(leaves, plan), search.qualified_by_join(leaves, plan)
-    return a.exceptAll(b).unionAll(b.exceptAll(a))
+    marked = lambda df, c: df.select("qid", "doc_id", F.lit(1).alias(c))
+    both = marked(_scanned(spark, d), "scan").join(marked(search.qualified_by_join(leaves, plan), "probe"), ["qid", "doc_id"], "full_outer")
+    n = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
+    scan, probe = F.col("scan").isNotNull(), F.col("probe").isNotNull()
+    return both.groupBy("qid").agg(n(scan).alias("n_scan"), n(probe).alias("n_probe"), n(scan & ~probe).alias("n_scan_only"), n(probe & ~scan).alias("n_probe_only"))
 
 
 @query("C2_may_witnesses", """SELECT q.qid, q.doc_id, count(matcher) AS n_may FROM qualified q LEFT JOIN (SELECT * FROM leaves WHERE exist = 'may') l USING (qid, doc_id) GROUP BY ALL""", "leaves", "qualified")
@@ -199,13 +228,26 @@ def wand_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _wand(spark, d)[2]
 
 
-@query("C8_wand_support", """SELECT s.doc_id, s.pos AS span, a."left" AS mention, a.ent FROM tokens s JOIN wand_docs USING (doc_id) JOIN annots a ON a.doc_id = s.doc_id
-  WHERE s.token = 'with' AND a."left" >= greatest(0, s.pos - 20) AND a."right" <= s.pos + 20""", "wand_docs", "annots")
+part("or_spans", """SELECT doc_id, pos AS "left", pos AS "right" FROM tokens JOIN wand_docs USING (doc_id) WHERE token IN ('with', 'and')
+  UNION SELECT doc_id, pos, pos + 1 FROM (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tokens JOIN wand_docs USING (doc_id)) WHERE (token = 'of' AND next = 'the') OR (token = 'and' AND next = 'the')""", "tokens", "wand_docs")
+part("minimal_spans", """SELECT doc_id, "left", "right" FROM (SELECT *, min("right") OVER (PARTITION BY doc_id ORDER BY "left" DESC, "right" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inner_right FROM or_spans)
+  WHERE (inner_right IS NULL OR inner_right > "right") AND "right" + 1 - "left" <= 20""", "or_spans")
+
+
+@query("C8_wand_support", """SELECT s.doc_id, s."left" AS span_left, s."right" AS span_right, a."left" AS mention, a.ent FROM minimal_spans s JOIN annots a ON a.doc_id = s.doc_id
+  WHERE a."left" >= greatest(0, s."right" - 20) AND a."right" <= s."left" + 20""", "minimal_spans", "annots")
 def wand_support(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions near a minimal span of the query, which is: with, and, "of the" or "and the" (never minimal: it holds a
+    span of its own)."""
     t, _, docs = _wand(spark, d)
-    spans = t.filter("token = 'with'").join(docs, "doc_id", "left_semi").select("doc_id", F.col("pos").alias("left"), F.col("pos").alias("right"))
+    kept = t.filter(F.col("token").isin("with", "and", "of", "the")).join(docs, "doc_id", "left_semi")
+    of = lambda w: kept.filter(F.col("token") == w)
+    single = kept.filter(F.col("token").isin("with", "and")).select("doc_id", F.col("pos").alias("left"), F.col("pos").alias("right"))
+    the = of("the").select("doc_id", (F.col("pos") - 1).alias("left"), F.col("pos").alias("right"))
+    pair = lambda w: of(w).select("doc_id", F.col("pos").alias("left")).join(the, ["doc_id", "left"]).select("doc_id", "left", "right")
+    spans = search.minimal_spans(single.union(pair("of")).union(pair("and")), ["doc_id"], 20)
     mentions = base.annots(t, base.ents(base.term_stats(t))).select("doc_id", F.col("left").alias("m_left"), F.col("right").alias("m_right"), "ent")
-    return search.mention_support(spans, mentions, 20).select("doc_id", F.col("left").alias("span"), F.col("m_left").alias("mention"), "ent")
+    return search.mention_support(spans, mentions, 20).select("doc_id", F.col("left").alias("span_left"), F.col("right").alias("span_right"), F.col("m_left").alias("mention"), "ent")
 
 
 @query("C9_term_entity_proximity", """SELECT token, ent, count(*) AS n FROM annots a JOIN tokens t ON a.doc_id = t.doc_id AND t.pos BETWEEN a."left" - 20 AND a."right" + 20
@@ -222,6 +264,17 @@ def dictionary_ids(spark: SparkSession, d: str) -> DataFrame:
     return dense_ids(base.tokens(spark, d).filter("token RLIKE '^[a-z]+$'"), "token", "term_id")
 
 
+_ASKED = ("the", "of", "zzz-none", "and", "Und", "")
+
+
+@query("C10_dictionary_lookup", f"""SELECT token, coalesce(id, -1) AS term_id FROM (VALUES {", ".join(f"('{w}')" for w in _ASKED)}) AS t(token)
+  LEFT JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT token FROM tokens WHERE regexp_full_match(token, '[a-z]+'))) USING (token)""", "tokens")
+def dictionary_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of given words; -1 for what the dictionary does not have."""
+    asked = spark.createDataFrame([(w,) for w in _ASKED], "token string")
+    return asked.join(dictionary_ids(spark, d), "token", "left").select("token", F.coalesce("term_id", F.lit(-1).cast("long")).alias("term_id"))
+
+
 @query("D4_posting_stats", "SELECT cat, count(DISTINCT doc_id) AS df, count(*) AS cf, max(doc_id) AS max_doc FROM types GROUP BY cat", "types")
 def type_stats(spark: SparkSession, d: str) -> DataFrame:
     return catalog.posting_stats(base.annotated(spark, d)[3], "cat")
@@ -327,6 +380,9 @@ def shards(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(7)).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query("D26_xor_checksum")
+_WORDS = [f"bit_xor(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)" for i in range(5)]
+
+
+@query("D26_xor_checksum", f"""SELECT {" || ".join(f"printf('%08x', {w})" for w in _WORDS)} AS checksum, count(*) AS n FROM (SELECT sha1(doc_id || chr(1) || "left" || chr(1) || ent) AS h FROM gold)""", "gold")
 def checksum(spark: SparkSession, d: str) -> DataFrame:
     return catalog.xor_checksum(base.gold(spark, d), "doc_id", "left", "ent")
