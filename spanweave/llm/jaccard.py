@@ -9,7 +9,7 @@ shingles, or its whole sequence if it has fewer words. Two texts link at a Jacca
    can link with a heavy one, give inverted lists instead: n - ceil(3n/4) + 1 of their shingles, the rarest
    first. Shingles that one class alone has fill these places without being listed, so that texts which share
    but some passages have no list at all. Sizes are light up to where enumerating subsets costs more than
-   scanning lists, from the mean list length that the corpus has.
+   scanning lists, from the mean length of the lists of shingles that small sets have, counted over all of them.
 3. Classes that share a signature and whose sizes allow a link are joined in runs, in each task before they are
    dealt, so that a list of any length is a few runs from each task; components of the joined pairs hold every link.
 4. Each such component is verified in one task: sets in order of size look through the lists of their rarest
@@ -40,21 +40,21 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import LOWER, SPACE, Prefix, Scratch, bloom_has, bloom_of, chunks, deal, freeing, gram_owner, grams, mix, pack, shuffle_parts, table, unpack, utf8, words
+from spanweave.llm.common import LOWER, SPACE, Prefix, Scratch, bloom_has, bloom_of, chunks, deal, freeing, gram_owner, grams, lookup, mix, pack, shuffle_parts, table, unpack, utf8, words
 from spanweave.llm.components import components
 
 K = 5
 #: Frequent shingles known to all tasks; and how many each task may name, of those that it sees so often.
 FREQUENT, NAMED, NAMED_FROM = 65_536, 4_096, 8
-#: No set larger than this is light, whatever the costs.
-LIGHT_MOST = 16
+#: Subsets that one set may give: what a task can hold of one. Sets with more are heavy, whatever lists would cost.
+SUBSETS = 1 << 15
 #: Rows of signatures, or shingles, that a task gathers before it passes them on.
 GATHER = 1 << 19
 #: Shingles of a block of a group of candidates, of each of a pair of blocks; sets of a group that are in all blocks.
 BLOCK_SHINGLES, PAIR_SHINGLES, HUBS = 1 << 15, 1 << 18, 16
-#: Sets of this size and more are compared by the half of their shingles with the lower hashes. That finds all that
-#: may link unless fewer than a quarter of a set's shingles lie in that half, for which the odds are under 1e-12.
-HALVED_FROM = 256
+#: Sets of this size and more give the shingles with hashes below LOWER_HALF first, which are enough for their lists but
+#: in rare cases; where they are not, the others follow by hash. So the others need no count, and no link is lost.
+HALVED_FROM, LOWER_HALF = 256, 1 << 63
 
 _U = np.uint64
 _NOT_SPACE = ~SPACE
@@ -112,23 +112,25 @@ def _rows(kind: int, doc: pa.Array, n: np.ndarray, name: np.ndarray) -> pa.Recor
 
 def _first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: a document with its set's size and name; 1: a shingle with the number of sets that have it here;
-    2: sets' shingles and how many of these differ here."""
+    2: a shingle of a set that could be light, with the set's name in place of a document."""
 
     def counts() -> Iterator[pa.RecordBatch]:
         x, n = np.unique(np.concatenate(gathered), return_counts=True)
         often = np.flatnonzero(n >= NAMED_FROM)
         often = often[np.argsort(-n[often], kind="stable")[:NAMED]]
         yield _rows(1, pa.nulls(len(often), pa.int64()), n[often], x[often].view(np.int64))
-        yield _rows(2, pa.nulls(1, pa.int64()), n.sum(keepdims=True), np.array([len(n)], np.int64))
 
-    gathered, size, seen = [], 0, set()
+    gathered, size, seen, few = [], 0, set(), most_light()
     for doc, sets, first, name in _sets(batches):
         yield _rows(0, doc, np.diff(first), name)
         for i in np.unique(name, return_index=True)[1].tolist():
             if first[i + 1] > first[i] and (c := int(name[i])) not in seen:
                 seen.add(c)
-                gathered.append(sets[first[i] : first[i + 1]])
-                size += len(gathered[-1])
+                own = sets[first[i] : first[i + 1]]
+                gathered.append(own)
+                size += len(own)
+                if len(own) <= few:
+                    yield _rows(2, pa.array(np.full(len(own), c)), np.ones(len(own), np.int64), own.view(np.int64))
         if size >= 4 * GATHER:
             yield from counts()
             gathered, size, seen = [], 0, set()
@@ -144,10 +146,23 @@ def subset_sizes(n: int) -> list[int]:
     return sorted({c for b in range(n, 4 * n // 3 + 1) if (c := needed(b)) <= n})
 
 
+def n_subsets(n: int) -> int:
+    return sum(comb(n, c) for c in subset_sizes(n))
+
+
+def most_light() -> int:
+    """The largest size whose subsets, and those of all below it, are no more than SUBSETS."""
+    n = 0
+    while n_subsets(n + 1) <= SUBSETS:
+        n += 1
+    return n
+
+
 def light_limit(mean_list: float) -> int:
-    """The largest size for which, and for all below it, subsets cost no more than lists."""
+    """The largest size for which, and for all below it, subsets cost no more than lists. A set of n scans as many lists
+    as its prefix has shingles; ``mean_list`` is what one of them holds."""
     n = 0
-    while n < LIGHT_MOST and sum(comb(n + 1, c) for c in subset_sizes(n + 1)) <= (n + 1 - needed(n + 1) + 1) * (1 + mean_list):
+    while n < most_light() and n_subsets(n + 1) <= (n + 1 - needed(n + 1) + 1) * (1 + mean_list):
         n += 1
     return n
 
@@ -163,8 +178,9 @@ def regime(n: np.ndarray, which: int) -> np.ndarray:
     return n <= 4 * HALVED_FROM // 3 if which == 0 else n >= 3 * HALVED_FROM // 4
 
 
-def seen_in(sets: np.ndarray, which: int) -> np.ndarray:
-    return np.ones(len(sets), bool) if which == 0 else sets < _U(1 << 63)
+def seen_in(sets: np.ndarray, which: int, half: int) -> np.ndarray:
+    """Shingles that come first in a regime."""
+    return np.ones(len(sets), bool) if which == 0 else sets < _U(half)
 
 
 def named_in(sets: np.ndarray, which: int) -> np.ndarray:
@@ -210,7 +226,7 @@ def _lists(sig: np.ndarray, name: np.ndarray, n: np.ndarray, parts: int) -> Iter
     yield _dealt_rows(PAIRS, [(b, pack(pairs.u[p], pairs.v[p])) for b, p in deal(mix(pairs.v.astype(_U)), parts)])
 
 
-def _second_scan(frequent: np.ndarray, light: int, parts: int):
+def _second_scan(frequent: np.ndarray, light: int, parts: int, half: int):
     """Shingles of heavy sets that aren't frequent, dealt by shingle; signatures that need no count: subsets of light
     sets, and frequent shingles of sets that have too few others."""
     order = np.argsort(frequent)  # given from the least frequent
@@ -251,14 +267,15 @@ def _second_scan(frequent: np.ndarray, light: int, parts: int):
             owner, rank = np.repeat(np.arange(len(n)), n), ranked(sets)
             for which in (0, 1):
                 own = fresh & (4 * n // 3 > light) & regime(n, which)
-                mine = own[owner] & seen_in(sets, which)
+                mine = own[owner] & seen_in(sets, which, half)
                 rare = mine & (rank == 0)
                 m = np.bincount(owner[rare], minlength=len(n))
                 missing = n - -(-3 * n // 4) + 1 - m
                 for i in np.flatnonzero(own & (missing > 0)).tolist():
                     often = np.flatnonzero(mine[first[i] : first[i + 1]] & (rank[first[i] : first[i + 1]] > 0)) + first[i]
                     often = often[np.argsort(rank[often])[: missing[i]]]
-                    direct.append((named_in(sets[often], which), int(name[i]), int(n[i])))
+                    rest = np.flatnonzero(~seen_in(sets[first[i] : first[i + 1]], which, half))[: missing[i] - len(often)] + first[i]  # by hash
+                    direct.append((named_in(sets[np.concatenate([often, rest])], which), int(name[i]), int(n[i])))
                 who = np.flatnonzero(own & (m > 0))
                 heavy.append((name[who], n[who].astype("<i4"), np.full(len(who), which, "<i4"), m[who].astype("<i4"), named_in(sets[rare], which)))
                 total += int(rare.sum())
@@ -459,7 +476,8 @@ def _all_links(stored: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     tops = sizes.groupBy("root").agg(F.max_by("comp", F.struct("w", "comp")).alias("top"), F.count("*").alias("n"), F.sum("w").alias("all"), F.max("w").alias("most")).filter("n > 1")
     blocks = lambda w: F.ceil(w / F.lit(PAIR_SHINGLES)).cast("int")
     plan = tops.select("root", "top", blocks(F.col("all")).alias("k"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("most"))).alias("km"))
-    planned = members.join(plan, "root").select("name", "comp", (F.col("comp") != F.col("top")).alias("minor"), "k", "km")
+    plan = scratch.keep(plan, "plan")
+    planned = lookup(members, plan, "root", plan.count(), "inner").select("name", "comp", (F.col("comp") != F.col("top")).alias("minor"), "k", "km")
     placed = stored.select("name", "root", "packed").join(planned, "name")
     against = placed.withColumn("j", hashed("k")).withColumn("i", F.explode(upto("km"))).withColumn("minor", F.lit(False))
     outside = placed.filter("minor").withColumn("i", hashed("km")).withColumn("j", F.explode(upto("k")))
@@ -489,11 +507,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scanned.filter("kind = 0").select("doc_id", "n", "name")
     often = scanned.filter("kind = 1").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(FREQUENT)
     frequent = np.array([r.name for r in often.collect()][::-1], np.int64).view(_U)
-    totals = scanned.filter("kind = 2").agg(F.sum("n").alias("n"), F.sum("name").alias("distinct")).first()
-    light = light_limit((totals.n or 1) / (totals.distinct or 1))
+    lists = scanned.filter("kind = 2").select("doc_id", "name").distinct().groupBy("name").agg(F.count("*").cast("double").alias("n"))
+    met = lists.agg(F.sum(F.col("n") * F.col("n")).alias("met"), F.sum("n").alias("n")).first()
+    light = light_limit((met.met or 1.0) / (met.n or 1.0))  # the list of a shingle that a small set has, on average
 
     parts = shuffle_parts(spark)
-    dealt = texts.mapInArrow(*freeing(_second_scan(frequent, light, parts), _STAGE))
+    dealt = texts.mapInArrow(*freeing(_second_scan(frequent, light, parts, LOWER_HALF), _STAGE))
     for stage in (_shared(parts), _prefixes(parts)):
         dealt = dealt.repartitionById(parts, F.col("bucket")).mapInArrow(*freeing(stage, _STAGE))
     chains = dealt.repartitionById(parts, F.col("bucket")).mapInArrow(*freeing(_chains, "u bigint, v bigint"))

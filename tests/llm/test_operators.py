@@ -401,6 +401,28 @@ def test_jaccard_many_near_copies(spark, monkeypatch, light, block):
     assert got == brute.components(dict(rows))
 
 
+@pytest.mark.parametrize("below", [1 << 58, 1 << 62])
+def test_jaccard_of_large_sets_with_few_low_hashes(spark, monkeypatch, below):
+    """Where the shingles that come first are too few for a set's lists, the others follow: nothing is lost."""
+    r, rows = random.Random(12), []
+    for size in (180, 200, 256, 300, 420):
+        base = fixtures.prose(r, size + 4).split()
+        for _ in range(4):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randint(0, max(1, size // 60))):
+                w[at] = f"new{r.randint(0, 999)}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(jaccard, "LOWER_HALF", below)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    want = brute.components(dict(rows))
+    assert got == want and len({c for _, c in want.values()}) < len(rows)
+
+
+def test_light_limit_moves_with_list_lengths():
+    limits = [jaccard.light_limit(m) for m in (0.5, 2, 10, 100, 1e4, 1e9)]
+    assert limits == sorted(limits) and limits[0] < 4 < limits[-2] and limits[-1] == jaccard.most_light()
+
+
 def test_subset_sizes_find_all_links():
     for a in range(1, 17):
         for b in range(a, 17):
