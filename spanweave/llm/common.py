@@ -38,6 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, to be selected from what it has become; names may hold any sign."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 # --- joins and sessions -------------------------------------------------------------------------------------
 
 
@@ -46,9 +60,10 @@ def lookup(large: DataFrame, small: DataFrame, key: str, rows: int, how: str = "
     size of the small side: up to BROADCAST_ROWS it is broadcast, beyond that both sides are salted."""
     if rows <= BROADCAST_ROWS:
         return large.join(F.broadcast(small), key, how)
-    salted = large.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+    salt = unused(large, "salt")
+    salted = large.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, salt], how).drop(salt)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

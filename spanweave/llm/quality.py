@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import SPACE, Prefix, Scratch, chunks, distinct_per_text, gram_owner, grams, lookup, mix, per_text, table, trim, utf8, words
+from spanweave.llm.common import SPACE, Prefix, Scratch, chunks, distinct_per_text, gram_owner, grams, lookup, mix, per_text, table, trim, unused, utf8, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -125,11 +125,12 @@ def _host():
 def judge(docs: DataFrame, q: str, scratch: Scratch, rejected: DataFrame) -> DataFrame:
     """``docs``, which must have the struct ``q`` of ``measured``, with that struct widened by base_failed,
     rule_failed, host_rejected and kept."""
-    rejected = scratch.keep(rejected, "rejected")
-    joined = lookup(docs.withColumn("__host", _host()), rejected, "__host", rejected.count())
-    bad = F.coalesce("__bad", F.lit(False))
+    host, is_bad = unused(docs, "host"), unused(docs, "bad")
+    rejected = scratch.keep(rejected, "rejected").toDF(host, is_bad)
+    joined = lookup(docs.withColumn(host, _host()), rejected, host, rejected.count())
+    bad = F.coalesce(is_bad, F.lit(False))
     wide = F.struct(f"{q}.*", base_failed(q).alias("base_failed"), rule_failed(q).alias("rule_failed"), bad.alias("host_rejected"), (~base_failed(q) & ~bad).alias("kept"))
-    return joined.withColumn(q, wide).drop("__host", "__bad")
+    return joined.withColumn(q, wide).drop(host, is_bad)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

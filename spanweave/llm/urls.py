@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import Scratch, freeing, lookup, table
+from spanweave.llm.common import Scratch, columns_of, freeing, lookup, table, unused
 
 ORDER = 5
 #: Distinct n-grams that a task counts before it passes them on, and ratios that ``Model`` remembers.
@@ -211,23 +211,24 @@ def judged(pages: DataFrame, into: str, rules=RULES) -> DataFrame:
     labelled = ruled.filter(F.col(f"{into}.by").isNotNull()).select(url.alias("url"), (F.col(f"{into}.by.verdict") == "block").cast("int").alias("blocked"))
     held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
     scratch = Scratch(pages.sparkSession, "urls")
+    score_, key = unused(ruled, "score"), unused(ruled, "url")
     counts = scratch.keep(counted(labelled.filter(~held)), "counts")
     both = counts.agg(F.max("a").alias("a"), F.max("r").alias("r")).first()
     open_ = F.col(f"{into}.by").isNull()
     if not both["a"] or not both["r"]:  # one kind is missing
-        scored, above = ruled.withColumn("__score", F.lit(None).cast("double")), F.lit(False)
+        scored, above = ruled.withColumn(score_, F.lit(None).cast("double")), F.lit(False)
     else:
         rows = labelled.filter(held).unionByName(ruled.filter(open_).select(url.alias("url"), F.lit(None).cast("int").alias("blocked")))
         distinct = rows.filter(F.length("url") > 0).groupBy("url", "blocked").agg(F.count("*").alias("n"))
         found = scores(distinct, counts, scratch)
         limit = threshold(found.filter("blocked IS NOT NULL"))
-        of = found.filter("blocked IS NULL").select(F.col("url").alias("__url"), F.col("score").alias("__score"))
+        of = found.filter("blocked IS NULL").select(F.col("url").alias(key), F.col("score").alias(score_))
         asked = open_ & F.coalesce(F.length(url) > 0, F.lit(False))  # a null URL scores 0
-        rest = ruled.filter(~asked).withColumn("__score", F.when(open_, F.lit(0.0)))
-        joined = lookup(ruled.filter(asked).withColumn("__url", url), of, "__url", of.count()).drop("__url")
-        scored, above = joined.select(*ruled.columns, "__score").unionByName(rest), F.col("__score") >= limit
+        rest = ruled.filter(~asked).withColumn(score_, F.when(open_, F.lit(0.0)))
+        joined = lookup(ruled.filter(asked).withColumn(key, url), of, key, of.count()).drop(key)
+        scored, above = joined.select(*columns_of(ruled), score_).unionByName(rest), F.col(score_) >= limit
     verdict = F.coalesce(F.col(f"{into}.by.verdict"), F.when(above, "block").otherwise("allow"))
-    return scored.withColumn(into, F.struct(f"{into}.host", f"{into}.path", F.col(f"{into}.by.rule").alias("rule"), verdict.alias("verdict"), F.col("__score").alias("score"))).drop("__score")
+    return scored.withColumn(into, F.struct(f"{into}.host", f"{into}.path", F.col(f"{into}.by.rule").alias("rule"), verdict.alias("verdict"), F.col(score_).alias("score"))).drop(score_)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
