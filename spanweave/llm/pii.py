@@ -6,9 +6,10 @@ phone numbers with no country code. Five labelers vote on each candidate for, ag
 shape, a gazetteer (domain endings, issuer digits, calling codes, reserved networks), words before it that speak
 for, and words that speak against. Expectation-maximisation estimates for each kind how each labeler votes on
 true and on false candidates, from the counts of vote patterns alone. With the resulting probabilities as soft
-labels, a naive Bayes classifier over the span's own features (how long, between what, whether the check passes, whether
-its issuer or network is known) is trained; looser candidates that it gives at
-least ACCEPT, and that overlap no strict span, are added.
+labels, a naive Bayes classifier is trained over features that no labeler votes by (how many digits, between what signs,
+which separators and whether they are all alike, whether a colon or line begins before); looser candidates that it gives
+at least ACCEPT, and that overlap no strict span, are added. Numbers that fail the card check teach the estimation what
+false candidates look like, and are never added.
 
 Positions come from ``split`` with the same pattern: the lengths of pieces and matches add up to offsets in code
 points. The patterns are written so that no text makes them backtrack or recurse without bound: possessive
@@ -116,7 +117,9 @@ def _candidate(kind: str, strict: bool, span: Column, left: Column, right: Colum
     n = F.length(digits(span))
     size = F.when(n < 9, "0").when(n < 13, "1").when(n < 17, "2").otherwise("3")
     bit = lambda x: F.when(x, "1").otherwise("0")
-    feats = F.concat(size, edge(F.right(left, F.lit(1))), edge(F.left(right, F.lit(1))), bit(span.rlike("[ ()-]")), bit(ok), bit(span.rlike(KNOWN[kind])))
+    headed = (left == "") | left.rlike(r"[:=\n]\s*$")
+    even = F.regexp_replace(span, r"[\p{L}0-9+()]", "").rlike(r"^(.?)\1*$")  # one kind of separator, or none
+    feats = F.concat(size, edge(F.right(left, F.lit(1))), edge(F.left(right, F.lit(1))), bit(span.rlike("[ ()-]")), bit(headed), bit(even))
     return F.struct(F.lit(kind).alias("kind"), begin.cast("int").alias("b"), (begin + F.length(span)).cast("int").alias("e"), ok.alias("strict"), votes.alias("votes"), feats.alias("feats"))
 
 
@@ -200,7 +203,7 @@ def spans(found: DataFrame) -> DataFrame:
     model = classifier([tuple(r) for r in each.collect()])
     known = F.map_from_arrays(F.lit(list(model) or [""]), F.lit(list(model.values()) or [0.0]))
     base = F.filter("found", lambda c: c["strict"])
-    loose = F.filter("found", lambda c: ~c["strict"] & (F.coalesce(F.get(F.array(F.try_element_at(known, F.concat(c["kind"], F.lit("|"), c["feats"]))), F.lit(0)), F.lit(0.0)) >= ACCEPT))
+    loose = F.filter("found", lambda c: ~c["strict"] & (c["kind"] != "card") & (F.coalesce(F.get(F.array(F.try_element_at(known, F.concat(c["kind"], F.lit("|"), c["feats"]))), F.lit(0)), F.lit(0.0)) >= ACCEPT))
     out = found.withColumn("base", base).withColumn("loose", loose)
     return out.withColumn("added", F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["b"] < x["e"]) & (x["b"] < b["e"])))).drop("loose", "found")
 

@@ -100,6 +100,13 @@ def test_pii_adds_spans(spark):
     assert len(loose) > 100 and sum(len(g.added) for g in loose) > 0.9 * len(loose)
 
 
+def test_pii_never_adds_a_number_that_fails_its_check(spark):
+    r = random.Random(4)
+    rows = [(i, f"card: {r.randint(4000, 4999)} {r.randint(1000, 9999)} {r.randint(1000, 9999)} {r.randint(1000, 9999)} paid by visa card") for i in range(300)]
+    got = _pii(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 0 < sum(len(g.base) for g in got) < 100 and not any(c.kind == "card" for g in got for c in g.added)
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------
 
 
