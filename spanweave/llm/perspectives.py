@@ -9,8 +9,9 @@ written ``<\|``, so that no text can pose as a head.
 A dialogue is one row; if its turn numbers exceed PART_TURNS it is further rows, one for each PART_TURNS numbers,
 with the offset at which each part begins. So no task holds more of a conversation than a part, however long it is.
 
-Scale: one shuffle of turns by conversation and part, one by conversation to meet its speakers, which come from
-partial aggregates; all in JVM functions.
+Scale: texts are shuffled once, by conversation and part, and meet the speakers there. Which speaker sees which part
+comes from rows without texts, by a salted lookup. Where parts begin is summed from their lengths over range
+partitions, for conversations of several parts alone. All in JVM functions.
 
 Edge cases: a null text is empty; a null or empty name is ``unknown``; null turns come first, in part 0; repeated
 rows stay, ordered by turn, name and text; a null conversation id is a conversation of its own; conversations
@@ -20,20 +21,55 @@ with narrators only give no row; an empty table gives an empty result; further c
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import table
+from spanweave.llm.common import Scratch, lookup, table
+from spanweave.operators.joins import running_sums
 
 PART_TURNS = 512
 NARRATORS = ("system",)
 END = "<|end|>\n"
+OWN_HEAD = "<|assistant|>\n"
 
 
 def _safe(x: Column) -> Column:
     return F.replace(x, F.lit("<|"), F.lit("<\\|"))
 
 
+def _head(name: Column, narrators: tuple[str, ...]) -> Column:
+    """The head of a turn for all but its own speaker."""
+    return F.when(name.isin(*narrators), F.concat(F.lit("<|"), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user:"), _safe(name), F.lit("|>\n")))
+
+
+def _body(text: Column) -> Column:
+    return F.concat(_safe(text), F.lit(END))
+
+
+def _views(own: DataFrame, narrators: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """k, block, speaker, part, begin: which parts each speaker sees, their numbers and where they begin."""
+    head, name = F.length(_head(F.col("name"), narrators)), F.col("name")
+    sizes = own.groupBy("k", "block", "name").agg(F.sum(head + F.length(_body(F.col("text")))).alias("size"), F.sum(F.lit(len(OWN_HEAD)) - head).alias("less"))
+    sizes = scratch.keep(sizes, "sizes")  # of each name's turns in a part, for others; and what changes for the name itself
+    speakers = scratch.keep(sizes.filter(~name.isin(*narrators)).select("k", name.alias("speaker")).distinct(), "speakers")
+    blocks = scratch.keep(sizes.groupBy("k", "block").agg(F.sum("size").alias("size")), "blocks")
+    views = lookup(blocks, speakers, "k", speakers.count(), "inner")
+    several = scratch.keep(blocks.groupBy("k").agg(F.count("*").alias("parts")).filter("parts > 1"), "several")
+    n = several.count()
+    if not n:
+        return views.select("k", "block", "speaker", F.lit(0).alias("part"), F.lit(0).cast("long").alias("begin"))
+    views = scratch.keep(lookup(views, several, "k", n), "views")
+    changed = sizes.select("k", "block", name.alias("speaker"), "less")
+    long = views.filter("parts IS NOT NULL").join(changed, ["k", "block", "speaker"], "left")
+    long = long.select(F.struct("k", "speaker").alias("view"), "block", (F.col("size") + F.coalesce("less", F.lit(0))).alias("size"), F.lit(1).alias("one"))
+    summed = running_sums(running_sums(long, ["view", "block"], "size", "at"), ["view", "block"], "one", "number")
+    summed = scratch.keep(summed, "summed")
+    first = scratch.keep(summed.groupBy("view").agg(F.min("at").alias("first_at"), F.min("number").alias("first_number")), "first")
+    placed = lookup(summed, first, "view", first.count(), "inner")
+    placed = placed.select("view.k", "block", "view.speaker", (F.col("number") - F.col("first_number")).cast("int").alias("part"), (F.col("at") - F.col("first_at")).alias("begin"))
+    short = views.filter("parts IS NULL").select("k", "block", "speaker", F.lit(0).alias("part"), F.lit(0).cast("long").alias("begin"))
+    return short.unionByName(placed)
+
+
 def perspectives(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> DataFrame:
     """conv_id, speaker, part, n_turns, n_own_turns, begin, text, masks ("begin:end" of each, comma-joined) and
     n_mask_chars, from turns (conv_id, turn, role, text)."""
@@ -41,13 +77,12 @@ def perspectives(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> Da
     part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     own = turns.select(key.alias("k"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), name.alias("name"), part.alias("block"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    speakers = own.filter(~F.col("name").isin(*narrators)).select("k", F.col("name").alias("speaker")).distinct()
     parts = own.groupBy("k", "block").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("turn", "name", "text"))).alias("turns"))
 
     def segment(t: Column) -> Column:
         mine = t["name"] == F.col("speaker")
-        head = F.when(mine, "<|assistant|>\n").when(t["name"].isin(*narrators), F.concat(F.lit("<|"), t["name"], F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user:"), _safe(t["name"]), F.lit("|>\n")))
-        return F.struct(head.alias("head"), F.concat(_safe(t["text"]), F.lit(END)).alias("body"), mine.alias("mine"))
+        head = F.when(mine, OWN_HEAD).otherwise(_head(t["name"], narrators))
+        return F.struct(head.alias("head"), _body(t["text"]).alias("body"), mine.alias("mine"))
 
     def step(a: Column, s: Column) -> Column:
         begin = a["at"] + F.length(s["head"])
@@ -55,17 +90,17 @@ def perspectives(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS) -> Da
         mask = F.when(s["mine"], F.array(F.concat_ws(":", begin.cast("string"), end.cast("string")))).otherwise(F.array().cast("array<string>"))
         return F.struct(end.alias("at"), F.concat(a["masks"], mask).alias("masks"), (a["n"] + F.when(s["mine"], end - begin).otherwise(0)).alias("n"))
 
-    seen = parts.join(speakers, "k").withColumn("segments", F.transform("turns", segment))
+    views = _views(own, narrators, Scratch(turns.sparkSession, "perspectives"))
+    seen = parts.join(views, ["k", "block"]).withColumn("segments", F.transform("turns", segment))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("masks"), F.lit(0).alias("n"))
     summed = seen.withColumn("sum", F.aggregate("segments", zero, step))
-    before = W.partitionBy("k", "speaker").orderBy("block")
     return summed.select(
         "conv_id",
         "speaker",
-        (F.row_number().over(before) - 1).alias("part"),
+        "part",
         F.size("turns").cast("long").alias("n_turns"),
         F.size(F.filter("segments", lambda s: s["mine"])).cast("long").alias("n_own_turns"),
-        F.coalesce(F.sum(F.col("sum.at").cast("long")).over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("begin"),
+        "begin",
         F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"])), "").alias("text"),
         F.array_join("sum.masks", ",").alias("masks"),
         F.col("sum.n").cast("long").alias("n_mask_chars"),

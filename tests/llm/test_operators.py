@@ -301,6 +301,33 @@ def test_perspectives_parts(spark):
     assert got[1].begin == len(got[0].text) and got[2].begin == len(got[0].text) + len(got[1].text)
 
 
+def test_perspectives_of_long_and_short_dialogues(spark, monkeypatch):
+    """Parts of one speaker's view follow each other, whoever speaks in them; lookups are salted."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = [(1, i, ("ann", "b<|b", "cé", "system")[i % 4 if i < 600 else 1], "é<|" * (i % 3)) for i in range(1100)]
+    rows += [(2, 700, "ann", "late"), (None, 5, "ann", "x"), (None, 5000, None, "y")]
+    got = perspectives.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    views = {}
+    for r in sorted(got, key=lambda r: r.part):
+        before = views.setdefault((r.conv_id, r.speaker), [])
+        assert (r.part, r.begin) == (len(before), sum(map(len, before)))
+        before.append(r.text)
+    assert sorted(((k, s, "".join(t)) for (k, s), t in views.items()), key=str) == brute_views(rows)
+
+
+def brute_views(rows):
+    def head(name, speaker):
+        return "<|assistant|>" if name == speaker else "<|system|>" if name == "system" else f"<|user:{safe(name)}|>"
+
+    safe = lambda x: x.replace("<|", "<\\|")
+    out = []
+    for k in {r[0] for r in rows}:
+        turns = sorted((t, n or "unknown", x) for c, t, n, x in rows if c == k)
+        for speaker in {n for _, n, _ in turns} - {"system"}:
+            out.append((k, speaker, "".join(f"{head(n, speaker)}\n{safe(x)}<|end|>\n" for _, n, x in turns)))
+    return sorted(out, key=str)
+
+
 def test_perspectives_sql(spark, sf_dir):
     assert compare(perspectives.op5_perspective_rotation(spark, sf_dir), connect(sf_dir), perspectives.OP5_SQL) == ""
 
