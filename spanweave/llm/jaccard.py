@@ -521,21 +521,26 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     least = roots.select(F.col("root").alias("u")).distinct()
     candidates = scratch.keep(roots.union(least.select("u", F.col("u").alias("root"))).select(F.col("u").alias("name"), "root"), "candidates")
 
-    sizes = rows.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"))
-    weighed = candidates.join(sizes.select("name", F.col("n").alias("weight")), "name")
+    sizes = rows.filter("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    weighed = scratch.keep(candidates.join(sizes.select("name", F.col("n").alias("weight")), "name"), "weighed")
     totals = weighed.groupBy("root").agg(F.ceil(F.sum("weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("n_sets"))
+    totals = scratch.keep(totals, "totals")
     sets = texts.mapInArrow(*freeing(_third_scan(spark.sparkContext.broadcast(bloom_of(candidates, "name"))), "name bigint, packed binary"))
     once = sets.groupBy("name").agg(F.first("packed").alias("packed"))  # copies that several tasks have found
-    stored = scratch.keep(weighed.join(totals, "root").join(once, "name"), "sets")
+    stored = scratch.keep(lookup(weighed, totals, "root", totals.count(), "inner").join(once, "name"), "sets")
     found = _all_links(stored, scratch, parts)
 
     linked_ = scratch.keep(components(found, scratch, "components"), "linked").withColumnRenamed("u", "name")
-    named = sizes.join(linked_, "name", "left").withColumn("root", F.coalesce("root", "name")).select("name", "root", "least")
+    named = sizes.join(linked_, "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least", "copies")
     named = scratch.keep(named, "named")
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(groups, "root").select("name", "component_id")
-    joined = rows.join(classes, "name", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # one group or one text may have a third of all rows: only those of several texts or rows are looked up
+    groups = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("texts")).filter("texts > 1")
+    groups = scratch.keep(groups, "groups")
+    told = lookup(named, groups, "root", groups.count()).filter("texts > 1 OR copies > 1")
+    classes = scratch.keep(told.select("name", F.coalesce("first", "least").alias("component_id")), "classes")
+    joined = lookup(rows, classes, "name", classes.count())
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
