@@ -248,6 +248,34 @@ def test_trained_ranking_beats_chance(spark):
     assert wrong < 0.2
 
 
+def _stages_read(spark) -> dict[int, int]:
+    """Rows that each stage so far has read from shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    numbers = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    found = spark._jsc.sc().statusStore().stageList(None, False, False, numbers, spark._jvm.java.util.ArrayList())
+    return {found.apply(i).stageId(): found.apply(i).shuffleReadRecords() for i in range(found.size())}
+
+
+@pytest.mark.parametrize("kind", ["softmax"])
+def test_spread_training_moves_no_snippets(spark, kind):
+    """Weights are those of one process over all snippets; no stage reads the snippets of a fold from a shuffle."""
+    r = np.random.default_rng(1)
+    rows = [(q, str(e), e % 3 == 0, r.normal(e % 3 == 0, 1, 2).tolist()) for q in range(12) for e in range(5) for _ in range(4000 if (q, e) == (3, 0) else 60)]
+    odd = [(3, "0", True, None), (3, "7", False, [None, 1.0]), (None, "0", None, [1.0, 1.0]), (4, None, None, [0.5, 0.2]), (50, "1", True, [9.0, 9.0])]
+    r.shuffle(rows)
+    sfv = spark.createDataFrame(spark.sparkContext.parallelize(rows + odd, 6), "qid long, ent string, label boolean, fv array<double>")
+    before = _stages_read(spark)
+    got = {(w.fold, w.sigma2): w.w for w in rank.train(sfv, kind, 5, [0.5, 2.0], 2).collect()}
+    assert max(n for i, n in _stages_read(spark).items() if i not in before) < len(rows)
+    fold = {x.qid: x.f for x in sfv.select("qid", rank.fold_of(F.col("qid"), 5).alias("f")).distinct().collect()}
+    used = [x for x in rows + odd if x[0] is not None and x[3] and None not in x[3]]
+    assert len(got) == 10
+    for (f, sigma2), w in got.items():
+        qid, ent, label, fv = zip(*(x for x in used if fold[x[0]] != f), strict=True)
+        fun = rank.objective(kind, np.array(qid), np.array([e or "" for e in ent]), np.array(label, bool), np.array(fv), sigma2)
+        assert np.allclose(w, minimize(fun, np.zeros(2), rounds=60), atol=1e-5)
+
+
 def test_leaf_regression_separates():
     ctx = np.repeat(np.arange(20), 2)
     ent = np.repeat(np.where(np.arange(20) % 2 == 0, "a", "b"), 2)
