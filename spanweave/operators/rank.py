@@ -22,7 +22,7 @@ from spanweave.scratch import Scratch
 #: Pairs of entities that are held at once; snippets of a block, and bytes of a row of it.
 PAIRS, BLOCK, ROW = 1 << 20, 1 << 16, 1 << 13
 #: Models whose snippets can't be summed before the weights are known.
-SPREAD = ("softmax",)
+SPREAD = ("softmax", "noisy_or")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -256,7 +256,7 @@ def _stages_read(spark) -> dict[int, int]:
     return {found.apply(i).stageId(): found.apply(i).shuffleReadRecords() for i in range(found.size())}
 
 
-@pytest.mark.parametrize("kind", ["softmax"])
+@pytest.mark.parametrize("kind", ["softmax", "noisy_or"])
 def test_spread_training_moves_no_snippets(spark, kind):
     """Weights are those of one process over all snippets; no stage reads the snippets of a fold from a shuffle."""
     r = np.random.default_rng(1)
